@@ -49,3 +49,19 @@ def ascii_lower(text: Column) -> Column:
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids fall on the crc of the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
+
+#: What separates words of the contracts: ASCII but for digits and letters; every code point beyond ASCII is a letter.
+NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def word_array(text: Column) -> Column:
+    """The lower-cased words of a text; none for a null."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NON_WORD), "")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: inside, it is an element of a one-element array.
+
+    Arrays stay plain objects there, so that ``slice`` copies what it gives and not the whole array.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_shards, mixing, simhash, token_output
-from .common import documents
+from . import decontaminate, kd_shards, license_scan, mixing, simhash, token_output, toxicity, winnowing
+from .common import crc_remainder, documents
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
@@ -20,11 +20,23 @@ def vocabulary_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, toxicity.training_labels(labels))
+    rows = toxicity.score_documents(docs, model)
+    return rows.select("doc_id", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, distance=3)
     return rows.select("doc_id", simhash.hex_mark(F.col("mark")).alias("fingerprint"), "component_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = mixing.apply_mix(docs, mixing.plan_mix(docs), keep=False)
@@ -40,8 +52,23 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan.scan_licenses(documents(spark, sf_dir))
+    starts = F.col("base_starts")
+    best = F.greatest(F.when(F.size(starts) > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max("found.share"), F.lit(0.0)))
+    return rows.select(
+        "doc_id", "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), F.least(F.lit(1.0), best).alias("score"),
+    )
+
+
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnowing.compare_edited(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnowing.digest(F.col("marks")).alias("fingerprint"), winnowing.digest(F.col("edited_marks")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op5_mixing, op7_token_output, op8_kd_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_decontamination, op5_mixing, op7_token_output, op8_kd_shards, op9_license_scan, op10_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kd_shards, license_scan, mixing, simhash, token_output, toxicity, winnowing
+from . import decontaminate, kd_shards, license_scan, mixing, simhash, suffix_dedup, token_output, toxicity, winnowing
 from .common import crc_remainder, documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -27,6 +27,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(documents(spark, sf_dir), 100)
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, distance=3)
     return rows.select("doc_id", simhash.hex_mark(F.col("mark")).alias("fingerprint"), "component_id")
@@ -68,7 +73,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_decontamination, op5_mixing, op7_token_output, op8_kd_shards, op9_license_scan, op10_winnowing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_simhash, op4_decontamination, op5_mixing, op7_token_output, op8_kd_shards, op9_license_scan, op10_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:

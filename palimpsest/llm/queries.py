@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kd_shards, license_scan, mixing, simhash, suffix_dedup, token_output, toxicity, winnowing
+from . import decontaminate, kd_shards, lattice_lm, license_scan, mixing, simhash, suffix_dedup, token_output, toxicity, winnowing
 from .common import crc_remainder, documents
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 END_ID = 2
 
 
@@ -48,6 +49,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
 
 
+def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = lattice_lm.sentencepiece_vocabulary(vocabulary_path(PIECES))
+    rows = lattice_lm.score_documents(documents(spark, sf_dir), lattice_lm.learned_from(), pieces)
+    return rows.select("doc_id", (crc_remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.tokens_to_parquet(documents(spark, sf_dir), vocabulary_path(), END_ID).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -73,7 +80,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_simhash, op4_decontamination, op5_mixing, op7_token_output, op8_kd_shards, op9_license_scan, op10_winnowing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_simhash, op4_decontamination, op5_mixing, op6_lattice_lm, op7_token_output, op8_kd_shards, op9_license_scan, op10_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -93,9 +93,43 @@ def test_chain_components(spark):
     assert all(got[i] == 0 for i in range(1, 301)) and got[1001] == 1000
 
 
-def test_keep_one(docs, clashing, empty):
+def shingles(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def test_keep_one(docs, doc_rows, clashing, empty):
     kept = simhash.keep_one(clashing)
     assert kept.columns == clashing.columns
-    rows = simhash.near_duplicates(docs, shingle=5).collect()
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["component_id"] for r in rows})
+    left = {r["doc_id"] for r in kept.collect()}
+    rows = sorted(doc_rows, key=lambda r: r[0])
+    sets = [shingles(r[1]) for r in rows]
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, r in enumerate(rows):
+        best = max((alike(sets[i], sets[j]) for j in range(i)), default=0.0)
+        if best >= 0.85 or best == 0.0:
+            assert (r[0] in left) == (best == 0.0), (r[0], best)
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
+
+
+def test_keep_one_of_repeated_ids(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "x y z"), (None, None), (None, ""), (2, "a b c"), (3, "q")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len([r for r in kept if r["doc_id"] == 1]) == 1 and len([r for r in kept if r["doc_id"] is None]) == 1 and {r["doc_id"] for r in kept} == {None, 1, 3}
+
+
+def test_edited_copies_are_caught(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    rows, copies = [], set()
+    for i in range(150):
+        t = rng.choices(words, k=rng.randint(150, 500))
+        rows.append((i, " ".join(t)))
+        for c in range(2):
+            e = list(t)
+            for at in rng.sample(range(len(t)), max(1, len(t) // 100)):
+                e[at] = rng.choice(words)
+            rows.append((1000 + 10 * i + c, " ".join(e)))
+            copies.add(1000 + 10 * i + c)
+    left = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert set(range(150)) <= left and len(copies & left) <= 6

@@ -1,0 +1 @@
+"""Registered queries over the library's operators."""

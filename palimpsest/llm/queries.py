@@ -29,7 +29,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = suffix_dedup.remove_repeats(documents(spark, sf_dir), 100)
+    rows = suffix_dedup.remove_repeats(documents(spark, sf_dir), 100, keep_bytes=False)
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 

@@ -35,7 +35,7 @@ LENGTH, GRAM = 100, 32
 #: Text of one suffix array.
 SHARD_BYTES = 2 << 20
 #: Runs of one hash above which it is cut into pieces.
-PIECE = 16_384
+PIECE = 32_768
 _BATCH_BYTES = 1 << 20
 
 _random = np.random.default_rng(20_240_607)
@@ -116,33 +116,40 @@ def _all_runs(length: int, count: bool) -> Callable[[Iterator[pa.RecordBatch]],
                 if count:
                     yield pa.RecordBatch.from_arrays([h, pa.array(twice.astype(np.int32) + np.int32(1))], ["h", "n"])
                 else:
-                    yield pa.RecordBatch.from_arrays([h, pa.array(ids[text]), pa.array(salts[text]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "id", "salt", "start", "n"])
+                    yield pa.RecordBatch.from_arrays([h, pa.array(ids[text]), pa.array(salts[text])], ["h", "id", "salt"])
 
     return run
 
 
-_RUN = "h long, id long, salt long, start int, n int"
+_RUN = "h long, id long, salt long"
 
 
 def _segments(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (id, salt, text, runs of the text that go on) to segments."""
+    """From (id, salt, text, hashes of the text that go on) to segments. Runs are found again: cheaper than moving them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, salts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             lists = batch.column(3)
             offsets, parts = lists.offsets.to_numpy(), lists.values
-            h, piece, start, n = (parts.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            counts = np.diff(offsets)
-            ids, salts = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts), np.repeat(batch.column(1).to_numpy(zero_copy_only=False), counts)
-            first, last, data = start.tolist(), (start + n + (length - 1)).tolist(), []
-            for row in range(batch.num_rows):
-                raw = (batch.column(2)[row].as_py() or "").encode()
-                data += [raw[first[i] : last[i]] for i in range(offsets[row], offsets[row + 1])]
-            low, size = offsets[0], 8192
-            for at in range(0, len(data), size):
-                s = slice(low + at, low + min(at + size, len(data)))
-                t = slice(at, at + size)
-                yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(piece[s]), pa.array(ids[t]), pa.array(salts[t]), pa.array(start[s]), pa.array(data[t], pa.binary())], ["h", "piece", "id", "salt", "start", "bytes"])
+            wanted, pieces = parts.field(0).to_numpy(zero_copy_only=False), parts.field(1).to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows, 64):
+                rows = range(at, min(at + 64, batch.num_rows))
+                raw = [(batch.column(2)[i].as_py() or "").encode() for i in rows]
+                h, text, start, n, _ = runs(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw]), length)
+                edges = np.searchsorted(text, np.arange(len(raw) + 1))
+                h, out = h.view(np.int64), []
+                for k, i in enumerate(rows):
+                    mine = slice(edges[k], edges[k + 1])
+                    asked = wanted[offsets[i] : offsets[i + 1]]
+                    by = np.argsort(asked)
+                    place = np.searchsorted(asked[by], h[mine])
+                    hit = np.flatnonzero(asked[by][np.minimum(place, len(asked) - 1)] == h[mine]) if len(asked) else []
+                    for j, p in zip((edges[k] + hit).tolist(), pieces[offsets[i] : offsets[i + 1]][by][place[hit]].tolist()):
+                        out.append((j, p, i, raw[k][start[j] : start[j] + n[j] + length - 1]))
+                js = np.array([o[0] for o in out], np.int64)
+                docs = np.array([o[2] for o in out], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[js]), pa.array([o[1] for o in out], pa.int32()), pa.array(ids[docs]), pa.array(salts[docs]), pa.array(start[js].astype(np.int32)), pa.array([o[3] for o in out], pa.binary())], ["h", "piece", "id", "salt", "start", "bytes"])
 
     return run
 
@@ -332,33 +339,38 @@ def _mark_batch(marked: list[tuple], strings: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*cols, end, *rest], kinds)], ["id", "salt", "start", "end", "h", "piece", "bytes"])
 
 
-def _shards(length: int, merge: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by hash and piece."""
+def _shards(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by hash and piece. Hashes in pieces fill shards of their own, and give strings to merge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = _Shard(length), []
-        for batch in batches:
-            rows = held + list(zip(*[c.to_pylist() for c in batch.columns]))
-            last = rows[-1][:2]
-            cutoff = len(rows)
-            while cutoff and rows[cutoff - 1][:2] == last:
-                cutoff -= 1
-            held = rows[cutoff:]
+        shards = {False: _Shard(length), True: _Shard(length)}
+        held: list[tuple] = []
+
+        def take(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            """``rows`` of whole keys, in order."""
             at = 0
-            while at < cutoff:
-                take = at
+            while at < len(rows):
+                merge = rows[at][1] >= 0
+                shard, to = shards[merge], at
                 size = shard.size
-                while take < cutoff and size < SHARD_BYTES:
-                    size += len(rows[take][5])
-                    take += 1
-                while 0 < take < cutoff and rows[take][:2] == rows[take - 1][:2]:
-                    take += 1
-                shard.add(rows[at:take])
-                at = take
+                while to < len(rows) and (rows[to][1] >= 0) == merge and (size < SHARD_BYTES or rows[to][:2] == rows[to - 1][:2]):
+                    size += len(rows[to][5])
+                    to += 1
+                shard.add(rows[at:to])
+                at = to
                 if shard.size >= SHARD_BYTES:
                     yield _mark_batch(*shard.close(merge))
-        shard.add(held)
-        yield _mark_batch(*shard.close(merge))
+
+        for batch in batches:
+            held += zip(*[c.to_pylist() for c in batch.columns])
+            cutoff = len(held)
+            while cutoff and held[cutoff - 1][:2] == held[-1][:2]:
+                cutoff -= 1
+            yield from take(held[:cutoff])
+            held = held[cutoff:]
+        yield from take(held)
+        for merge, shard in shards.items():
+            yield _mark_batch(*shard.close(merge))
 
     return run
 
@@ -404,7 +416,7 @@ def _merge(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _kept(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _kept(keep_bytes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -429,45 +441,40 @@ def _kept(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                     spans.append(merged)
                     kept.append(rest)
                 spans_type = pa.list_(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, spans_type), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, spans_type), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+                names = ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_bytes, names + ["kept"] * keep_bytes)
 
     return run
 
 
-_KEPT = "doc_id long, n_bytes long, n_removed long, spans array<array<int>>, kept_sha256 string, kept binary"
+_KEPT = "doc_id long, n_bytes long, n_removed long, spans array<array<int>>, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (byte ranges), kept_sha256 and kept (the remaining bytes) of every row."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, *, keep_bytes: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (byte ranges), kept_sha256 and, if asked, kept (the remaining bytes) of every row."""
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"))
     repeated = not ids.groupBy("id").count().where("count > 1").limit(1).isEmpty()
     salt = F.xxhash64(text_col) if repeated else F.lit(0).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), salt.alias("salt"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), salt.alias("salt"), F.col(text_col).alias("text"))
     distinct = rows.dropDuplicates(["id", "salt"]) if repeated else rows
 
     texts = distinct.select("id", "salt", "text")
     again = cut(texts.mapInArrow(_all_runs(length, True), "h long, n int").groupBy("h").agg(F.sum("n").alias("n_runs")).where("n_runs > 1"))
-    everywhere = texts.mapInArrow(_all_runs(length, False), _RUN)
-    hot = again.where(F.col("n_runs") > PIECE)
-    any_hot = not hot.limit(1).isEmpty()
+    any_hot = not again.where(F.col("n_runs") > PIECE).limit(1).isEmpty()
     pieces = F.ceil(F.col("n_runs") / PIECE).cast("int")
-    going = everywhere.join(again.hint("shuffle_hash"), "h")
-    going = going.select("id", "salt", F.struct("h", F.when(pieces > 1, F.pmod(F.xxhash64("id", "salt"), pieces)).otherwise(-1).cast("int").alias("piece"), "start", "n").alias("r"))
-    by_document = going.groupBy("id", "salt").agg(F.collect_list("r").alias("runs"))
-    dealt = rows.repartition("id")
-    found = dealt.select("doc_id", "id", "salt", "text").join(by_document, ["id", "salt"]).select("id", "salt", "text", "runs")
+    piece = F.when(pieces > 1, F.pmod(F.xxhash64("id", "salt"), pieces)).otherwise(-1).cast("int")
+    going = texts.mapInArrow(_all_runs(length, False), _RUN).join(again.hint("shuffle_hash"), "h")
+    by_document = going.select("id", "salt", "h", piece.alias("piece")).repartition("id").groupBy("id", "salt").agg(F.collect_set(F.struct("h", "piece")).alias("hashes"))
+    dealt = rows.repartition("id")  # texts move once: the same exchange serves both joins
+    found = dealt.join(by_document, ["id", "salt"]).select("id", "salt", "text", "hashes")
     if repeated:
         found = found.dropDuplicates(["id", "salt"])
-    segments = found.mapInArrow(_segments(length), _SEGMENT)
-
-    def shards(part: DataFrame, merge: bool) -> DataFrame:
-        return part.repartition("h", "piece").sortWithinPartitions("h", "piece").mapInArrow(_shards(length, merge), _MARK)
-
-    marks = shards(segments.where("piece < 0") if any_hot else segments, False).select("id", "salt", "start", "end")
+    segments = found.mapInArrow(_segments(length), _SEGMENT).repartition("h", "piece").sortWithinPartitions("h", "piece")
+    marks = segments.mapInArrow(_shards(length), _MARK)
     if any_hot:
-        split = cut(shards(segments.where("piece >= 0"), True))
-        strings = split.where("bytes is not null").repartitionByRange("bytes").sortWithinPartitions("bytes")
-        merged = strings.mapInArrow(_merge(length), _MARK)
-        marks = marks.union(split.where("bytes is null").select("id", "salt", "start", "end")).union(merged.select("id", "salt", "start", "end"))
-    ranges = marks.groupBy("id", "salt").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    return dealt.join(ranges, ["id", "salt"], "left").select("doc_id", "text", "ranges").mapInArrow(_kept(length), _KEPT)
+        strings = marks.where("bytes is not null").repartitionByRange("bytes").sortWithinPartitions("bytes")
+        marks = marks.where("bytes is null").union(strings.mapInArrow(_merge(length), _MARK))
+    ranges = marks.select("id", "salt", "start", "end").repartition("id").groupBy("id", "salt").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    rest = dealt.join(ranges, ["id", "salt"], "left").select(F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), "text", "ranges")
+    return rest.mapInArrow(_kept(keep_bytes), _KEPT + ", kept binary" * keep_bytes)

@@ -64,7 +64,7 @@ def annex_tokens(text: Column) -> Column:
 def korean_tokens(text: Column) -> Column:
     """Article and annex numbers first and taken out, then ASCII words in lower case, then Hangul bigrams."""
     rest = F.regexp_replace(F.regexp_replace(text, ARTICLE, " "), r"(별표|별지|서식)\s*(?:제\s*)?(\d+)(?:\s*의\s*(\d+))?", " ")
-    words = F.transform(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    words = F.transform(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.lower(w))
     return F.concat(article_tokens(text), annex_tokens(text), words, bigrams(F.regexp_extract_all(rest, F.lit("[가-힣]+"), F.lit(0))))
 
 
@@ -99,7 +99,7 @@ def html_to_text(html: Column) -> Column:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = F.regexp_replace(text, r"[ \t]+", " ")
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def canonical_hash(*columns: Column) -> Column:

@@ -63,7 +63,7 @@ def packed(pieces: Column, target: int, maximum: int) -> Column:
 def sentence_pieces(lines: Column, maximum: int) -> Column:
     """Lines, those over ``maximum`` cut after sentence ends."""
     cut = lambda x: F.regexp_extract_all(x, F.lit(r"[^.!?]*[.!?]*\s*"), F.lit(0))
-    pieces = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) <= maximum, F.array(x)).otherwise(F.transform(cut(x), F.trim))))
+    pieces = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) <= maximum, F.array(x)).otherwise(F.transform(cut(x), lambda y: F.trim(y)))))
     return F.filter(pieces, lambda p: F.length(p) > 0)
 
 

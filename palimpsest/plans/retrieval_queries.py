@@ -148,7 +148,7 @@ def topk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_overlap(_bm25(spark, sf_dir, 10), _bm25(spark, sf_dir, 10, T.latin_bigram_tokens))
 
 
-_PIECES = "(SELECT doc_id * 100000 + i AS piece, l AS text FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(l) <> '')"
+_PIECES = "(SELECT doc_id * 100000 + i AS piece, l AS text FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(l, ' ') <> '')"
 
 
 @query(f"""WITH {_bm25_sql(_WORDS, 400, docs=_PIECES, doc='piece')}, o AS (SELECT query, doc // 100000 AS owner, min(rnk) AS best FROM rk GROUP BY ALL)

@@ -10,7 +10,7 @@ from ..operators import sections as S
 from .registry import query, table
 
 _LINES = "SELECT doc_id AS doc, i::BIGINT AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"
-_SECTIONS = f"""l AS ({_LINES}), s AS (SELECT doc, pos, line, row_number() OVER (PARTITION BY doc ORDER BY pos) AS seq, coalesce(nullif(regexp_extract(lower(line), '[a-z0-9]+'), ''), 'section') AS word FROM l WHERE trim(line) <> ''),
+_SECTIONS = f"""l AS ({_LINES}), s AS (SELECT doc, pos, line, row_number() OVER (PARTITION BY doc ORDER BY pos) AS seq, coalesce(nullif(regexp_extract(lower(line), '[a-z0-9]+'), ''), 'section') AS word FROM l WHERE trim(line, ' ') <> ''),
     k AS (SELECT *, row_number() OVER (PARTITION BY doc, word ORDER BY pos) AS nth FROM s), sec AS (SELECT doc, seq, CASE WHEN nth = 1 THEN word ELSE word || '#' || nth END AS section_key, line AS content FROM k)"""
 
 
@@ -32,7 +32,7 @@ def section_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections(spark, sf_dir).select("doc", "section_key", digest.alias("content_hash"), F.substring(digest, 1, 16).alias("short_hash"))
 
 
-_PACK = """WITH RECURSIVE base AS (SELECT doc_id AS doc, text, list_filter(flatten(list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: CASE WHEN length(x) <= 800 THEN [x] ELSE list_transform(regexp_extract_all(x, '[^.!?]*[.!?]*\\s*'), lambda y: trim(y)) END)), lambda y: length(y) > 0) AS pieces FROM documents),
+_PACK = """WITH RECURSIVE base AS (SELECT doc_id AS doc, text, list_filter(flatten(list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''), lambda x: CASE WHEN length(x) <= 800 THEN [x] ELSE list_transform(regexp_extract_all(x, '[^.!?]*[.!?]*\\s*'), lambda y: trim(y, ' ')) END)), lambda y: length(y) > 0) AS pieces FROM documents),
     pack(doc, i, pieces, done, cur) AS (
       SELECT doc, 1, pieces, NULL::VARCHAR, pieces[1] FROM base WHERE length(text) > 800
       UNION ALL
@@ -66,7 +66,7 @@ def over_limit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.over_limits(table(spark, sf_dir, "documents"), "n_chars", (512, 1024, 8192), (1.5, 2.0, 4.0))
 
 
-@query(f"WITH l AS ({_LINES}) SELECT doc, pos, last_value(CASE WHEN length(line) < 40 AND trim(line) <> '' THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS heading FROM l")
+@query(f"WITH l AS ({_LINES}) SELECT doc, pos, last_value(CASE WHEN length(line) < 40 AND trim(line, ' ') <> '' THEN trim(line, ' ') END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS heading FROM l")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short lines are headings of what follows."""
     rows = S.text_lines(table(spark, sf_dir, "documents"), "doc_id")
@@ -81,16 +81,16 @@ def number_reset_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.parts_by_reset(rows, F.col("number")).select("doc", "pos", "number", "part_no")
 
 
-@query(f"""WITH l AS ({_LINES}), cell AS (SELECT doc, pos, at, trim(cs[at]) AS cell FROM (SELECT doc, pos, cs, unnest(range(1, len(cs) + 1)) AS at FROM (SELECT doc, pos, string_split(line, ' | ') AS cs FROM l WHERE contains(line, ' | ')))),
-    f AS (SELECT *, row_number() OVER (PARTITION BY doc, cell ORDER BY pos, at) AS n FROM cell WHERE cell <> '')
-    SELECT doc, pos, string_agg(cell, ' | ' ORDER BY at) AS line FROM f WHERE n = 1 GROUP BY doc, pos""")
+@query(f"""WITH l AS ({_LINES}), cell AS (SELECT doc, pos, ix, trim(cs[ix], ' ') AS cell FROM (SELECT doc, pos, cs, unnest(range(1, len(cs) + 1)) AS ix FROM (SELECT doc, pos, string_split(line, ' | ') AS cs FROM l WHERE contains(line, ' | ')))),
+    f AS (SELECT *, row_number() OVER (PARTITION BY doc, cell ORDER BY pos, ix) AS n FROM cell WHERE cell <> '')
+    SELECT doc, pos, string_agg(cell, ' | ' ORDER BY ix) AS line FROM f WHERE n = 1 GROUP BY doc, pos""")
 def cell_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.text_lines(table(spark, sf_dir, "documents"), "doc_id").where(F.contains("line", F.lit(" | ")))
     return S.distinct_cells(rows)
 
 
 @query(r"""SELECT page_id, html LIKE '%</html>%' AND contains(lower(right(html, 2000)), '</html>') AS whole,
-    array_to_string(list_filter(list_transform(string_split(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<(br|/p|/div|/tr|/li|/h[1-6])[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS body FROM pages""")
+    array_to_string(list_filter(list_transform(string_split(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<(br|/p|/div|/tr|/li|/h[1-6])[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)) AS body FROM pages""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text of pages, and whether the response came whole."""
     whole = F.contains("html", F.lit("</html>")) & F.contains(F.lower(F.substring("html", -2000, 2000)), F.lit("</html>"))

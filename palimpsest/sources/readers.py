@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
     """(path, raw, record, broken): one JSON document a file, as a variant; unreadable ones stay, marked."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     record = F.try_parse_json("raw")
     return files.withColumn("record", record).withColumn("broken", F.col("record").isNull())
 

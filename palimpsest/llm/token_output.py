@@ -16,6 +16,7 @@ text; an empty table writes and gives no rows.
 from __future__ import annotations
 
 import os
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,7 +34,7 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 #: The tokenizer's own pre-tokenization, on text already in lower case.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_encoders: dict[str, Callable[[str], bytes]] = {}
+_encoders: dict[str, Callable[[str | bytes], bytes]] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -43,8 +44,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def text_encoder(path: str) -> Callable[[str], bytes]:
-    """A function from text to its ids as little-endian 32-bit integers; one per worker and file."""
+def text_encoder(path: str) -> Callable[[str | bytes], bytes]:
+    """A function from text, or its UTF-8, to its ids as little-endian 32-bit integers; one per worker and file."""
     if path in _encoders:
         return _encoders[path]
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,14 +56,20 @@ def text_encoder(path: str) -> Callable[[str], bytes]:
     ascii_letters = all(letters[b] == chr(b) for b in range(33, 127))
     assert ascii_letters
     words: dict[str, bytes] = {}
-    chunks: dict[bytes, bytes] = {}
+
+    def model_ids(spelled: str) -> bytes:
+        ids = [t.id for t in model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def word_ids(word: str) -> bytes:
         spelled = word if word.isascii() else "".join([letters[b] for b in word.encode()])
-        words[word] = ids = np.array([t.id for t in model.tokenize(spelled)], "<u4").tobytes()
+        words[word] = ids = model_ids(spelled)
         return ids
 
     def chunk_ids(raw: bytes) -> bytes:
+        if raw.isalpha():  # ASCII letters alone: one word, kept once under its lower case
+            low = raw.lower()
+            return model_ids(raw.decode()) if low == raw else chunks[low]
         chunk = raw.decode()
         if "<|" in chunk or not chunk.isascii() and max(chunk) > "ɏ" or not chunk.isprintable():
             return np.array(whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -70,18 +77,20 @@ def text_encoder(path: str) -> Callable[[str], bytes]:
             chunk = unicodedata.normalize("NFC", chunk)
         return b"".join([words.get(w) or word_ids(w) for w in _PIECES.findall(chunk.lower())])
 
-    def encode(text: str) -> bytes:
+    class Chunks(dict):
+        def __missing__(self, raw: bytes) -> bytes:
+            self[raw] = ids = chunk_ids(raw)
+            return ids
+
+    chunks = Chunks()
+    ids_of = chunks.__getitem__
+
+    def encode(text: str | bytes) -> bytes:
         if len(chunks) > CACHE_ENTRIES or len(words) > CACHE_ENTRIES:
             chunks.clear()
             words.clear()
-        out = []
-        get = chunks.get
-        for chunk in text.encode().split():  # at ASCII white space alone
-            ids = get(chunk)
-            if ids is None:
-                chunks[chunk] = ids = chunk_ids(chunk)
-            out.append(ids)
-        return b"".join(out)
+        raw = text if isinstance(text, bytes) else text.encode()
+        return b"".join(map(ids_of, raw.split()))  # at ASCII white space alone
 
     _encoders[path] = encode
     return encode
@@ -93,7 +102,7 @@ def _batches(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [encode(t or "") + end for t in part.column(1).to_pylist()]
+                ids = [encode(t or b"") + end for t in part.column(1).cast(pa.binary()).to_pylist()]
                 counts = np.array([len(x) // 4 for x in ids], np.int32)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -118,17 +127,18 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, *
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and n_tokens, from metadata columns alone: ``start`` is where the document begins in the whole token stream."""
-    return _with_start(spark.read.parquet(path).select("doc_id", "n_tokens", *_place()))
+    return _with_start(spark.read.parquet(path).select("doc_id", "n_tokens", *_place()), path)
 
 
 def _place():
     return F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
 
 
-def _with_start(rows: DataFrame) -> DataFrame:
-    """File names rise with ids, and rows within files; totals of files make the starts of files."""
+def _with_start(rows: DataFrame, path: str) -> DataFrame:
+    """File names rise with ids, and rows within files; totals of files, from their counts alone, make the starts of files."""
     earlier = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    counts = rows.sparkSession.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), "n_tokens")
+    files = counts.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("start", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(files, "file").withColumn("start", F.col("start") + F.col("first")).drop("first", "file", "row")
 
@@ -145,7 +155,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
     rows = spark.read.parquet(path).select(*_place(), "doc_id", "token_ids")
-    return _with_start(rows.mapInArrow(_checksums, "file string, row long, doc_id long, n_tokens long, ids_crc32 long"))
+    return _with_start(rows.mapInArrow(_checksums, "file string, row long, doc_id long, n_tokens long, ids_crc32 long"), path)
 
 
 def tokens_to_parquet(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:

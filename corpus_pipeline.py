@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group linked by SimHash and alike by 0.8 in five-word shingles."""
+    """One document, of the smallest id, null ids last, of each group linked by pairs alike by 0.8 in five-word shingles."""
     return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 

@@ -17,6 +17,8 @@ component; rows of equal id are kept; a component's id is its smallest doc_id, n
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ from .common import cut
 #: Distinct fingerprints in a bucket above which it is split by further deletion variants.
 SPLIT = 2048
 SEED = 42
+#: Of a sixteenth of all texts, how many a common shingle is in; and how many common ones are ordered last at most.
+COMMON, MOST_COMMON = 8, 500_000
 
 
 def fingerprint_of(text: str | None, shingle: int) -> int:
@@ -263,8 +267,8 @@ def hex_mark(mark):
     return F.lower(F.lpad(F.hex(mark), 16, "0"))
 
 
-def _wide(shingle: int, sketch: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """doc_id, a hash of the text, the fingerprint of its distinct word pairs, and the ``sketch`` least hashes of its shingles."""
+def _sets(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """node, the fingerprint of the text's distinct word pairs, and the sorted hashes of all its distinct shingles."""
 
     def hashes(words: list[bytes], n: int) -> np.ndarray:
         grams = {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else ()
@@ -272,74 +276,213 @@ def _wide(shingle: int, sketch: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, sketches = [], []
-            for text in batch.column(2):
-                words = (text.as_py() or "").encode().lower().split()
-                pairs, grams = hashes(words, 2), hashes(words, shingle)
-                ones = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                marks.append(np.packbits(ones * 2 > max(len(pairs), 1), bitorder="little").view(np.uint64)[0])
-                least = np.partition(grams, sketch)[:sketch] if len(grams) > sketch else grams
-                sketches.append(np.sort(least).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "mark", "sketch"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                marks, sets = [], []
+                for text in part.column(1):
+                    words = (text.as_py() or "").encode().lower().split()
+                    pairs = hashes(words, 2)
+                    ones = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                    marks.append(np.packbits(ones * 2 > max(len(pairs), 1), bitorder="little").view(np.uint64)[0])
+                    sets.append(np.sort(hashes(words, shingle)).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], ["node", "mark", "grams"])
 
     return run
 
 
-def _similar(sketch: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links whose shingle sets are alike: of the least hashes of both together, the part that both have."""
+def _common(sets: DataFrame) -> np.ndarray:
+    """Sorted hashes of common shingles, estimated from a sixteenth of the texts. They only set the order of shingles."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                raw = b"".join(batch.slice(at, 64).column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64))], ["gram"])
+
+    counts = sets.where(F.pmod("node", F.lit(16)) == 0).select("grams").mapInArrow(every, "gram long").groupBy("gram").count()
+    often = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "gram").limit(MOST_COMMON).select("gram").toArrow()
+    return np.sort(often.column(0).to_numpy().view(np.uint64))
+
+
+def _prefixes(similarity: float, common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """key, node, size of the set, for the first shingles of each text: of two sets so alike, these have one in common.
+
+    Any order of all shingles will do, if it is one for all texts: by hash, those in ``common`` last. Empty sets meet in key 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = common.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys, sizes, taken = [], [], []
+                for raw in part.column(1).to_pylist():
+                    grams = np.frombuffer(raw, np.uint64)
+                    n = len(grams)
+                    if len(late) and n:
+                        is_late = late[np.minimum(np.searchsorted(late, grams), len(late) - 1)] == grams
+                        grams = np.concatenate([grams[~is_late], grams[is_late]])
+                    first = grams[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)
+                    keys.append(first)
+                    sizes.append(n)
+                    taken.append(len(first))
+                nodes = part.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(nodes, taken)), pa.array(np.repeat(np.array(sizes, np.int64), taken))], ["key", "node", "size"])
+
+    return run
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From rows sorted by their first column: blocks of whole keys (a row for each column), where each starts, its size."""
+    held: list[np.ndarray] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            new = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if not new.shape[1]:
+                continue
+            held.append(new)
+            if held[0][0, 0] == new[0, -1]:
+                continue  # all of one key so far
+        if not held:
+            return
+        rows = np.concatenate(held, 1)
+        first = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+        whole = rows.shape[1] if batch is None else int(first[-1])
+        held = [rows[:, whole:]] if whole < rows.shape[1] else []
+        first = first[first < whole]
+        if len(first):
+            yield rows[:, :whole], first, np.diff(np.concatenate([first, [whole]]))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose key another one has."""
+    for rows, _, sizes in _whole_keys(batches):
+        rows = rows[:, np.repeat(sizes > 1, sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(r.copy()) for r in rows], ["key", "node", "size"])
+
+
+def _candidates(similarity: float, star: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of a key whose sizes allow the similarity, from rows (key, node, size, group): if ``star``, those of the
+    member with the greatest group, else all of different groups."""
+
+    def pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if star:
+            i = np.lexsort((node, -group))[0]
+            j = np.flatnonzero((np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9) & (node != node[i]))
+            yield np.full(len(j), node[i]), node[j]
+        elif (group != group[0]).any():
+            for at in range(0, len(node), 512):
+                x, y = size[at : at + 512, None], size[None, at:]
+                i, j = np.nonzero((np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9) & (group[at : at + 512, None] != group[None, at:]))
+                i, j = i[i < j], j[i < j]
+                yield node[at + i], node[at + j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for rows, first, sizes in _whole_keys(batches):
+            for at, n in zip(first.tolist(), sizes.tolist()):
+                for a, b in pairs(*rows[1:, at : at + n]):
+                    new = set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist())) - seen
+                    if not new:
+                        continue
+                    if len(seen) > 500_000:
+                        seen.clear()  # repeats only cost a little
+                    seen |= new
+                    ab = np.array(list(new), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], ["a", "b"])
+
+    return run
+
+
+def _similar(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links whose whole shingle sets are alike; two empty sets are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                every = np.union1d(x, y)[:sketch]
-                both = np.intersect1d(x, y, assume_unique=True)
-                good.append(not len(every) or np.isin(every, both, assume_unique=True).mean() >= least)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return run
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 7, sketch: int = 128, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash and component_id of every row, over links of texts whose ``shingle``-word sets are alike.
+def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose sets are alike. The sets of an end with many links are copied once for each of 64 salts."""
+    sets = sets.select("node", "grams")
+    links = links.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(64)))
+    ends = links.select("b", "salt").distinct().join(sets.toDF("b", "gb"), "b")
+    met = links.withColumn("salt2", F.pmod(F.xxhash64("b"), F.lit(64)))
+    starts = met.select("a", "salt2").distinct().join(sets.toDF("a", "ga"), "a")
+    met = met.join(starts, ["a", "salt2"]).join(ends, ["b", "salt"]).select("a", "b", "ga", "gb")
+    return cut(met.mapInArrow(_similar(similarity), "a long, b long"))
+
 
-    Copies of such a similarity differ in 5 to 14 bits of a fingerprint of their five-word shingles, more than any
-    index of 64 bits can bridge, but in 0 to 7 bits of one of their distinct word pairs. These find candidates, the
-    spanning forests of all buckets they meet in; each is verified by the least ``sketch`` hashes of both shingle
-    sets (exact for texts of no more shingles; else with a deviation of 0.035, for which 0.04 is allowed).
+def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 7, *, text_col: str = "text") -> DataFrame:
+    """(node, root) of every distinct text, by the xxhash64 of it, that is linked to another: the components over all
+    pairs of texts whose sets of ``shingle`` words have a Jaccard similarity of at least ``similarity``.
+
+    A first round verifies the spanning forests of fingerprints of word pairs, and in each bucket of a prefix filter the
+    pairs of its most shared text. These leave few components in groups of copies. A second round verifies every pair
+    of a bucket that is still in two components; as texts so alike meet in some bucket, none is missed.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    marked = cut(rows.mapInArrow(_wide(shingle, sketch), "doc_id long, text_hash long, mark long, sketch binary"))
-    # one node for each text, by its smallest id; null ids are below all
-    ids = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    nodes = marked.groupBy("text_hash").agg(F.min(ids).alias("node"), F.first("mark").alias("mark"))
-    nodes = cut(nodes)
-    firsts = cut(nodes.groupBy("mark").agg(F.min("node").alias("first")))
+    rows = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    sets = cut(rows.dropDuplicates(["node"]).mapInArrow(_sets(shingle), "node long, mark long, grams binary"))
+    firsts = cut(sets.groupBy("mark").agg(F.min("node").alias("first")))
     found = mark_links(firsts.select("mark"), distance)
     a = firsts.select(F.col("mark").alias("a"), F.col("first").alias("na"))
     b = firsts.select(F.col("mark").alias("b"), F.col("first").alias("nb"))
-    links = found.join(a, "a").join(b, "b").select("na", "nb").union(nodes.join(firsts, "mark").where("node <> first").select("node", "first"))
-    sketches = marked.select(ids.alias("node"), "sketch").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    links = links.distinct().toDF("na", "nb")
-    linked = cut(sketches.join(links.select("na").union(links.select("nb")).distinct().toDF("node"), "node", "left_semi"))
-    met = links.join(linked.toDF("na", "sa"), "na").join(linked.toDF("nb", "sb"), "nb").select("na", "nb", "sa", "sb")
-    roots = components(met.mapInArrow(_similar(sketch, similarity - 0.04), "a long, b long"))
-    named = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("text_hash", F.coalesce("root", "node").alias("component"))
-    return marked.select("doc_id", "text_hash").join(named, "text_hash").select("doc_id", "text_hash", F.nullif("component", F.lit(-(1 << 63))).alias("component_id"))
+    near = found.join(a, "a").join(b, "b").select("na", "nb").union(sets.select("node", "mark").join(firsts, "mark").where("node <> first").select("node", "first"))
+
+    common = docs.sparkSession.sparkContext.broadcast(_common(sets))
+    keyed = sets.select("node", "grams").mapInArrow(_prefixes(similarity, common), "key long, node long, size long")
+    shared = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, size long"))
+    # the text the others are copies of has the greatest part of its shingles in common with them
+    part = shared.groupBy("node").agg((F.count("*") * 1_000_000 / F.greatest(F.first("size"), F.lit(1))).cast("long").alias("group"))
+    grouped = lambda by: shared.join(by, "node").select("key", "node", "size", "group").repartition("key").sortWithinPartitions("key")
+    stars = grouped(part).mapInArrow(_candidates(similarity, True), "a long, b long")
+    tried = cut(near.toDF("a", "b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(stars).distinct())
+    links = _verified(tried, sets, similarity)
+    roots = components(links)
+
+    known = shared.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
+    rest = grouped(known).mapInArrow(_candidates(similarity, False), "a long, b long").distinct()
+    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
+    more = _verified(rest, sets, similarity)
+    return roots if more.isEmpty() else components(links.union(more))
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 7, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, component (a text hash) and component_id (its least doc_id, null if all are) of every row."""
+    roots = similar_texts(docs, shingle, similarity, distance, text_col=text_col).toDF("text_hash", "root")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
+    texts = rows.groupBy("text_hash").agg(F.min("doc_id").alias("least")).join(roots, "text_hash", "left")
+    texts = texts.select("text_hash", "least", F.coalesce("root", "text_hash").alias("component"))
+    names = texts.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = texts.join(names, "component").select("text_hash", "component", "component_id")
+    return rows.join(named, "text_hash").select("doc_id", "text_hash", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of similar documents: that of the smallest id (of equal ids, the one with the least text hash)."""
-    marks = similar_documents(docs, shingle, similarity, id_col=id_col, text_col=text_col)
-    kept = cut(marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_n")))
-    repeated = not kept.where("_n > 1").limit(1).isEmpty()
+    """One row of each group of similar documents: that of the smallest id, null ids last, and then of the least text hash.
+
+    Different texts of one id, but for null, count as one document: that of the least text hash, chosen before any is compared.
+    """
     columns = docs.columns
-    none = F.lit(-(1 << 63))
-    kept = kept.select(F.coalesce("doc_id", none).alias("_id"), "_hash")
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), none), "_hash": F.xxhash64(text_col)}).join(kept, ["_id", "_hash"], "left_semi")
-    if repeated:
-        one = Window.partitionBy("_id", "_hash").orderBy(F.lit(0))
-        rows = rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
-    return rows.select(*[F.col(f"`{c}`") for c in columns])
+    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
+    ids = rows.where("_id is not null").groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most"))
+    several = cut(ids.where("_least <> _most").select("_id", "_least"))
+    if not several.isEmpty():
+        rows = rows.join(several, "_id", "left").where("_least is null or _hash = _least").drop("_least")
+    roots = similar_texts(rows, shingle, similarity, text_col=text_col).toDF("_hash", "_root")
+    counts = rows.groupBy("_hash", "_id").agg(F.count("*").alias("_n"))
+    texts = counts.groupBy("_hash").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash", "_n")).alias("_first")).join(roots, "_hash", "left")
+    best = texts.groupBy(F.coalesce("_root", "_hash")).agg(F.min("_first").alias("_best"))
+    kept = cut(best.select("_best._hash", F.col("_best._id").alias("_kept"), "_best._n"))
+    found = rows.join(kept.drop("_n"), "_hash").where(F.col("_id").eqNullSafe(F.col("_kept")))
+    if not kept.where("_n > 1").isEmpty():
+        found = found.dropDuplicates(["_hash"])
+    return found.select(*[F.col(f"`{c}`") for c in columns])

@@ -133,3 +133,62 @@ def test_edited_copies_are_caught(spark):
             copies.add(1000 + 10 * i + c)
     left = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert set(range(150)) <= left and len(copies & left) <= 6
+
+
+def exact_groups(rows, similarity=0.8):
+    """Components of distinct texts over all pairs of a Jaccard similarity of at least ``similarity``."""
+    texts = sorted({t for _, t in rows})
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    groups = defaultdict(set)
+    for i, t in enumerate(texts):
+        groups[find(i)].add(t)
+    return {frozenset(g) for g in groups.values()}
+
+
+def found_groups(spark, rows):
+    groups = defaultdict(set)
+    text = {i: t for i, t in rows}
+    for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        groups[r["component"]].add(text[r["doc_id"]])
+    return {frozenset(g) for g in groups.values()}
+
+
+def edited(rng, t, words, jaccard, block):
+    """A copy of ``t`` whose five-word sets are just about as similar as ``jaccard`` or a little more."""
+    out, spots = list(t), rng.sample(range(len(t)), len(t))
+    at, n = rng.randrange(len(t) // 2), 0
+    while True:
+        trial = list(out)
+        trial[at + n if block else spots[n]] = rng.choice(words)
+        x, y = shingles(" ".join(t)), shingles(" ".join(trial))
+        if len(x & y) < jaccard * len(x | y):
+            return out
+        out, n = trial, n + 1
+
+
+def test_every_pair_of_the_similarity_is_linked(spark):
+    """Recall 1 at 0.80, 0.85 and 0.90, for edits in one block and scattered ones."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(5000)]
+    rows, pairs = [], []
+    for kind in range(6):
+        for _ in range(12):
+            t = rng.choices(words, k=rng.randint(40, 260))
+            i = len(rows)
+            rows += [(i, " ".join(t)), (i + 1, " ".join(edited(rng, t, words, (0.8, 0.85, 0.9)[kind // 2], kind % 2 == 0)))]
+            pairs.append((i, i + 1))
+    of = {r["doc_id"]: r["component"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert [p for p in pairs if of[p[0]] != of[p[1]]] == [] and len(set(of.values())) == len(pairs)

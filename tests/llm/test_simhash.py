@@ -192,3 +192,19 @@ def test_every_pair_of_the_similarity_is_linked(spark):
             pairs.append((i, i + 1))
     of = {r["doc_id"]: r["component"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert [p for p in pairs if of[p[0]] != of[p[1]]] == [] and len(set(of.values())) == len(pairs)
+
+
+def test_large_groups_of_edited_copies(spark):
+    """Chains, and copies alike to their source but not to each other, beside a line that all texts share."""
+    rng = random.Random(22)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    line, rows = "this very common line stands at the end of each text here", []
+    for _ in range(3):
+        t = rng.choices(words, k=150)
+        texts, last = [t], t
+        for n in range(25):
+            last = edited(rng, last, words, 0.8, n % 2 == 0)
+            texts += [last, edited(rng, t, words, 0.8, n % 2 == 0)]
+        rows += [(len(rows) + k, " ".join(x) + " " + line) for k, x in enumerate(texts)]
+    rows += [(len(rows) + k, " ".join(rng.choices(words, k=rng.randint(1, 60))) + " " + line) for k in range(60)]
+    assert found_groups(spark, rows) == exact_groups(rows)

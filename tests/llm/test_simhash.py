@@ -208,3 +208,17 @@ def test_large_groups_of_edited_copies(spark):
         rows += [(len(rows) + k, " ".join(x) + " " + line) for k, x in enumerate(texts)]
     rows += [(len(rows) + k, " ".join(rng.choices(words, k=rng.randint(1, 60))) + " " + line) for k in range(60)]
     assert found_groups(spark, rows) == exact_groups(rows)
+
+
+def test_threshold_is_exact(spark):
+    """Short texts under and at 0.8, long ones just under it: 80 of 101 and 80 of 100 shingles, 720 of 1000 and so on."""
+    rng = random.Random(23)
+    rows, word = [], lambda: "".join(rng.choices("abcdefghij", k=9))
+    want = {}
+    for both, more in [(80, 20), (80, 21), (40, 10), (40, 11), (4, 1), (3, 1), (800, 200), (790, 210), (780, 220)] * 3:
+        start = [word() for _ in range(both + 4)]
+        i = len(rows)
+        rows += [(i, " ".join(start)), (i + 1, " ".join(start + [word() for _ in range(more)]))]
+        want[i] = both >= 0.8 * (both + more)
+    of = {r["doc_id"]: r["component"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {i: of[i] == of[i + 1] for i in want} == want

@@ -222,3 +222,10 @@ def test_threshold_is_exact(spark):
         want[i] = both >= 0.8 * (both + more)
     of = {r["doc_id"]: r["component"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert {i: of[i] == of[i + 1] for i in want} == want
+
+
+def test_texts_without_ids_are_kept(spark):
+    rows = [(None, f"text number {i} of those without an id at all") for i in range(20)] * 2 + [(5, "text number 3 of those without an id at all"), (6, "q r s")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r["text"] for r in kept) == sorted({t for _, t in rows})
+    assert {r["doc_id"] for r in kept if "number 3 " in r["text"] or r["text"] == "q r s"} == {5, 6}

@@ -85,17 +85,21 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = G
 
 
 def _twice(hashes: np.ndarray, least: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
-    """Whether a run meets a string that has its least gram twice, or next to one that has it."""
+    """Whether a run meets a string that has its least gram twice, or next to one that has it.
+
+    Grams ``width`` apart are in no string together, but all strings between have one of them: one run, which is marked.
+    """
     # A gram is the least of some string if it is the greatest of the least grams around it.
     edge = np.zeros(width - 1, np.uint64)
     around = ~_sliding_min(~np.concatenate([edge, least, edge]), width)
     chosen = np.flatnonzero(around == hashes[: len(around)])
-    pair = np.flatnonzero((hashes[chosen[1:]] == hashes[chosen[:-1]]) & (np.diff(chosen) < width))
+    pair = np.flatnonzero((hashes[chosen[1:]] == hashes[chosen[:-1]]) & (np.diff(chosen) <= width))
     if not len(pair) or not len(at):
         return np.zeros(len(at), bool)
     cover = np.zeros(len(least) + 1, np.int64)
-    np.add.at(cover, np.minimum(np.maximum(chosen[pair + 1] - width + 1, 0), len(least)), 1)
-    np.add.at(cover, np.minimum(chosen[pair] + 1, len(least)), -1)
+    low, high = chosen[pair], chosen[pair + 1] - width + 1
+    np.add.at(cover, np.minimum(np.maximum(np.minimum(low, high), 0), len(least)), 1)
+    np.add.at(cover, np.minimum(np.maximum(low, high) + 1, len(least)), -1)
     return np.maximum.reduceat((np.cumsum(cover[:-1]) > 0).astype(np.int8), at) > 0
 
 

@@ -91,3 +91,15 @@ def test_repeated_and_null_ids(spark, empty):
     n = len(text)
     assert sorted(out[None]) == [(0, 0), (n, 0)] and out[1] == [(n, n), (n, n)] and sorted(out[2]) == [(n + 1, n), (n + 1, n)]
     assert sd.remove_repeats(empty).count() == 0
+
+
+def test_lone_repeats_of_every_period(spark):
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    text = lambda n: "".join(rng.choices(letters, k=n))
+    rows = []
+    for period in range(1, 141):
+        for more in (-1, 0, 1, 150):
+            around = text(rng.randint(0, 200))
+            rows.append((len(rows), around + (text(period) * 400)[: 100 + period + more] + around[: rng.randint(0, 90)]))
+    assert got(sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute(rows)

@@ -362,15 +362,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(similarity: float, star: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of a key whose sizes allow the similarity, from rows (key, node, size, group): if ``star``, those of the
-    member with the greatest group, else all of different groups."""
+    """Pairs of a key from different groups whose sizes allow the similarity, from rows (key, node, size, group, rank):
+    if ``star``, of the member of the greatest rank with that of each other group, else all."""
 
-    def pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if (group == group[0]).all():
+            return
         if star:
-            i = np.lexsort((node, -group))[0]
-            j = np.flatnonzero((np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9) & (node != node[i]))
+            by = np.lexsort((node, -rank))
+            i, j = by[0], by[np.unique(group[by], return_index=True)[1]]
+            j = j[(np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-9) & (group[j] != group[i])]
             yield np.full(len(j), node[i]), node[j]
-        elif (group != group[0]).any():
+        else:
             for at in range(0, len(node), 512):
                 x, y = size[at : at + 512, None], size[None, at:]
                 i, j = np.nonzero((np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9) & (group[at : at + 512, None] != group[None, at:]))
@@ -411,13 +414,10 @@ def _similar(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose sets are alike. The sets of an end with many links are copied once for each of 64 salts."""
-    sets = sets.select("node", "grams")
-    links = links.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(64)))
-    ends = links.select("b", "salt").distinct().join(sets.toDF("b", "gb"), "b")
-    met = links.withColumn("salt2", F.pmod(F.xxhash64("b"), F.lit(64)))
-    starts = met.select("a", "salt2").distinct().join(sets.toDF("a", "ga"), "a")
-    met = met.join(starts, ["a", "salt2"]).join(ends, ["b", "salt"]).select("a", "b", "ga", "gb")
+    """The links (a, b) whose sets are alike."""
+    ends = links.select("a").union(links.select("b")).distinct().toDF("node")
+    linked = sets.select("node", "grams").join(ends, "node", "left_semi")
+    met = links.join(linked.toDF("a", "ga"), "a").join(linked.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
     return cut(met.mapInArrow(_similar(similarity), "a long, b long"))
 
 
@@ -425,9 +425,9 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, di
     """(node, root) of every distinct text, by the xxhash64 of it, that is linked to another: the components over all
     pairs of texts whose sets of ``shingle`` words have a Jaccard similarity of at least ``similarity``.
 
-    A first round verifies the spanning forests of fingerprints of word pairs, and in each bucket of a prefix filter the
-    pairs of its most shared text. These leave few components in groups of copies. A second round verifies every pair
-    of a bucket that is still in two components; as texts so alike meet in some bucket, none is missed.
+    Candidates are first the spanning forests of fingerprints of word pairs, then, in each bucket of a prefix filter, the
+    most shared text with one of each other component. These leave few components in groups of copies. Last, every pair
+    of a bucket that is still in two components is verified; as texts so alike meet in some bucket, none is missed.
     """
     rows = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
     sets = cut(rows.dropDuplicates(["node"]).mapInArrow(_sets(shingle), "node long, mark long, grams binary"))
@@ -441,18 +441,22 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, di
     keyed = sets.select("node", "grams").mapInArrow(_prefixes(similarity, common), "key long, node long, size long")
     shared = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, size long"))
     # the text the others are copies of has the greatest part of its shingles in common with them
-    part = shared.groupBy("node").agg((F.count("*") * 1_000_000 / F.greatest(F.first("size"), F.lit(1))).cast("long").alias("group"))
-    grouped = lambda by: shared.join(by, "node").select("key", "node", "size", "group").repartition("key").sortWithinPartitions("key")
-    stars = grouped(part).mapInArrow(_candidates(similarity, True), "a long, b long")
-    tried = cut(near.toDF("a", "b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(stars).distinct())
+    ranks = cut(shared.groupBy("node").agg((F.count("*") * 1_000_000 / F.greatest(F.first("size"), F.lit(1))).cast("long").alias("rank")))
+
+    def candidates(roots: DataFrame, star: bool) -> DataFrame:
+        groups = ranks.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "rank")
+        rows = shared.join(groups, "node").select("key", "node", "size", "group", "rank").repartition("key").sortWithinPartitions("key")
+        return rows.mapInArrow(_candidates(similarity, star), "a long, b long").distinct()
+
+    tried = cut(near.select(F.greatest("na", "nb").alias("a"), F.least("na", "nb").alias("b")).distinct())
     links = _verified(tried, sets, similarity)
     roots = components(links)
-
-    known = shared.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"))
-    rest = grouped(known).mapInArrow(_candidates(similarity, False), "a long, b long").distinct()
-    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
-    more = _verified(rest, sets, similarity)
-    return roots if more.isEmpty() else components(links.union(more))
+    for star in (True, False):
+        new = cut(candidates(roots, star).join(tried, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            links, tried = links.union(_verified(new, sets, similarity)), tried.union(new)
+            roots = components(links)
+    return roots
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 7, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

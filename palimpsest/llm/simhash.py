@@ -268,7 +268,8 @@ def hex_mark(mark):
 
 
 def _sets(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """node, the fingerprint of the text's distinct word pairs, and the sorted hashes of all its distinct shingles."""
+    """node, the fingerprint of the text's distinct word pairs, the sorted hashes of all its distinct shingles, how many
+    they are, and for each of 2,048 classes of hashes whether the text has an odd number of them."""
 
     def hashes(words: list[bytes], n: int) -> np.ndarray:
         grams = {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else ()
@@ -278,14 +279,18 @@ def _sets(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                marks, sets = [], []
+                marks, sets, sizes, odd = [], [], [], []
                 for text in part.column(1):
                     words = (text.as_py() or "").encode().lower().split()
                     pairs = hashes(words, 2)
                     ones = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                     marks.append(np.packbits(ones * 2 > max(len(pairs), 1), bitorder="little").view(np.uint64)[0])
-                    sets.append(np.sort(hashes(words, shingle)).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], ["node", "mark", "grams"])
+                    grams = np.sort(hashes(words, shingle))
+                    sets.append(grams.tobytes())
+                    sizes.append(len(grams))
+                    odd.append(np.packbits(np.bincount((grams & np.uint64(2047)).astype(np.int64), minlength=2048) & 1).tobytes())
+                columns = [pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["node", "mark", "grams", "size", "odd"])
 
     return run
 
@@ -413,8 +418,26 @@ def _similar(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
+def _possible(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links but for those whose sets surely differ by too much: a class that is odd in one alone holds a difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                a, b, x, y, m, n = batch.slice(at, 4096).columns
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, 32) for c in (x, y))
+                both = m.to_numpy(zero_copy_only=False) + n.to_numpy(zero_copy_only=False)
+                keep = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * both + 1e-6)
+                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+
+    return run
+
+
 def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose sets are alike."""
+    """The links (a, b) whose sets are alike. Whole sets move only for those that 2,048 parities cannot rule out."""
+    short = sets.select("node", "odd", "size")
+    met = links.join(short.toDF("a", "xa", "na"), "a").join(short.toDF("b", "xb", "nb"), "b").select("a", "b", "xa", "xb", "na", "nb")
+    links = cut(met.mapInArrow(_possible(similarity), "a long, b long"))
     ends = links.select("a").union(links.select("b")).distinct().toDF("node")
     linked = sets.select("node", "grams").join(ends, "node", "left_semi")
     met = links.join(linked.toDF("a", "ga"), "a").join(linked.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
@@ -430,7 +453,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, di
     of a bucket that is still in two components is verified; as texts so alike meet in some bucket, none is missed.
     """
     rows = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
-    sets = cut(rows.dropDuplicates(["node"]).mapInArrow(_sets(shingle), "node long, mark long, grams binary"))
+    sets = cut(rows.dropDuplicates(["node"]).mapInArrow(_sets(shingle), "node long, mark long, grams binary, size long, odd binary"))
     firsts = cut(sets.groupBy("mark").agg(F.min("node").alias("first")))
     found = mark_links(firsts.select("mark"), distance)
     a = firsts.select(F.col("mark").alias("a"), F.col("first").alias("na"))

@@ -34,6 +34,8 @@ SPLIT = 2048
 SEED = 42
 #: Of a sixteenth of all texts, how many a common shingle is in; and how many common ones are ordered last at most.
 COMMON, MOST_COMMON = 8, 500_000
+#: Rows of hashes and ids up to which a counted side is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint_of(text: str | None, shingle: int) -> int:
@@ -166,7 +168,7 @@ def _close(marks: np.ndarray, distance: int) -> np.ndarray:
 
 
 def _forest(distance: int, keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by key and mark; gives links (mark, smaller mark) that span each bucket's components."""
+    """Rows come sorted by key and mark; gives links (mark, smaller mark) that span the components of the task's buckets."""
 
     def links(key: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
@@ -184,7 +186,7 @@ def _forest(distance: int, keys: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = np.empty((0, keys), np.int64), np.empty(0, np.uint64)
-        seen: set[tuple[int, int]] = set()
+        forest = _Forest()
         ended = False
         batches = iter(batches)
         while not ended:
@@ -200,20 +202,17 @@ def _forest(distance: int, keys: int) -> Callable[[Iterator[pa.RecordBatch]], It
             if whole:
                 a, b = links(held_key[:whole], held[:whole])
                 held_key, held = held_key[whole:], held[whole:]
-                if len(seen) > 1_000_000:
-                    seen.clear()  # repeats only cost a little
-                new = [p for p in dict.fromkeys(zip(a.tolist(), b.tolist())) if p not in seen]
-                seen.update(new)
-                if new:
-                    ab = np.array(new, np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], ["a", "b"])
+                new = np.array(forest.new(a.tolist(), b.tolist()), bool)
+                if new.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64))], ["a", "b"])
 
     return run
 
 
 def mark_links(marks: DataFrame, distance: int = 3) -> DataFrame:
     """(a, b): links between distinct ``mark`` values at most ``distance`` bits apart; their components are exact."""
-    keyed = marks.mapInArrow(_index(distance), "key long, mark long")
+    parts = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = marks.repartition(parts, "mark").mapInArrow(_index(distance), "key long, mark long")
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     large = cut(counts.where(F.col("n") > SPLIT).select("key"))
     shared = keyed.repartition("key").sortWithinPartitions("key", "mark") if large.isEmpty() else keyed.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key", "mark")
@@ -267,50 +266,36 @@ def hex_mark(mark):
     return F.lower(F.lpad(F.hex(mark), 16, "0"))
 
 
-def _sets(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """node, the fingerprint of the text's distinct word pairs, the sorted hashes of all its distinct shingles, how many
-    they are, and for each of 2,048 classes of hashes whether the text has an odd number of them."""
+def _gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct hashes of all runs of ``n`` words, from the words' hashes; fewer words are one run, none none."""
+    runs = max(1, len(words) - n + 1) if len(words) else 0
+    h = np.full(runs, min(n, len(words)), np.uint64)
+    for k in range(min(n, len(words))):
+        h = (h ^ words[k : k + runs]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(h ^ (h >> np.uint64(32)))
 
-    def hashes(words: list[bytes], n: int) -> np.ndarray:
-        grams = {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else ()
-        return np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                marks, sets, sizes, odd = [], [], [], []
-                for text in part.column(1):
-                    words = (text.as_py() or "").encode().lower().split()
-                    pairs = hashes(words, 2)
-                    ones = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                    marks.append(np.packbits(ones * 2 > max(len(pairs), 1), bitorder="little").view(np.uint64)[0])
-                    grams = np.sort(hashes(words, shingle))
-                    sets.append(grams.tobytes())
-                    sizes.append(len(grams))
-                    odd.append(np.packbits(np.bincount((grams & np.uint64(2047)).astype(np.int64), minlength=2048) & 1).tobytes())
-                columns = [pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["node", "mark", "grams", "size", "odd"])
-
-    return run
+def _text_grams(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's words, and those of its distinct runs of ``n``."""
+    digest = xxhash.xxh64_intdigest
+    words = np.array([digest(w, SEED) for w in (text or "").encode().lower().split()], np.uint64)
+    return words, _gram_hashes(words, n)
 
 
-def _common(sets: DataFrame) -> np.ndarray:
-    """Sorted hashes of common shingles, estimated from a sixteenth of the texts. They only set the order of shingles."""
+def _parities(grams: np.ndarray) -> bytes:
+    """A bit for each class of hashes: whether an odd number of ``grams`` is in it. As many classes as hashes, 512 to 4,096."""
+    classes = 1 << min(12, max(9, int(len(grams) - 1).bit_length() if len(grams) else 0))
+    return np.packbits(np.bincount((grams & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1, bitorder="little").tobytes()
 
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                raw = b"".join(batch.slice(at, 64).column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64))], ["gram"])
 
-    counts = sets.where(F.pmod("node", F.lit(16)) == 0).select("grams").mapInArrow(every, "gram long").groupBy("gram").count()
-    often = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "gram").limit(MOST_COMMON).select("gram").toArrow()
-    return np.sort(often.column(0).to_numpy().view(np.uint64))
+SKETCH = "node long, mark long, size long, odd binary, first array<long>"
 
 
-def _prefixes(similarity: float, common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """key, node, size of the set, for the first shingles of each text: of two sets so alike, these have one in common.
+def _sketches(shingle: int, similarity: float, common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each text: the fingerprint of its distinct word pairs, the size and parities of its set of shingles, and the
+    first of them: of two sets so alike, these have one in common.
 
     Any order of all shingles will do, if it is one for all texts: by hash, those in ``common`` last. Empty sets meet in key 0.
     """
@@ -318,34 +303,62 @@ def _prefixes(similarity: float, common) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = common.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keys, sizes, taken = [], [], []
-                for raw in part.column(1).to_pylist():
-                    grams = np.frombuffer(raw, np.uint64)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                seen: set[int] = set()
+                rows = [], [], [], [], []
+                for node, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    if node in seen:
+                        continue
+                    seen.add(node)
+                    words, grams = _text_grams(text.as_py(), shingle)
+                    pairs = _gram_hashes(words, 2)
+                    ones = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                     n = len(grams)
+                    ordered = grams
                     if len(late) and n:
                         is_late = late[np.minimum(np.searchsorted(late, grams), len(late) - 1)] == grams
-                        grams = np.concatenate([grams[~is_late], grams[is_late]])
-                    first = grams[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)
-                    keys.append(first)
-                    sizes.append(n)
-                    taken.append(len(first))
-                nodes = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(nodes, taken)), pa.array(np.repeat(np.array(sizes, np.int64), taken))], ["key", "node", "size"])
+                        ordered = np.concatenate([grams[~is_late], grams[is_late]])
+                    first = ordered[: n - math.ceil(similarity * n - 1e-9) + 1] if n else np.zeros(1, np.uint64)
+                    mark = np.packbits(ones * 2 > max(len(pairs), 1), bitorder="little").view(np.int64)[0]
+                    for column, value in zip(rows, (node, mark, n, _parities(grams), first.view(np.int64))):
+                        column.append(value)
+                node, mark, size, odd, first = rows
+                ends = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first)))
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(mark, pa.int64()), pa.array(size, pa.int64()), pa.array(odd, pa.binary()), lists], ["node", "mark", "size", "odd", "first"])
 
     return run
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """From rows sorted by their first column: blocks of whole keys (a row for each column), where each starts, its size."""
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of common shingles, estimated from a sixteenth of the texts. They only set the order of shingles."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(_text_grams(text.as_py(), shingle)[1].view(np.int64))], ["gram"])
+
+    some = texts.where(F.pmod("node", F.lit(16)) == 0).dropDuplicates(["node"])
+    counts = some.mapInArrow(every, "gram long").groupBy("gram").count()
+    often = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "gram").limit(MOST_COMMON).select("gram").toArrow()
+    return np.sort(often.column(0).to_numpy().view(np.uint64))
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
+    """From rows sorted by their first column: blocks of whole keys (longs as a row for each column, the last column if it
+    is binary), where each key starts, and its size."""
     held: list[np.ndarray] = []
+    held_odd: list[bytes] = []
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
-            new = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if not new.shape[1]:
+            if not batch.num_rows:
                 continue
+            longs = [c for c in batch.columns if pa.types.is_integer(c.type)]
+            new = np.stack([c.to_numpy(zero_copy_only=False) for c in longs])
             held.append(new)
+            if len(longs) < batch.num_columns:
+                held_odd += batch.column(batch.num_columns - 1).to_pylist()
             if held[0][0, 0] == new[0, -1]:
                 continue  # all of one key so far
         if not held:
@@ -354,50 +367,143 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         first = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
         whole = rows.shape[1] if batch is None else int(first[-1])
         held = [rows[:, whole:]] if whole < rows.shape[1] else []
+        odd, held_odd = held_odd[:whole], held_odd[whole:]
         first = first[first < whole]
         if len(first):
-            yield rows[:, :whole], first, np.diff(np.concatenate([first, [whole]]))
+            yield rows[:, :whole], odd, first, np.diff(np.concatenate([first, [whole]]))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose key another one has."""
-    for rows, _, sizes in _whole_keys(batches):
-        rows = rows[:, np.repeat(sizes > 1, sizes)]
-        yield pa.RecordBatch.from_arrays([pa.array(r.copy()) for r in rows], ["key", "node", "size"])
-
+    """The rows (key, node, place) whose key another node has; each node once a key."""
+    for rows, _, first, sizes in _whole_keys(batches):
+        order = np.lexsort((rows[1], rows[0]))
+        rows = rows[:, order]
+        rows = rows[:, np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(0)])]
+        edge = rows[0, 1:] == rows[0, :-1]
+        rows = rows[:, np.concatenate([[False], edge]) | np.concatenate([edge, [False]])]
+        yield pa.RecordBatch.from_arrays([pa.array(r.copy()) for r in rows], ["key", "node", "place"])
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, node, place, group) of keys that several groups have."""
+    for rows, _, first, sizes in _whole_keys(batches):
+        several = np.minimum.reduceat(rows[3], first) != np.maximum.reduceat(rows[3], first)
+        rows = rows[:, np.repeat(several, sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(r.copy()) for r in rows], ["key", "node", "place", "group"])
+
+
+def _fold(odd: np.ndarray, words: int) -> np.ndarray:
+    """Parities of fewer classes: those of the two halves, added."""
+    while odd.shape[1] > words:
+        half = odd.shape[1] // 2
+        odd = odd[:, :half] ^ odd[:, half:]
+    return odd
+
+
+class _Likely:
+    """Tests pairs of rows, given as places i and j: whether their sets can be so alike, by sizes, places and parities."""
+
+    def __init__(self, rows: np.ndarray, odd: list[bytes], similarity: float):
+        self.node, place, self.group = rows[1:4]
+        self.pos, self.size = place >> 32, place & 0xFFFFFFFF
+        self.similarity = similarity
+        self.words = np.array([len(o) for o in odd]) // 8
+        self.odd = odd
+        self.short = self._matrix(np.arange(len(odd)), 8)
+
+    def _matrix(self, at: np.ndarray, words: int) -> np.ndarray:
+        out = np.zeros((len(at), words), np.uint64)
+        for w in np.unique(self.words[at]).tolist():
+            here = np.flatnonzero(self.words[at] == w)
+            raw = np.frombuffer(b"".join([self.odd[k] for k in at[here].tolist()]), np.uint64).reshape(-1, w)
+            out[here] = _fold(raw, words)
+        return out
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = self.similarity
+        m, n = self.size[i], self.size[j]
+        least = s / (1 + s) * (m + n)  # that many shingles in common, at least
+        ok = (self.group[i] != self.group[j]) & (np.minimum(m, n) >= s * np.maximum(m, n) - 1e-9)
+        ok &= np.minimum(m - self.pos[i], n - self.pos[j]) >= least - 1e-6  # the first common key has all others behind it
+        i, j, most = i[ok], j[ok], (m + n)[ok] * (1 - s) / (1 + s) + 1e-6
+        apart = np.bitwise_count(self.short[i] ^ self.short[j]).sum(1, dtype=np.int64)
+        near = np.flatnonzero(apart <= most)
+        near = near[np.argsort(apart[near] / most[near], kind="stable")]  # the likeliest first
+        i, j, most = i[near], j[near], most[near]
+        level = np.minimum(self.words[i], self.words[j])
+        for w in np.unique(level[level > 8]).tolist():
+            at = np.flatnonzero(level == w)
+            ends, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+            odd = self._matrix(ends, w)
+            far = at[np.bitwise_count(odd[back[: len(at)]] ^ odd[back[len(at) :]]).sum(1, dtype=np.int64) > most[at]]
+            keep = np.ones(len(i), bool)
+            keep[far] = False
+            i, j, most, level = i[keep], j[keep], most[keep], level[keep]
+        return i, j
+
+
+def _pairs(first: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs inside each key, as places, in blocks that are tested and gone before the next."""
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= 64)]).tolist():
+        i, j = np.triu_indices(n, 1)
+        step = max(1, (1 << 18) // len(i))
+        starts = first[sizes == n]
+        for at in range(0, len(starts), step):
+            here = starts[at : at + step, None]
+            yield (here + i).ravel(), (here + j).ravel()
+    for a, n in zip(first[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
+        for at in range(0, n, 256):
+            i, j = np.divmod(np.arange(min(256, n - at) * (n - at)), n - at)
+            below = i < j
+            yield a + at + i[below], a + at + j[below]
+
+
+class _Forest:
+    """Components of what one task has seen: of links, those that joined two."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        above = self.above
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    def new(self, a: list[int], b: list[int]) -> list[bool]:
+        out = []
+        for x, y in zip(a, b):
+            x, y = self.root(x), self.root(y)
+            out.append(x != y)
+            if x != y:
+                self.above[max(x, y)] = min(x, y)
+        return out
 
-def _candidates(similarity: float, star: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of a key from different groups whose sizes allow the similarity, from rows (key, node, size, group, rank):
-    if ``star``, of the member of the greatest rank with that of each other group, else all."""
 
-    def pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if (group == group[0]).all():
-            return
-        if star:
-            by = np.lexsort((node, -rank))
-            i, j = by[0], by[np.unique(group[by], return_index=True)[1]]
-            j = j[(np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-9) & (group[j] != group[i])]
-            yield np.full(len(j), node[i]), node[j]
-        else:
-            for at in range(0, len(node), 512):
-                x, y = size[at : at + 512, None], size[None, at:]
-                i, j = np.nonzero((np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9) & (group[at : at + 512, None] != group[None, at:]))
-                i, j = i[i < j], j[i < j]
-                yield node[at + i], node[at + j]
+def _candidates(similarity: float, all_pairs: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between groups that sizes, places and parities allow, from rows (key, node, place, group, odd): a forest of
+    the task's groups, or all of them, each once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for rows, first, sizes in _whole_keys(batches):
-            for at, n in zip(first.tolist(), sizes.tolist()):
-                for a, b in pairs(*rows[1:, at : at + n]):
-                    new = set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist())) - seen
-                    if not new:
-                        continue
+        forest, seen = _Forest(), set()
+        for rows, odd, first, sizes in _whole_keys(batches):
+            likely = _Likely(rows, odd, similarity)
+            for i, j in _pairs(first, sizes):
+                i, j = likely(i, j)
+                if not len(i):
+                    continue
+                if all_pairs:
+                    a, b = np.maximum(likely.node[i], likely.node[j]).tolist(), np.minimum(likely.node[i], likely.node[j]).tolist()
+                    new = [p for p in dict.fromkeys(zip(a, b)) if p not in seen]
                     if len(seen) > 500_000:
                         seen.clear()  # repeats only cost a little
-                    seen |= new
-                    ab = np.array(list(new), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], ["a", "b"])
+                    seen.update(new)
+                    ab = np.array(new, np.int64).reshape(-1, 2)
+                else:
+                    keep = np.array(forest.new(likely.group[i].tolist(), likely.group[j].tolist()), bool)
+                    ab = np.stack([likely.node[i][keep], likely.node[j][keep]], 1)
+                if len(ab):
+                    yield pa.RecordBatch.from_arrays([pa.array(ab.max(1)), pa.array(ab.min(1))], ["a", "b"])
 
     return run
 
@@ -419,27 +525,49 @@ def _similar(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def _possible(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links but for those whose sets surely differ by too much: a class that is odd in one alone holds a difference."""
+    """Links (a, b, parities and sizes) but for those whose sets surely differ by too much: a class that is odd in one
+    alone holds a difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 a, b, x, y, m, n = batch.slice(at, 4096).columns
-                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, 32) for c in (x, y))
-                both = m.to_numpy(zero_copy_only=False) + n.to_numpy(zero_copy_only=False)
-                keep = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * both + 1e-6)
-                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+                rows = len(a)
+                place = np.concatenate([c.to_numpy(zero_copy_only=False) for c in (m, n)])
+                both = np.stack([np.zeros(2 * rows, np.int64), np.zeros(2 * rows, np.int64), place, np.arange(2 * rows)])
+                i, _ = _Likely(both, x.to_pylist() + y.to_pylist(), similarity)(np.arange(rows), np.arange(rows, 2 * rows))
+                yield pa.RecordBatch.from_arrays([a.take(pa.array(i)), b.take(pa.array(i))], ["a", "b"])
 
     return run
 
 
-def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose sets are alike. Whole sets move only for those that 2,048 parities cannot rule out."""
-    short = sets.select("node", "odd", "size")
+def _grams(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [_text_grams(t.as_py(), shingle)[1].tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "grams"])
+
+    return run
+
+
+def _limited(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side to broadcast, if its counted size allows; a shuffle joins it else."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _verified(links: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose sets are alike. Texts move only for those that parities cannot rule out."""
+    short = sketches.select("node", "odd", "size")
     met = links.join(short.toDF("a", "xa", "na"), "a").join(short.toDF("b", "xb", "nb"), "b").select("a", "b", "xa", "xb", "na", "nb")
-    links = cut(met.mapInArrow(_possible(similarity), "a long, b long"))
-    ends = links.select("a").union(links.select("b")).distinct().toDF("node")
-    linked = sets.select("node", "grams").join(ends, "node", "left_semi")
+    return _alike(cut(met.mapInArrow(_possible(similarity), "a long, b long")), texts, shingle, similarity)
+
+
+def _alike(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose sets are alike, by the whole sets of both texts."""
+    ends = cut(links.select("a").union(links.select("b")).distinct().toDF("node"))
+    linked = texts.join(_limited(ends), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_grams(shingle), "node long, grams binary")
     met = links.join(linked.toDF("a", "ga"), "a").join(linked.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
     return cut(met.mapInArrow(_similar(similarity), "a long, b long"))
 
@@ -448,44 +576,47 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, di
     """(node, root) of every distinct text, by the xxhash64 of it, that is linked to another: the components over all
     pairs of texts whose sets of ``shingle`` words have a Jaccard similarity of at least ``similarity``.
 
-    Candidates are first the spanning forests of fingerprints of word pairs, then, in each bucket of a prefix filter, the
-    most shared text with one of each other component. These leave few components in groups of copies. Last, every pair
-    of a bucket that is still in two components is verified; as texts so alike meet in some bucket, none is missed.
+    Candidates are first the spanning forests of fingerprints of word pairs. Then texts meet in the buckets of a prefix
+    filter, where those of different components are compared by sizes, places and parities; twice a forest of the likely
+    links is verified on whole sets, last every likely link still between two components. Texts so alike meet in some
+    bucket and pass there, so none is missed. Nulls, empty and blank texts have the empty set and are alike. Texts of
+    any length are taken whole.
     """
-    rows = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
-    sets = cut(rows.dropDuplicates(["node"]).mapInArrow(_sets(shingle), "node long, mark long, grams binary, size long, odd binary"))
-    firsts = cut(sets.groupBy("mark").agg(F.min("node").alias("first")))
+    texts = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("node"), F.col(f"`{text_col}`").alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(_common(texts, shingle))
+    sketches = cut(texts.mapInArrow(_sketches(shingle, similarity, common), SKETCH))
+    single = cut(sketches.select("node", "mark", "size", "odd").dropDuplicates(["node"]))
+    firsts = cut(single.groupBy("mark").agg(F.min("node").alias("first")))
     found = mark_links(firsts.select("mark"), distance)
     a = firsts.select(F.col("mark").alias("a"), F.col("first").alias("na"))
     b = firsts.select(F.col("mark").alias("b"), F.col("first").alias("nb"))
-    near = found.join(a, "a").join(b, "b").select("na", "nb").union(sets.select("node", "mark").join(firsts, "mark").where("node <> first").select("node", "first"))
-
-    common = docs.sparkSession.sparkContext.broadcast(_common(sets))
-    keyed = sets.select("node", "grams").mapInArrow(_prefixes(similarity, common), "key long, node long, size long")
-    shared = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, size long"))
-    # the text the others are copies of has the greatest part of its shingles in common with them
-    ranks = cut(shared.groupBy("node").agg((F.count("*") * 1_000_000 / F.greatest(F.first("size"), F.lit(1))).cast("long").alias("rank")))
-
-    def candidates(roots: DataFrame, star: bool) -> DataFrame:
-        groups = ranks.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "rank")
-        rows = shared.join(groups, "node").select("key", "node", "size", "group", "rank").repartition("key").sortWithinPartitions("key")
-        return rows.mapInArrow(_candidates(similarity, star), "a long, b long").distinct()
-
+    near = found.join(a, "a").join(b, "b").select("na", "nb").union(single.select("node", "mark").join(firsts, "mark").where("node <> first").select("node", "first"))
     tried = cut(near.select(F.greatest("na", "nb").alias("a"), F.least("na", "nb").alias("b")).distinct())
-    links = _verified(tried, sets, similarity)
+    links = _verified(tried, single, texts, shingle, similarity)
     roots = components(links)
-    for star in (True, False):
-        new = cut(candidates(roots, star).join(tried, ["a", "b"], "left_anti"))
+
+    keyed = sketches.select("node", "size", F.posexplode("first").alias("pos", "key")).select("key", "node", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("size")).alias("place"))
+    shared = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, place long"))
+    for all_pairs in (False, False, True):
+        grouped = shared.join(roots, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("group"))
+        shared = cut(grouped.repartition("key").sortWithinPartitions("key").mapInArrow(_live, "key long, node long, place long, group long"))
+        rows = shared.join(single.select("node", "odd"), "node").select("key", "node", "place", "group", "odd")
+        likely = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(similarity, all_pairs), "a long, b long")
+        new = cut(likely.distinct().join(tried, ["a", "b"], "left_anti"))
+        shared = shared.drop("group")
         if not new.isEmpty():
-            links, tried = links.union(_verified(new, sets, similarity)), tried.union(new)
+            links, tried = links.union(_alike(new, texts, shingle, similarity)), tried.union(new)
             roots = components(links)
     return roots
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 7, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, component (a text hash) and component_id (its least doc_id, null if all are) of every row."""
+    """doc_id, text_hash, component (a text hash) and component_id (its least doc_id, null if all are) of every row.
+
+    Null and repeated ids are kept apart by text; null, empty and blank texts are one component; an empty table gives none.
+    """
     roots = similar_texts(docs, shingle, similarity, distance, text_col=text_col).toDF("text_hash", "root")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
     texts = rows.groupBy("text_hash").agg(F.min("doc_id").alias("least")).join(roots, "text_hash", "left")
     texts = texts.select("text_hash", "least", F.coalesce("root", "text_hash").alias("component"))
     names = texts.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -496,20 +627,19 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of similar documents: that of the smallest id, null ids last, and then of the least text hash.
 
-    Different texts of one id, but for null, count as one document: that of the least text hash, chosen before any is compared.
+    Documents are texts: rows of a null or a repeated id whose texts differ stay apart. Null, empty and blank texts are
+    one group. The columns come back as they were, whatever their names; an empty table stays empty.
     """
-    columns = docs.columns
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
-    ids = rows.where("_id is not null").groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most"))
-    several = cut(ids.where("_least <> _most").select("_id", "_least"))
-    if not several.isEmpty():
-        rows = rows.join(several, "_id", "left").where("_least is null or _hash = _least").drop("_least")
-    roots = similar_texts(rows, shingle, similarity, text_col=text_col).toDF("_hash", "_root")
-    counts = rows.groupBy("_hash", "_id").agg(F.count("*").alias("_n"))
-    texts = counts.groupBy("_hash").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash", "_n")).alias("_first")).join(roots, "_hash", "left")
-    best = texts.groupBy(F.coalesce("_root", "_hash")).agg(F.min("_first").alias("_best"))
-    kept = cut(best.select("_best._hash", F.col("_best._id").alias("_kept"), "_best._n"))
-    found = rows.join(kept.drop("_n"), "_hash").where(F.col("_id").eqNullSafe(F.col("_kept")))
-    if not kept.where("_n > 1").isEmpty():
-        found = found.dropDuplicates(["_hash"])
-    return found.select(*[F.col(f"`{c}`") for c in columns])
+    roots = similar_texts(docs, shingle, similarity, text_col=text_col).toDF("hash", "root")
+    keys = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
+    counts = cut(keys.groupBy("hash", "id").agg(F.count("*").alias("n")).join(roots, "hash", "left").withColumn("root", F.coalesce("root", "hash")))
+    best = counts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("best"))
+    ranked = counts.join(best, "root").withColumn("kept", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("hash") == F.col("best.hash")))
+    gone = cut(ranked.where("not kept or n > 1").select("hash", "id", "kept"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("row_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row_hash"))
+    met = (F.col("row_hash") == F.col("hash")) & F.col("row_id").eqNullSafe(F.col("id"))
+    found = rows.join(_limited(gone), met, "left_anti")
+    repeated = gone.where("kept").select("hash", "id")
+    if not repeated.isEmpty():
+        found = found.unionByName(rows.join(_limited(repeated), met, "left_semi").dropDuplicates(["row_hash"]))
+    return found.select("doc.*")

@@ -1,21 +1,25 @@
 """Language-model scores from a subword lattice.
 
 A text is its words and one end; a word is a core between ASCII punctuation, which has a distribution of its own.
-The lattice of a core has every way to cut it into pieces of an existing vocabulary (pieces of up to ``MAX_PIECE``
-bytes, and all single bytes), and, for cores seen in training, the core as one piece. Weights are probabilities
-estimated here: piece weights by expected counts over all distinct training cores (forward and backward sums over
-the lattice), core weights from counts less a discount whose mass goes to the cuts. The forward recursion in log
-space gives a core's marginal probability. Weights are kept for each class of training documents (here their
-language) and for all together; the probability of a text is the sum over classes of the class's share times the
-product of its words, a marginal over cuts and classes. All of it is normalised: the probabilities of all texts
-of a length sum to at most one.
-
-Counts are of all training documents and gathered by word. At scoring, the ``FREQUENT`` commonest words are
-broadcast; all other words meet their weights in a shuffle. Nothing that grows with the corpus is broadcast.
+The lattice of a core has every way to cut it into pieces of an existing vocabulary, of any length, and all single
+bytes. The pieces' prior probabilities come from the vocabulary's own scores: of a unigram file the scores are log
+probabilities; of a BPE file they are merge ranks, which Zipf's law turns into probabilities. Forms that differ in the
+case of A-Z alone are one piece and share their sum. Weights are adapted to the training documents as a Dirichlet
+interpolation, (expected uses + ``PRIOR`` x prior) / (all uses + ``PRIOR``), with expected uses over all distinct
+training cores by forward and backward sums. A core seen in training is one more edge of its own lattice: its count
+less the absolute discount n1 / (n1 + 2 n2), and the mass so freed goes to the cuts. The forward recursion in log space
+gives a core's marginal probability over all of that. A document draws its own distribution of cores, and one of
+punctuations, from a Dirichlet of weight ``OWN`` around these, which is marginal too: a core that occurs m times among
+n counts gamma(OWN p + m) / gamma(OWN p), and all n together gamma(OWN) / gamma(OWN + n). All of it is normalised: the
+probabilities of all texts sum to at most one.
+
+Counts are of all training documents and gathered by word; no other column of the documents is read. At scoring, the
+``FREQUENT`` words and punctuations most used in any document are broadcast; all others meet their weights in a shuffle,
+none of them in more than a ``FREQUENT``-th of the uses. Nothing that grows with the corpus is broadcast.
 
 Defined results: a null text has the end alone; rows that agree in id and text get equal results, one row each;
-without training texts every token is unknown and the pieces are even; more than ``CLASSES`` classes share the
-weights of all documents.
+without training texts every token is unknown and weights are the prior's; an empty table gives none; very long texts are
+taken whole, a slice of tokens at a time.
 """
 
 from __future__ import annotations
@@ -32,23 +36,22 @@ from pyspark.sql import functions as F
 
 from .common import crc_remainder, fresh_path
 
-#: Longest piece in bytes: eight fit one 64-bit key.
-MAX_PIECE = 8
-#: Commonest words that are broadcast: at about 200 bytes a word, 20 MB.
+#: Parts (words and punctuations) that are broadcast, the most used: at about 200 bytes each, 20 MB.
 FREQUENT = 100_000
-#: Classes of training documents with weights of their own.
-CLASSES = 6
-DISCOUNT = 0.75
+#: Expected uses that the vocabulary's own scores count for, and of these the part of the ends of words.
+PRIOR, PRIOR_END = 2_000.0, 0.25
+#: Zipf-Mandelbrot's shift, for vocabularies whose scores are ranks.
+ZIPF = 2.7
 ROUNDS = 2
+#: Weight of the corpus against the words that a document has had so far: as so many of its words.
+OWN = 1000.0
 _FLUSH = 400_000
 #: Tokens, and distinct words, that numpy works on at a time.
 _SLICE, _WORDS_AT_ONCE = 200_000, 65_536
-#: Punctuation around words that is told from cores by counts; rarer ones are spelled byte by byte.
-SHAPES = 5_000
-#: Part of a class's unseen mass that goes to cores seen in other classes.
-SHARED = 0.3
 #: The end of a text as a token: no word holds a space. Keys with a space and more are of punctuation.
 END = b" "
+#: The key of no punctuation at all.
+PLAIN = b" \0"
 _PUNCTUATION = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
@@ -60,7 +63,7 @@ def split_word(word: bytes) -> tuple[bytes, bytes]:
     """The core, and the key of the punctuation around it."""
     core = word.strip(_PUNCTUATION)
     if len(core) == len(word):
-        return core, b" \0"
+        return core, PLAIN
     at = len(word) - len(word.lstrip(_PUNCTUATION))
     return core, b" " + word[:at] + b"\0" + (word[at + len(core) :] if core else b"")
 
@@ -68,27 +71,52 @@ def split_word(word: bytes) -> tuple[bytes, bytes]:
 # -- pieces ------------------------------------------------------------------
 
 
+_MIX = np.uint64(0x100000001B3)
+
+
 class Pieces:
-    """An existing vocabulary as sorted keys by length, with log weights; the last weight is the end of a word."""
+    """An existing vocabulary as sorted keys by length, with log weights; the last weight is the end of a word.
 
-    def __init__(self, pieces: list[bytes], weights: np.ndarray | None = None):
+    ``pieces``: their probabilities by name, or names alone for even ones. Keys are the bytes themselves up to eight, and
+    64-bit hashes beyond.
+    """
+
+    def __init__(self, pieces: dict[bytes, float] | list[bytes], weights: np.ndarray | None = None):
         self.pieces = sorted(set(pieces) | {bytes([b]) for b in range(256)}, key=lambda p: (len(p), p))
-        self.weights = np.full(len(self.pieces) + 1, -math.log(len(self.pieces) + 1)) if weights is None else weights
-        self.keys, self.first = {}, {}
-        for n in range(1, MAX_PIECE + 1):
-            mine = [i for i, p in enumerate(self.pieces) if len(p) == n]
-            self.first[n] = mine[0] if mine else 0
-            self.keys[n] = np.array([int.from_bytes(self.pieces[i], "big") for i in mine], np.uint64)
+        if weights is None and isinstance(pieces, dict):
+            least = min(pieces.values(), default=1.0)
+            prior = np.array([pieces.get(p, least) for p in self.pieces])
+            self.weights = np.log(np.append(prior / prior.sum() * (1 - PRIOR_END), PRIOR_END))
+        else:
+            self.weights = np.full(len(self.pieces) + 1, -math.log(len(self.pieces) + 1)) if weights is None else weights
+        self.keys, self.first, self.order = {}, {}, {}
+        by_size: dict[int, list[int]] = {}
+        for i, p in enumerate(self.pieces):
+            by_size.setdefault(len(p), []).append(i)
+        for n, mine in by_size.items():
+            letters = np.frombuffer(b"".join([self.pieces[i] for i in mine]), np.uint8).reshape(len(mine), n).astype(np.uint64)
+            key = np.zeros(len(mine), np.uint64)
+            for k in range(n):
+                key = (key << np.uint64(8)) | letters[:, k] if n <= 8 else (key ^ letters[:, k]) * _MIX
+            self.order[n] = np.argsort(key)
+            self.keys[n], self.first[n] = key[self.order[n]], mine[0]
 
     def edges(self, letters: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(length, piece numbers, whether there is one) of the pieces from each place of equally long words."""
-        out, key = [], np.zeros(letters.shape, np.uint64)
-        for n in range(1, min(MAX_PIECE, letters.shape[1]) + 1):
-            key = (key[:, : letters.shape[1] - n + 1] << np.uint64(8)) | letters[:, n - 1 :]
-            known = self.keys[n]
-            if len(known):
-                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                out.append((n, at + self.first[n], known[at] == key))
+        out = []
+        key = mixed = np.zeros(letters.shape, np.uint64)
+        for n in range(1, min(max(self.keys), letters.shape[1]) + 1):
+            ends = letters[:, n - 1 :]
+            if n <= 8:
+                key = (key[:, : ends.shape[1]] << np.uint64(8)) | ends
+            mixed = (mixed[:, : ends.shape[1]] ^ ends) * _MIX
+            known = self.keys.get(n)
+            if known is not None:
+                mine = key if n <= 8 else mixed
+                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                has = known[at] == mine
+                if has.any():
+                    out.append((n, self.order[n][at] + self.first[n], has))
         return out
 
     def forward(self, letters: np.ndarray, edges: list) -> np.ndarray:
@@ -154,67 +182,66 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def sentencepiece_vocabulary(path: str) -> list[bytes]:
-    """Pieces of an existing SentencePiece file that can stand in a lower-cased word. Its word mark is left out."""
+def sentencepiece_vocabulary(path: str) -> dict[bytes, float]:
+    """Pieces of an existing SentencePiece file and their probabilities by its own scores, A-Z in lower case and without
+    its word mark. Scores that are whole numbers are ranks, as BPE files have them; others are log probabilities."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = set()
-    for i in range(model.get_piece_size()):
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-            raw = model.id_to_piece(i).replace("▁", "").encode()
-            if 0 < len(raw) <= MAX_PIECE and raw == raw.lower() and len(raw.split()) == 1:
-                pieces.add(raw)
-    return sorted(pieces)
+    scored = [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    ranks = all(score == int(score) for _, score in scored)
+    pieces: dict[bytes, float] = {}
+    for piece, score in scored:
+        raw = piece.replace("▁", "").encode().lower()
+        if raw and len(raw.split()) == 1:
+            pieces[raw] = pieces.get(raw, 0.0) + (1 / (ZIPF - score) if ranks else math.exp(score))
+    return pieces
 
 
 # -- counts ------------------------------------------------------------------
 
 
 def _counted():
-    """Rows (word, class, n as a token, m as a core or punctuation) of training texts; others come with zeros, to get weights too."""
+    """Rows (word, n as a token, m as a core or punctuation, uses in any text) of training texts; words of other texts come
+    with zeros for n and m, to get weights too."""
 
-    def flush(tokens: dict[int, Counter]) -> pa.RecordBatch:
-        words, kinds, n, m = [], [], [], []
-        for kind, counts in tokens.items():
+    def flush(trained: Counter, others: Counter) -> pa.RecordBatch:
+        words, n, m, uses = [], [], [], []
+        for counts, learn in ((trained, 1), (others, 0)):
             parts: dict[bytes, int] = {}
-            plain, any_plain, get = 0, False, parts.get
+            plain, get = 0, parts.get
             for w, c in counts.items():
                 core = w.strip(_PUNCTUATION)
-                if len(core) == len(w):
-                    parts[w] = get(w, 0) + c
-                    plain, any_plain = plain + c, True
-                elif w == END:
+                if w == END:
                     parts[w] = c
+                elif core and len(core) == len(w):
+                    parts[w] = get(w, 0) + c
+                    plain += c
                 else:
                     for part in split_word(w):
                         parts[part] = get(part, 0) + c
-            if any_plain:
-                bare = split_word(b"")[1]
-                parts[bare] = get(bare, 0) + plain
+            if plain:
+                parts[PLAIN] = get(PLAIN, 0) + plain
             rest = [w for w in parts if w not in counts]
+            tokens = np.array([*counts.values(), *([0] * len(rest))], np.int64)
+            held = np.array([*[get(w, 0) for w in counts], *map(get, rest)], np.int64)
             words += [*counts, *rest]
-            n += [*counts.values(), *([0] * len(rest))]
-            m += [get(w, 0) for w in counts]
-            m += map(get, rest)
-            kinds += [kind] * (len(words) - len(kinds))
-        tokens.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(kinds, pa.int32()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["word", "kind", "n", "m"])
+            n.append(tokens * learn)
+            m.append(held * learn)
+            uses.append(np.maximum(tokens, held))
+            counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *[pa.array(np.concatenate(c)) for c in (n, m, uses)]], ["word", "n", "m", "uses"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {}
+        trained, others = Counter(), Counter()
         for batch in batches:
-            for text, kind in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = words_of(text.as_py())
-                if kind < 0:
-                    counts.setdefault(0, Counter()).update(dict.fromkeys([*words, END], 0))
-                else:
-                    mine = counts.setdefault(kind, Counter())
-                    mine.update(words)
-                    mine[END] += 1
-                if sum(map(len, counts.values())) > _FLUSH:
-                    yield flush(counts)
-        yield flush(counts)
+            for text, learn in zip(batch.column(0), batch.column(1).to_pylist()):
+                mine = trained if learn else others
+                mine.update(words_of(text.as_py()))
+                mine[END] += 1
+                if len(trained) + len(others) > _FLUSH:
+                    yield flush(trained, others)
+        yield flush(trained, others)
 
     return run
 
@@ -224,162 +251,180 @@ def _is_core() -> Column:
     return (F.col("word") == F.lit(bytearray(END))) | (F.substring("word", 1, 1) != F.lit(bytearray(END)))
 
 
-def _totals(word_counts: DataFrame, width: int) -> tuple[float, float, np.ndarray, np.ndarray]:
-    """Tokens and distinct tokens in training; cores and distinct cores, of all and of each class."""
-    each = [F.when(_is_core(), F.col("c")[i]) for i in range(width)]
-    row = word_counts.agg(F.sum("t"), F.count_if(F.col("t") > 0), *[F.sum(c) for c in each], *[F.count_if(c > 0) for c in each]).first()
-    n = np.array([x or 0 for x in row], float)
-    return n[0], n[1], n[2 : 2 + width], n[2 + width :]
+class Discounted:
+    """Counts less a discount: the log of what is left of each, and of the mass for what was never seen."""
 
+    def __init__(self, total: float, distinct: float, once: float, twice: float):
+        self.total, self.distinct = total, distinct
+        self.discount = min(0.95, max(0.05, once / max(once + 2 * twice, 1)))
+        self.new = math.log(self.discount * distinct / total) if total else 0.0
 
-def train_pieces(word_counts: DataFrame, vocabulary: list[bytes], width: int, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Piece weights of all and of each class, from expected counts over its distinct cores, each once: what new words are like."""
-    size = len(Pieces(vocabulary).weights)
-    weights = [Pieces(vocabulary).weights] * width
-    words = word_counts.where((F.col("c")[0] > 0) & (F.substring("word", 1, 1) != F.lit(bytearray(END))) & (F.length("word") > 0)).select("word", "c")
-    for _ in range(rounds):
+    def log(self, counts: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+        """``unseen``: log probability of each among all that can be."""
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(np.maximum(counts - self.discount, 0) / max(self.total, 1)), self.new + unseen)
 
-        def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
-            mine = Pieces(vocabulary)
-            counts = np.zeros((width, size))
-            for batch in _gathered(batches):
-                seen = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width) > 0
-                for rows, letters in _by_size(batch.column(0).to_pylist()):
-                    for k in range(1, width) if width > 2 else range(width):
-                        use = seen[rows, k]
-                        if use.any():
-                            mine.weights = weights[k]
-                            counts[k] += mine.expected(letters[use], np.ones(int(use.sum())))
-            if width > 2:  # of all: the classes together
-                counts[0] = counts[1:].sum(0)
-            kind, piece = np.nonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(counts[kind, piece])], ["kind", "piece", "n"])
-
-        # at most as many rows as the vocabulary has pieces, for each class
-        found = words.mapInArrow(run, "kind int, piece int, n double").groupBy("kind", "piece").agg(F.sum("n").alias("n")).toArrow()
-        counts = np.full((width, size), 0.01)
-        np.add.at(counts, (found.column("kind").to_numpy(), found.column("piece").to_numpy()), found.column("n").to_numpy())
-        weights = [np.log(c / c.sum()) for c in counts]
-    return weights
 
+#: Terms of the rising factorial that are taken one by one; Stirling's series, good to 1e-10 from there on, has the rest.
+_FIRST = 6
 
-# -- scores ------------------------------------------------------------------
 
+def _stirling(x, log):
+    """log gamma of x but for a constant."""
+    return (x - 0.5) * log(x) - x + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+
+
+def rising(m: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """log10 of a (a + 1) ... (a + m - 1) for a = OWN p, from log10 p."""
+    a = OWN * np.power(10.0, log_p)
+    out = np.where(m > 0, math.log10(OWN) + log_p, 0.0)
+    for k in range(1, _FIRST):
+        out += np.where(m > k, np.log10(a + k), 0.0)
+    rest = _stirling(np.maximum(m, _FIRST) + a, np.log) - _stirling(_FIRST + a, np.log)
+    return out + np.where(m > _FIRST, rest / math.log(10), 0.0)
 
-class Weights:
-    """From a core's counts and its lattice sums to log10 probabilities: of all, then of each class."""
 
-    def __init__(self, all_tokens: float, all_distinct: float, tokens: np.ndarray, distinct: np.ndarray):
-        self.all_tokens, self.all_distinct, self.tokens, self.distinct = all_tokens, all_distinct, tokens, distinct
+def _rising_column(m: Column, log_p: Column) -> Column:
+    a = F.lit(OWN) * F.pow(F.lit(10.0), log_p)
+    out = F.when(m > 0, F.lit(math.log10(OWN)) + log_p).otherwise(0.0)
+    for k in range(1, _FIRST):
+        out += F.when(m > k, F.log10(a + k)).otherwise(0.0)
+    return out + F.when(m > _FIRST, (_stirling(m + a, F.log) - _stirling(a + _FIRST, F.log)) / math.log(10)).otherwise(0.0)
 
-    def log10(self, counts: np.ndarray, lattice: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """``counts`` and ``lattice`` (natural log of the sum over cuts): (cores, 1 + classes). ``end``: which is the end."""
-        tokens, distinct = np.maximum(self.tokens, 1), self.distinct
+
+class Weights:
+    """From counts and lattice sums to log10 probabilities of tokens, cores and punctuations. One small row of totals."""
+
+    def __init__(self, word_counts: DataFrame):
+        core = _is_core()
+        t, c = F.col("t"), F.col("c")
+        asked = [F.sum("t"), F.count_if(t > 0)]
+        for kind in (core, ~core):
+            asked += [F.sum(F.when(kind, c)), F.count_if(kind & (c > 0)), F.count_if(kind & (c == 1)), F.count_if(kind & (c == 2))]
+        row = [float(x or 0) for x in word_counts.agg(*asked).first()]
+        self.tokens, self.distinct = row[:2]
+        self.cores, self.shapes = Discounted(*row[2:6]), Discounted(*row[6:10])
+
+    def log10(self, words: list[bytes], counts: np.ndarray, lattice: Pieces) -> np.ndarray:
+        kind = np.array([2 if w == END else 1 if w[:1] == END else 0 for w in words], np.int64)
+        out = np.zeros(len(words))
+        cores = np.flatnonzero(kind == 0)
+        v = max(self.cores.distinct, 1)
         # the end has no cuts: its share of the discounted mass is that of one core of the distinct ones
-        v = max(distinct[0], 1)
-        cuts = np.where(end[:, None], -math.log(v + 1), lattice + math.log(v / (v + 1)))
-        with np.errstate(divide="ignore"):
-            new = math.log(DISCOUNT * distinct[0] / tokens[0]) if self.tokens[0] else 0.0
-            every = np.logaddexp(np.log(np.maximum(counts[:, 0] - DISCOUNT, 0) / tokens[0]), new + cuts[:, 0])
-            out = [every]
-            for k in range(1, counts.shape[1]):
-                own = np.log(np.maximum(counts[:, k] - DISCOUNT, 0) / tokens[k])
-                other = np.logaddexp(math.log(SHARED) + every, math.log(1 - SHARED) + cuts[:, k])
-                out.append(np.logaddexp(own, math.log(max(DISCOUNT * distinct[k], 1e-9) / tokens[k]) + other))
-        return np.stack(out, 1) / math.log(10)
+        out[cores] = lattice.log_words([words[i] for i in cores], [lattice.weights])[:, 0] + math.log(v / (v + 1))
+        out[kind == 2] = -math.log(v + 1)
+        spelled = np.flatnonzero(kind == 1)
+        out[spelled] = -math.log(257) * np.array([len(words[i]) for i in spelled])
+        mine = kind != 1
+        out[mine] = self.cores.log(counts[mine], out[mine])
+        out[~mine] = self.shapes.log(counts[~mine], out[~mine])
+        return out / math.log(10)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1) / (self.all_tokens + self.all_distinct + 1))
+        return np.log10((counts + 1) / (self.tokens + self.distinct + 1))
+
+
+def train_pieces(word_counts: DataFrame, vocabulary: dict[bytes, float] | list[bytes], rounds: int = ROUNDS) -> np.ndarray:
+    """Piece weights from the vocabulary's own and from expected uses in its distinct cores, each once: what new words are like."""
+    prior = np.exp(Pieces(vocabulary).weights)
+    weights = np.log(prior)
+    words = word_counts.where((F.col("c") > 0) & (F.substring("word", 1, 1) != F.lit(bytearray(END))) & (F.length("word") > 0)).select("word")
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
+            mine = Pieces(vocabulary)
+            mine.weights = weights
+            counts = np.zeros(len(weights))
+            for batch in _gathered(batches):
+                for _, letters in _by_size(batch.column(0).to_pylist()):
+                    counts += mine.expected(letters, np.ones(len(letters)))
+            piece = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(counts[piece])], ["piece", "n"])
+
+        # at most as many rows as the vocabulary has pieces
+        found = words.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        counts = PRIOR * prior
+        np.add.at(counts, found.column("piece").to_numpy(), found.column("n").to_numpy())
+        weights = np.log(counts / counts.sum())
+    return weights
+
+
+# -- scores ------------------------------------------------------------------
 
 
-def _weigh(weights: Weights, vocabulary: list[bytes], piece_weights: list[np.ndarray]):
-    """From (word, t, c) to (word, known, base, logs)."""
-    width = len(piece_weights)
+def _weigh(weights: Weights, vocabulary: dict[bytes, float] | list[bytes], piece_weights: np.ndarray):
+    """From (word, t, c) to (word, known, base, log)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Pieces(vocabulary)
         for batch in _gathered(batches):
             words = batch.column(0).to_pylist()
-            tokens = batch.column(1).to_numpy(zero_copy_only=False)
-            counts = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(words), width).astype(float)
-            end = np.array([w == END for w in words], bool)
-            logs = weights.log10(counts, lattice.log_words(words, piece_weights), end)
-            offsets = pa.array(np.arange(len(words) + 1, dtype=np.int32) * width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens > 0), pa.array(weights.base(tokens)), pa.ListArray.from_arrays(offsets, pa.array(logs.reshape(-1)))], ["word", "known", "base", "logs"])
+            tokens, counts = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2))
+            lattice.weights = piece_weights
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens > 0), pa.array(weights.base(tokens)), pa.array(weights.log10(words, counts, lattice))], ["word", "known", "base", "log"])
 
     return run
 
 
-def _shape_logs(shapes: dict[bytes, int]) -> tuple[dict[bytes, float], float]:
-    """log10 of the punctuation known, and of the mass left for spelling out others."""
-    total = sum(shapes.values())
-    logs = {k: math.log10(max(n - DISCOUNT, 1e-9) / total) for k, n in shapes.items()}
-    return logs, math.log10(min(1.0, max(DISCOUNT * len(shapes) / total, 1e-9))) if total else 0.0
-
-
 class _Numbers(dict):
-    """Numbers of the words met so far; of each its place among the frequent ones (or -1), its core's number, and the
-    log weight of its punctuation, found once a word."""
+    """Numbers of the words and punctuations met so far; of each its place among the frequent ones (or -1), and the numbers
+    of its core and of its punctuation (-1 for the end), found once a word."""
 
-    def __init__(self, number: dict[bytes, int], shapes: dict[bytes, float], new_shape: float):
+    def __init__(self, number: dict[bytes, int]):
         super().__init__()
-        self.number, self.shapes, self.new_shape = number, shapes, new_shape
+        self.number = number
         self.words: list[bytes] = []
-        self.place, self.core, self.shape = array("q"), array("q"), array("d")
+        self.place, self.core, self.shape = array("q"), array("q"), array("q")
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self.words)
         self.words.append(word)
         self.place.append(self.number.get(word, -1))
         self.core.append(at)
-        self.shape.append(0.0)
-        if word != END:
-            core, key = split_word(word)
-            self.shape[at] = self.shapes.get(key, self.new_shape - math.log10(257) * len(key))
+        self.shape.append(-1)
+        if word[:1] != END:
+            core, shape = split_word(word)
+            self.shape[at] = self[shape]
             if core != word:
                 self.core[at] = self[core]
         return at
 
-    def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(self.place), np.array(self.core), np.array(self.shape)
 
+def _split_frequent(frequent: dict):
+    """From (id, hash, text): sums over frequent parts on one row of the text's own, and its other parts with counts.
 
-def _split_frequent(frequent: dict, width: int):
-    """From (id, hash, text): sums over frequent words on one row of the text's own, and its other words with counts.
-
-    ``n`` counts a word as a token, ``m`` as a core.
+    ``n`` counts a word as a token, ``m`` as a core or punctuation.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: i for i, w in enumerate(frequent["words"])}
-        known, base, logs = frequent["known"], frequent["base"], frequent["logs"]
-        met = _Numbers(number, *frequent["shapes"])
+        known, base, log = frequent["known"], frequent["base"], frequent["log"]
+        met = _Numbers(number)
 
         def rows(part: pa.RecordBatch, sizes: list[int], ids: list[int]) -> pa.RecordBatch:
             docs, span = len(sizes), len(met.words)
-            place, core, shape = met.columns()
+            place, core, shape = np.array(met.place), np.array(met.core), np.array(met.shape)
             key, c = np.unique(np.repeat(np.arange(docs), sizes) * span + np.array(ids, np.int64), return_counts=True)
             doc, word = key // span, key % span
-            core_key, of_core = np.unique(doc * span + core[word], return_inverse=True)
-            core_c = np.bincount(of_core, c).astype(np.int64)
-            often, core_often = place[word], place[core_key % span]
-            a, b = often >= 0, core_often >= 0
-            spelled = np.bincount(doc, c * shape[word], docs)
-            core_doc, core_n, core_logs = core_key[b] // span, core_c[b], logs[core_often[b]]
+            around = shape[word] >= 0
+            part_key, of_part = np.unique(np.concatenate([doc * span + core[word], (doc * span + shape[word])[around]]), return_inverse=True)
+            part_c = np.bincount(of_part, np.concatenate([c, c[around]])).astype(np.int64)
+            often, part_often = place[word], place[part_key % span]
+            a, b = often >= 0, part_often >= 0
             sums = [np.bincount(doc[a], c[a] * x[often[a]], docs) for x in (known, base)]
-            sums += [spelled + np.bincount(core_doc, core_n * core_logs[:, i], docs) for i in range(width)]
+            sums.append(np.bincount(part_key[b] // span, rising(part_c[b], log[part_often[b]]), docs))
 
-            rare = np.union1d(key[~a], core_key[~b])
+            rare = np.union1d(key[~a], part_key[~b])
             n, m = np.zeros((2, docs + len(rare)), np.int64)
             n[docs + np.searchsorted(rare, key[~a])] = c[~a]
-            m[docs + np.searchsorted(rare, core_key[~b])] = core_c[~b]
+            m[docs + np.searchsorted(rare, part_key[~b])] = part_c[~b]
             # a text's own row has no word: it finds no weights, and spreads by the text's hash
             hashes = part.column(1).to_numpy(zero_copy_only=False)
             names = [END + hashes[i].tobytes() + b"%d" % i for i in range(docs)]
             names += map(met.words.__getitem__, (rare % span).tolist())
             take = pa.array(np.concatenate([np.arange(docs), rare // span]))
             size = np.concatenate([np.array(sizes, np.int64), np.zeros(len(rare), np.int64)])
-            offsets = np.minimum(np.arange(docs + len(rare) + 1), docs).astype(np.int32) * (width + 2)
+            offsets = np.minimum(np.arange(docs + len(rare) + 1), docs).astype(np.int32) * 3
             absent = np.arange(len(offsets)) >= docs
             absent[-1] = False
             lists = pa.ListArray.from_arrays(pa.array(offsets, mask=absent), pa.array(np.stack(sums, 1).reshape(-1)))
@@ -396,67 +441,51 @@ def _split_frequent(frequent: dict, width: int):
                     yield rows(batch.slice(first, len(sizes)), sizes, ids)
                     sizes, ids, first = [], [], i + 1
                     if len(met) > _FLUSH:
-                        met = _Numbers(number, *frequent["shapes"])
+                        met = _Numbers(number)
 
     return run
 
 
-def score_documents(docs: DataFrame, train: Column, vocabulary: list[bytes], *, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang") -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, vocabulary: dict[bytes, float] | list[bytes], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row. ``train``: which rows are learned from."""
     spark = docs.sparkSession
-    kind = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
-    learned = docs.select(F.col(text_col).alias("text"), kind.alias("_kind"), F.coalesce(train, F.lit(False)).alias("_train"))
-    kinds = learned.where("_train").groupBy("_kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_kind").limit(CLASSES).collect()
-    share = np.array([r["n"] for r in kinds], float)
-    width = len(kinds) + 1
-    number = F.lit(width)  # classes beyond the bound count for all alone
-    for i, r in enumerate(kinds):
-        number = F.when(F.col("_kind") == r["_kind"], i + 1).otherwise(number)
-    texts = learned.select("text", F.when(F.col("_train"), number).otherwise(-1).cast("int").alias("kind"))
-    counted = texts.mapInArrow(_counted(), "word binary, kind int, n long, m long")
-    counts = F.array(F.sum("m"), *[F.sum(F.when(F.col("kind") == i, F.col("m")).otherwise(0)) for i in range(1, width)])
+    text = F.col(f"`{text_col}`")
+    counted = docs.select(text.alias("text"), F.coalesce(train, F.lit(False)).alias("learn")).mapInArrow(_counted(), "word binary, n long, m long, uses long")
     path = fresh_path(spark, "word-counts")
-    counted.groupBy("word").agg(F.sum("n").alias("t"), counts.alias("c")).write.parquet(path)
+    counted.groupBy("word").agg(F.sum("n").alias("t"), F.sum("m").alias("c"), F.sum("uses").alias("uses")).write.parquet(path)
     word_counts = spark.read.parquet(path)
-    weights = Weights(*_totals(word_counts, width))
-    piece_weights = train_pieces(word_counts, vocabulary, width)
-    end_row = word_counts.where(F.col("word") == F.lit(bytearray(END))).select("t").first()
-    n_docs = float(end_row["t"]) if end_row else 0.0
-    prior = np.log10(np.append(max(n_docs - share.sum(), 0.0) + 0.5, share) / (n_docs + 0.5))
-
-    schema = "word binary, known boolean, base double, logs array<double>"
-    cores = word_counts.where(_is_core())
-    top = cores.where("t > 0 or c[0] > 0").orderBy(F.desc(F.col("t") + F.col("c")[0]), "word").limit(FREQUENT)
-    common = top.mapInArrow(_weigh(weights, vocabulary, piece_weights), schema).toArrow()
-    shapes = word_counts.where(~_is_core() & (F.col("c")[0] > 0)).orderBy(F.desc(F.col("c")[0]), "word").limit(SHAPES).select("word", F.col("c")[0].alias("n")).collect()
+    weights = Weights(word_counts)
+    piece_weights = train_pieces(word_counts, vocabulary)
+
+    schema = "word binary, known boolean, base double, log double"
+    weigh = _weigh(weights, vocabulary, piece_weights)
+    top = word_counts.orderBy(F.desc("uses"), "word").limit(FREQUENT).select("word", "t", "c")
+    common = top.mapInArrow(weigh, schema).toArrow()
     frequent = {
         "words": common.column("word").to_pylist(),
         "known": common.column("known").to_numpy().astype(float),
         "base": common.column("base").to_numpy(),
-        "logs": common.column("logs").combine_chunks().flatten().to_numpy().reshape(-1, width) if common.num_rows else np.zeros((0, width)),
-        "shapes": _shape_logs({bytes(r["word"]): r["n"] for r in shapes}),
+        "log": common.column("log").to_numpy(),
     }
     held = spark.sparkContext.broadcast(frequent)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _split_frequent(held.value, width)(batches)
+        yield from _split_frequent(held.value)(batches)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     rows = rows.mapInArrow(split, "id long, text_hash long, word binary, n long, m long, size long, sums array<double>")
-    table = cores.mapInArrow(_weigh(weights, vocabulary, piece_weights), schema)
-    met = rows.join(table, "word", "left")
+    met = rows.join(word_counts.select("word", "t", "c").mapInArrow(weigh, schema), "word", "left")
     zero = F.lit(0.0)
     known = F.coalesce(F.col("sums")[0], F.when(F.col("known"), F.col("n")).otherwise(0).cast("double"))
     base = F.coalesce(F.col("sums")[1], F.col("n") * F.col("base"), zero)
-    logs = [F.coalesce(F.col("sums")[i + 2], F.col("m") * F.col("logs")[i], zero) for i in range(width)]
+    log = F.coalesce(F.col("sums")[2], _rising_column(F.col("m"), F.col("log")), zero)
     copies = F.count_if(F.col("sums").isNotNull())
-    out = met.groupBy("id", "text_hash").agg(copies.alias("copies"), F.sum("size").alias("size"), F.sum(known).alias("known"), F.sum(base).alias("base"), *[F.sum(x).alias(f"l{i}") for i, x in enumerate(logs)])
+    out = met.groupBy("id", "text_hash").agg(copies.alias("copies"), F.sum("size").alias("size"), F.sum(known).alias("known"), F.sum(base).alias("base"), F.sum(log).alias("log"))
     per = lambda c: F.col(c) / F.col("copies")
-    joint = [F.lit(float(p)) + per(f"l{i}") for i, p in enumerate(prior)]
-    most = F.greatest(*joint) if len(joint) > 1 else joint[0]
-    score = most + F.log10(sum((F.pow(F.lit(10.0), j - most) for j in joint), F.lit(0.0)))
-    out = out.select("id", per("size").alias("size"), per("known").alias("known"), per("base").alias("base"), score.alias("score"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_"))
-    return out.select(F.col("id").alias("doc_id"), F.round("size").cast("long").alias("n_tokens"), F.round("known").cast("long").alias("n_known"), F.lit(int(weights.all_tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    # the cores with the end, then the punctuations of all words
+    whole = _rising_column(per("size"), F.lit(0.0)) + _rising_column(per("size") - 1, F.lit(0.0))
+    out = out.select("id", per("size").alias("size"), per("known").alias("known"), per("base").alias("base"), (per("log") - whole).alias("score"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_"))
+    return out.select(F.col("id").alias("doc_id"), F.round("size").cast("long").alias("n_tokens"), F.round("known").cast("long").alias("n_known"), F.lit(int(weights.tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def learned_from(id_col: str = "doc_id") -> Column:

@@ -13,7 +13,7 @@ from palimpsest.llm.queries import PIECES, vocabulary_path
 def cuts(word):
     if not word:
         yield []
-    for n in range(1, min(len(word), lm.MAX_PIECE) + 1):
+    for n in range(1, len(word) + 1):
         for rest in cuts(word[n:]):
             yield [word[:n], *rest]
 
@@ -89,3 +89,76 @@ def test_no_rows_and_no_training(spark, docs, empty):
     assert len(rows) == 10 and all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] < 0 for r in rows)
     twice = spark.createDataFrame([(1, "a b", "en"), (1, "a b", "en"), (None, None, None)], "doc_id long, text string, lang string")
     assert sorted(r["n_tokens"] for r in lm.score_documents(twice, F.lit(True), [b"ab"]).collect()) == [1, 3, 3]
+
+
+def by_hand(texts, ask, vocabulary):
+    """Scores from plain loops over every cut of every core: the prior, two rounds of expected uses, discounted counts."""
+    names = lm.Pieces(vocabulary).pieces
+    prior = np.exp(lm.Pieces(vocabulary).weights)
+    parts = [lm.split_word(w) for t in texts for w in lm.words_of(t)]
+    cores = Counter(c for c, _ in parts)
+    cores[lm.END] = len(texts)
+    shapes = Counter(s for _, s in parts)
+    p = prior
+    for _ in range(lm.ROUNDS):
+        of, n = dict(zip(names, p)), Counter()
+        for core in cores:
+            if core in (b"", lm.END):
+                continue
+            found = [(c, math.prod(of.get(x, 0.0) for x in c)) for c in cuts(core)]
+            total = sum(q for _, q in found)
+            for c, q in found:
+                for x in c:
+                    if q:
+                        n[x] += q / total
+            n[None] += 1
+        p = lm.PRIOR * prior + np.array([*[n[x] for x in names], n[None]])
+        p = p / p.sum()
+    of, end = dict(zip(names, p)), p[-1]
+
+    def share(counts, word, unseen):
+        once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+        d = min(0.95, max(0.05, once / max(once + 2 * twice, 1)))
+        total = sum(counts.values())
+        return max(counts[word] - d, 0) / total + d * len(counts) / total * unseen
+
+    v = len(cores)
+    out = []
+    for t in ask:
+        score, had = 0.0, Counter()
+        for n, w in enumerate([*lm.words_of(t), None]):
+            core, shape = lm.split_word(w) if w else (lm.END, None)
+            lattice = 1 / (v + 1) if not w else sum(math.prod(of.get(x, 0.0) for x in c) for c in cuts(core)) * end * v / (v + 1)
+            chances = [(core, share(cores, core, lattice))]
+            if w:
+                chances.append((shape, share(shapes, shape, 257.0 ** -len(shape))))
+            for part, p in chances:
+                score += math.log10((had[part] + lm.OWN * p) / (n + lm.OWN))
+                had[part] += 1
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("frequent", [100_000, 3])
+def test_score_is_the_sum_over_all_cuts(spark, monkeypatch, frequent):
+    """Pieces of three to ten bytes with scores of their own, words seen and not, punctuation seen and not."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    vocabulary = {b"ab": 0.2, b"abc": 0.1, b"cabcabcabc": 0.05, b"ca": 0.3, b"bcabcabca": 0.02}
+    texts = ["abc ab, abc", "cabcabcabc (ab)", "b c! abcab", "ab"]
+    ask = ["", "abc", "ab!", "xcabcabcabcx ...", "zz-z (ab) bcabcabca", "(b), c! c!", "ab " * 40 + "q " * 9]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(ask)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(frame, F.col("doc_id") < 100, vocabulary).collect()}
+    for i, want in enumerate(by_hand(texts, ask, vocabulary)):
+        assert math.isclose(got[100 + i], want, rel_tol=1e-9), ask[i]
+
+
+def test_scores_of_the_vocabulary_order_its_pieces():
+    pieces = lm.sentencepiece_vocabulary(vocabulary_path(PIECES))
+    assert max(map(len, pieces)) > 8 and pieces[b"the"] > pieces[b"international"] > 0
+
+
+def test_training_helps_held_out_rows(docs):
+    """Against the vocabulary's own scores alone."""
+    pieces = lm.sentencepiece_vocabulary(vocabulary_path(PIECES))
+    held = lambda train: sum(r["score"] for r in lm.score_documents(docs, train, pieces).collect() if crc(r["doc_id"], 7) == 2)
+    assert held(lm.learned_from()) > 0.75 * held(F.lit(False))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import detect
 from .registry import query, table
 from .version_queries import _POLLS
@@ -20,8 +20,7 @@ def polls_of(events: DataFrame) -> DataFrame:
 
 @query(f"WITH {_POLLS} SELECT event_id AS poll_id, user_id AS name, status FROM s")
 def stream_change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    return detect.run_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}", polls_of, glob="events.parquet")
+    return detect.run_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", polls_of, glob="events.parquet")
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder that the driver and all executors share. Where it is unset, a temporary one
+    will do for a local master alone, whose executor is the driver; a cluster has to name one."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not folder:
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+        folder = _own[context.applicationId]
+    return folder.rstrip("/")
+
 
 def build_session(app: str = "palimpsest", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)

@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: White space of the contracts: U+0020 and U+0009 to U+000D.
 NON_SPACE_WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share, which is also where checkpoints go from here on."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        folder = context._jsc.sc().getCheckpointDir().get()
-    elif not context._jsc.sc().getCheckpointDir().isDefined():
+    folder = shared_folder(spark)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, word_array
@@ -73,21 +73,31 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, *, id_col
     return found.select(F.col("id").alias("doc_id"), "text_hash", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), "hit_items", "spans")
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each row whole, in one struct, so that no name of the caller's can clash; beside it the keys of a find."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(whole.alias("doc"), F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row_hash"))
+
+
+def _met() -> Column:
+    return F.col("row_id").eqNullSafe(F.col("bad_id")) & (F.col("row_hash") == F.col("bad_hash"))
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark window."""
+    """``docs`` without the rows that hold a benchmark window. Null texts and empty tables pass; columns stay as they were."""
     found = find_contamination(docs, items, n, id_col=id_col, text_col=text_col, **how)
-    bad = found.where("n_hit > 0").select(F.col("doc_id").alias("_bad"), "text_hash").distinct()
-    keep = docs.withColumn("_hash", F.xxhash64(text_col)).join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.col("_hash") == F.col("text_hash")), "left_anti")
-    return keep.select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = found.where("n_hit > 0").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    return _rows(docs, id_col, text_col).join(bad, _met(), "left_anti").select("doc.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with the hit words taken out of the text; texts without a hit stay as they are, character by character."""
     found = find_contamination(docs, items, n, id_col=id_col, text_col=text_col, **how)
-    bad = found.where("n_hit > 0").select(F.col("doc_id").alias("_bad"), "text_hash", F.col("spans").alias("_spans")).dropDuplicates(["_bad", "text_hash"])
-    rows = docs.withColumn("_hash", F.xxhash64(text_col)).join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.col("_hash") == F.col("text_hash")), "left")
-    pieces = F.regexp_extract_all(text_col, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
-    lead = F.regexp_extract(text_col, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    kept = F.filter(F.transform(pieces, lambda p, i: F.when(~F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"])), p)), lambda p: p.isNotNull())
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(kept, "")))
-    return rows.select(*[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
+    bad = found.where("n_hit > 0").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"), F.col("spans").alias("bad_spans")).dropDuplicates(["bad_id", "bad_hash"])
+    old = F.col(f"doc.`{text_col}`")
+    pieces = F.regexp_extract_all(old, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
+    lead = F.regexp_extract(old, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
+    kept = F.filter(F.transform(pieces, lambda p, i: F.when(~F.exists("bad_spans", lambda s: (s["start"] <= i) & (i < s["end"])), p)), lambda p: p.isNotNull())
+    text = F.when(F.col("bad_spans").isNull(), old).otherwise(F.concat(lead, F.array_join(kept, "")))
+    rows = _rows(docs, id_col, text_col).join(bad, _met(), "left")
+    return rows.select(*[(text if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -469,8 +469,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, keep_bytes: bool =
     pieces = F.ceil(F.col("n_runs") / PIECE).cast("int")
     piece = F.when(pieces > 1, F.pmod(F.xxhash64("id", "salt"), pieces)).otherwise(-1).cast("int")
     going = texts.mapInArrow(_all_runs(length, False), _RUN).join(again.hint("shuffle_hash"), "h")
-    by_document = going.select("id", "salt", "h", piece.alias("piece")).repartition("id").groupBy("id", "salt").agg(F.collect_set(F.struct("h", "piece")).alias("hashes"))
-    dealt = rows.repartition("id")  # texts move once: the same exchange serves both joins
+    by_document = going.select("id", "salt", "h", piece.alias("piece")).repartition("id", "salt").groupBy("id", "salt").agg(F.collect_set(F.struct("h", "piece")).alias("hashes"))
+    dealt = rows.repartition("id", "salt")  # texts move once: the same exchange serves both joins
     found = dealt.join(by_document, ["id", "salt"]).select("id", "salt", "text", "hashes")
     if repeated:
         found = found.dropDuplicates(["id", "salt"])
@@ -479,6 +479,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, keep_bytes: bool =
     if any_hot:
         strings = marks.where("bytes is not null").repartitionByRange("bytes").sortWithinPartitions("bytes")
         marks = marks.where("bytes is null").union(strings.mapInArrow(_merge(length), _MARK))
-    ranges = marks.select("id", "salt", "start", "end").repartition("id").groupBy("id", "salt").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    ranges = marks.select("id", "salt", "start", "end").repartition("id", "salt").groupBy("id", "salt").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     rest = dealt.join(ranges, ["id", "salt"], "left").select(F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), "text", "ranges")
     return rest.mapInArrow(_kept(keep_bytes), _KEPT + ", kept binary" * keep_bytes)

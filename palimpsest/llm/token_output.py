@@ -7,7 +7,8 @@ the page index, and read metadata without touching tokens.
 
 Text is cut at ASCII white space, where the tokenizer always cuts, and every distinct chunk is encoded once per
 worker by the tokenizer's own model; chunks with special strings or letters beyond U+024F take the whole
-tokenizer. The cache is cleared at a fixed number of entries.
+tokenizer. The cache is cleared at a fixed number of entries. A file whose normalizers or pre-tokenizers are others
+than that rests on takes the whole tokenizer for every text.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; equal ids are ordered by
 text; an empty table writes and gives no rows.
@@ -15,6 +16,7 @@ text; an empty table writes and gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import unicodedata
@@ -34,6 +36,12 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 #: The tokenizer's own pre-tokenization, on text already in lower case.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What the shortcut by chunks takes for granted of a tokenizer's file; any other file takes the library's way.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 _encoders: dict[str, Callable[[str | bytes], bytes]] = {}
 
 
@@ -44,6 +52,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _by_chunks(file: dict) -> bool:
+    """Whether a text's ids are those of its chunks between ASCII white space, cut and spelled as ``_PIECES`` does."""
+    steps = (file.get("normalizer") or {}).get("normalizers"), (file.get("pre_tokenizer") or {}).get("pretokenizers")
+    plain = not file.get("truncation") and not file.get("post_processor") and file["model"]["type"] == "BPE" and not file["model"].get("dropout")
+    return plain and steps == (_NORMALIZERS, _PRE_TOKENIZERS) and all(t["content"].startswith("<|") for t in file["added_tokens"])
+
+
 def text_encoder(path: str) -> Callable[[str | bytes], bytes]:
     """A function from text, or its UTF-8, to its ids as little-endian 32-bit integers; one per worker and file."""
     if path in _encoders:
@@ -52,6 +67,9 @@ def text_encoder(path: str) -> Callable[[str | bytes], bytes]:
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
+    if not _by_chunks(json.loads(whole.to_str())):
+        _encoders[path] = lambda text: np.array(whole.encode(text if isinstance(text, str) else text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return _encoders[path]
     model, letters = whole.model, _byte_letters()
     ascii_letters = all(letters[b] == chr(b) for b in range(33, 127))
     assert ascii_letters

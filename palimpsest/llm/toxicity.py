@@ -299,8 +299,8 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, *, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more."""
-    score: Column = evidence(model)(F.col(text_col))["score"]
-    columns = docs.columns
-    rows = docs.withColumn("_score", score)
-    return rows.where(F.col("_score") < threshold).select(*[F.col(f"`{c}`") for c in columns])
+    """``docs`` without the rows that score ``threshold`` or more. Null and empty texts score as texts without a passage,
+    texts of any length are scanned whole, an empty table stays empty, and the columns come back whatever their names."""
+    score: Column = evidence(model)(F.col(f"`{text_col}`"))["score"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), score.alias("score"))
+    return rows.where(F.col("score") < threshold).select("doc.*")

@@ -47,5 +47,5 @@ def clashing(docs):
     """Extra columns named like those the operators make."""
     from pyspark.sql import functions as F
 
-    names = ["size", "source_size", "target", "taken", "copies", "u", "x", "bucket", "rho", "mark", "component_id", "shard", "slot", "tie", "start", "n_tokens", "token_ids", "words", "pos", "item_id", "score", "label", "h", "file", "row", "node", "level", "doc"]
+    names = ["size", "source_size", "target", "taken", "copies", "u", "x", "bucket", "rho", "mark", "component_id", "shard", "slot", "tie", "start", "n_tokens", "token_ids", "words", "pos", "item_id", "score", "label", "h", "file", "row", "node", "level", "doc", "_hash", "_id", "_score", "text_hash", "_bad", "_nth", "_spans", "row_id", "row_hash", "bad_id", "bad_hash", "spans", "hash", "id", "n"]
     return docs.withColumns({n: F.lit("clash") for n in names})

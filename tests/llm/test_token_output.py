@@ -53,3 +53,22 @@ def test_empty(spark, empty):
     path = fresh_path(spark, "tokens")
     token_output.write_tokens(empty, path, vocabulary_path(), 2)
     assert token_output.token_digest(spark, path).count() == 0
+
+
+def test_other_tokenizers_take_the_librarys_way(doc_rows):
+    from tokenizers import Tokenizer
+
+    from palimpsest.llm.queries import vocabulary_path
+
+    path = vocabulary_path("byte_bpe_50k.json")
+    whole, encode = Tokenizer.from_file(path), token_output.text_encoder(path)
+    for text in ("two  blanks\n and Capitals", "don't", *[r[1] or "" for r in doc_rows[:20]]):
+        assert encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == encode(text.encode())
+
+
+def test_the_shortcut_is_taken_for_its_own_file():
+    import json
+
+    from palimpsest.llm.queries import vocabulary_path
+
+    assert token_output._by_chunks(json.load(open(vocabulary_path())))

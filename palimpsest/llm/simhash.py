@@ -285,8 +285,8 @@ def _text_grams(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parities(grams: np.ndarray) -> bytes:
-    """A bit for each class of hashes: whether an odd number of ``grams`` is in it. As many classes as hashes, 512 to 4,096."""
-    classes = 1 << min(12, max(9, int(len(grams) - 1).bit_length() if len(grams) else 0))
+    """A bit for each class of hashes: whether an odd number of ``grams`` is in it. Twice as many classes as hashes at least, 1,024 to 8,192."""
+    classes = 1 << min(13, max(10, 1 + int(len(grams) - 1).bit_length() if len(grams) else 0))
     return np.packbits(np.bincount((grams & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1, bitorder="little").tobytes()
 
 
@@ -401,15 +401,19 @@ def _fold(odd: np.ndarray, words: int) -> np.ndarray:
 
 
 class _Likely:
-    """Tests pairs of rows, given as places i and j: whether their sets can be so alike, by sizes, places and parities."""
+    """Tests pairs of rows, given as places i and j: whether their sets can be so alike, by sizes, places and parities.
 
-    def __init__(self, rows: np.ndarray, odd: list[bytes], similarity: float):
+    ``expected``: whether they are rather than can be, by as many odd classes as so many differences leave on average.
+    """
+
+    def __init__(self, rows: np.ndarray, odd: list[bytes], similarity: float, expected: bool = False):
+        self.expected = expected
         self.node, place, self.group = rows[1:4]
         self.pos, self.size = place >> 32, place & 0xFFFFFFFF
         self.similarity = similarity
         self.words = np.array([len(o) for o in odd]) // 8
         self.odd = odd
-        self.short = self._matrix(np.arange(len(odd)), 8)
+        self.short = self._matrix(np.arange(len(odd)), 16)
 
     def _matrix(self, at: np.ndarray, words: int) -> np.ndarray:
         out = np.zeros((len(at), words), np.uint64)
@@ -419,6 +423,9 @@ class _Likely:
             out[here] = _fold(raw, words)
         return out
 
+    def _limit(self, most: np.ndarray, words: int) -> np.ndarray:
+        return 32 * words * (1 - np.exp(-most / (32 * words))) if self.expected else most
+
     def __call__(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = self.similarity
         m, n = self.size[i], self.size[j]
@@ -426,16 +433,14 @@ class _Likely:
         ok = (self.group[i] != self.group[j]) & (np.minimum(m, n) >= s * np.maximum(m, n) - 1e-9)
         ok &= np.minimum(m - self.pos[i], n - self.pos[j]) >= least - 1e-6  # the first common key has all others behind it
         i, j, most = i[ok], j[ok], (m + n)[ok] * (1 - s) / (1 + s) + 1e-6
-        apart = np.bitwise_count(self.short[i] ^ self.short[j]).sum(1, dtype=np.int64)
-        near = np.flatnonzero(apart <= most)
-        near = near[np.argsort(apart[near] / most[near], kind="stable")]  # the likeliest first
+        near = np.bitwise_count(self.short[i] ^ self.short[j]).sum(1, dtype=np.int64) <= self._limit(most, 16)
         i, j, most = i[near], j[near], most[near]
         level = np.minimum(self.words[i], self.words[j])
-        for w in np.unique(level[level > 8]).tolist():
+        for w in np.unique(level[level > 16]).tolist():
             at = np.flatnonzero(level == w)
             ends, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
             odd = self._matrix(ends, w)
-            far = at[np.bitwise_count(odd[back[: len(at)]] ^ odd[back[len(at) :]]).sum(1, dtype=np.int64) > most[at]]
+            far = at[np.bitwise_count(odd[back[: len(at)]] ^ odd[back[len(at) :]]).sum(1, dtype=np.int64) > self._limit(most[at], w)]
             keep = np.ones(len(i), bool)
             keep[far] = False
             i, j, most, level = i[keep], j[keep], most[keep], level[keep]
@@ -487,7 +492,7 @@ def _candidates(similarity: float, all_pairs: bool) -> Callable[[Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, seen = _Forest(), set()
         for rows, odd, first, sizes in _whole_keys(batches):
-            likely = _Likely(rows, odd, similarity)
+            likely = _Likely(rows, odd, similarity, not all_pairs)
             for i, j in _pairs(first, sizes):
                 i, j = likely(i, j)
                 if not len(i):
@@ -577,8 +582,8 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, di
     pairs of texts whose sets of ``shingle`` words have a Jaccard similarity of at least ``similarity``.
 
     Candidates are first the spanning forests of fingerprints of word pairs. Then texts meet in the buckets of a prefix
-    filter, where those of different components are compared by sizes, places and parities; twice a forest of the likely
-    links is verified on whole sets, last every likely link still between two components. Texts so alike meet in some
+    filter, where those of different components are compared by sizes, places and parities; first a forest of the expected
+    links is verified on whole sets, last every possible link still between two components. Texts so alike meet in some
     bucket and pass there, so none is missed. Nulls, empty and blank texts have the empty set and are alike. Texts of
     any length are taken whole.
     """
@@ -597,7 +602,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, di
 
     keyed = sketches.select("node", "size", F.posexplode("first").alias("pos", "key")).select("key", "node", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("size")).alias("place"))
     shared = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, place long"))
-    for all_pairs in (False, False, True):
+    for all_pairs in (False, True):
         grouped = shared.join(roots, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("group"))
         shared = cut(grouped.repartition("key").sortWithinPartitions("key").mapInArrow(_live, "key long, node long, place long, group long"))
         rows = shared.join(single.select("node", "odd"), "node").select("key", "node", "place", "group", "odd")

@@ -10,9 +10,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept, spread
+
 
 def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     """(doc, token, tf, dl): a row for each distinct token of a document; dl counts all of its tokens."""
@@ -23,19 +26,105 @@ def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
 
 def corpus_stats(docs: DataFrame, tokens: Column) -> DataFrame:
     """One row: number of documents and mean length; documents without tokens count."""
-    return docs.select(F.size(tokens).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return docs.select(F.coalesce(F.size(tokens), F.lit(0)).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
+#: (query, token) rows up to which queries are broadcast: 2 million are about 100 MB with their words.
+ASKED_ROWS = 2_000_000
+#: Scores, of queries by documents, that a task holds at a time.
+_BLOCK = 4_000_000
+
+
 def bm25(queries: DataFrame, query: str, query_tokens: Column, docs: DataFrame, doc: str, doc_tokens: Column, k: int = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, doc, score, rnk) of the ``k`` best documents of each query, over its distinct tokens.
 
-    Only postings of tokens that some query has are kept before document frequencies are counted.
+    Up to ``ASKED_ROWS`` distinct (query, token) rows, counted first, the queries are broadcast: documents are tokenized
+    once into counts of asked tokens, document frequencies are one small aggregate of these, and every task scores its
+    own documents and keeps ``k`` of each query, so that no posting is shuffled. More queries, and keys that are no whole
+    numbers, meet the postings in joins.
     """
-    asked = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(query_tokens)).alias("token"))
+    asked = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(query_tokens)).alias("token")).distinct()
+    whole = all(t in ("bigint", "int") for t in (dict(docs.select(F.col(doc).alias("doc")).dtypes)["doc"], dict(asked.dtypes)["query"]))
+    few = asked.limit(ASKED_ROWS + 1).toArrow() if whole else None
+    if few is None or len(few) > ASKED_ROWS:
+        return _bm25_joined(asked, docs, doc, doc_tokens, k, k1, b)
+    context = docs.sparkSession.sparkContext
+    tokens = few.column("token").combine_chunks().dictionary_encode()
+    words = context.broadcast({w: i for i, w in enumerate(tokens.dictionary.to_pylist())})
+    names, of = np.unique(few.column("query").to_numpy(), return_inverse=True)
+    token = tokens.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(token, kind="stable")
+    starts = np.searchsorted(token[order], np.arange(len(words.value) + 1))
+    counted = kept(spread(docs).select(F.col(doc).cast("long").alias("doc"), doc_tokens.alias("tokens")).mapInArrow(_asked_counts(words), "doc long, dl long, token array<int>, tf array<int>"))
+    stats = counted.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(1.0))).first()
+    df = counted.select(F.explode("token").alias("token")).groupBy("token").count().toArrow()
+    found = np.zeros(len(words.value))
+    found[df.column("token").to_numpy()] = df.column("count").to_numpy()
+    side = context.broadcast((names, of[order], starts, np.log(1 + (stats[0] - found + 0.5) / (found + 0.5))))
+    scores = counted.mapInArrow(_best_of_task(side, float(stats[1]), k, k1, b), "query long, doc long, score double")
+    kind = dict(asked.dtypes)["query"]
+    return top_k(scores.select(F.col("query").cast(kind), F.col("doc").cast(dict(docs.select(F.col(doc).alias("d")).dtypes)["d"]), "score"), k)
+
+
+def _asked_counts(words) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each document its length, and its asked tokens with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = words.value
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+            flat = lists.flatten().dictionary_encode()
+            known = np.array([number.get(w, -1) for w in flat.dictionary.to_pylist()], np.int64)
+            token = known[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(batch.num_rows), sizes)[token >= 0]
+            width = max(len(number), 1)
+            pair, tf = np.unique(row * width + token[token >= 0], return_counts=True)
+            offsets = pa.array(np.searchsorted(pair, np.arange(batch.num_rows + 1) * width).astype(np.int32))
+            columns = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (pair % width, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *columns], ["doc", "dl", "token", "tf"])
+
+    return run
+
+
+def _best_of_task(side, avgdl: float, k: int, k1: float, b: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From counts to the ``k`` best documents of each query in this task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, queries, starts, idf_of = side.value
+        step = max(1, _BLOCK // max(len(names), 1))
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                docs, dl = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False))
+                token, tf = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+                weight = idf_of[token] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+                asking = starts[token + 1] - starts[token]
+                first = np.repeat(starts[token] - np.concatenate([[0], np.cumsum(asking)[:-1]]), asking) if len(token) else np.zeros(0, np.int64)
+                query = queries[first + np.arange(len(first))]
+                cell = query * part.num_rows + np.repeat(row, asking)
+                score = np.bincount(cell, np.repeat(weight, asking), len(names) * part.num_rows).reshape(len(names), -1)
+                score = np.round(score, 6)
+                kth = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else np.zeros((len(names), 1))
+                q, d = np.nonzero((score >= kth) & (score > 0))
+                best = tuple(np.concatenate(x) for x in zip(best, (q, docs[d], score[q, d])))
+                order = np.lexsort((best[1], -best[2], best[0]))
+                q = best[0][order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                best = tuple(x[order[place < k]] for x in best)
+        yield pa.RecordBatch.from_arrays([pa.array(names[best[0]].astype(np.int64)), pa.array(best[1]), pa.array(best[2])], ["query", "doc", "score"])
+
+    return run
+
+
+def _bm25_joined(asked: DataFrame, docs: DataFrame, doc: str, doc_tokens: Column, k: int, k1: float, b: float) -> DataFrame:
+    """The same by joins: only postings of asked tokens are kept before document frequencies are counted."""
     found = postings(docs, doc, doc_tokens).join(asked.select("token").distinct(), "token", "left_semi")
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     weight = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

@@ -26,6 +26,11 @@ def poll_status(prev_key: Column, key: Column, prev_hash: Column, hash_: Column,
     return F.when(error.isNotNull(), FAILED).otherwise(status) if error is not None else status
 
 
+def last_good(value: str | Column, good: Column, over) -> Column:
+    """``value`` of the last good poll before this one in the window: failed and missing polls leave the state alone."""
+    return F.last(F.when(good, F.col(value) if isinstance(value, str) else value), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+
+
 def classify_polls(polls: DataFrame, state: DataFrame, name: str = "name") -> DataFrame:
     """Polls left-joined to the last state; ``advance`` says whether the new state replaces the old."""
     kept = state.select(name, *[F.col(c).alias(f"prev_{c}") for c in ("key", "hash", "sections")])

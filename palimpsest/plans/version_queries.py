@@ -38,19 +38,36 @@ def section_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.diff_summary(_order_diff(spark, sf_dir), ["change"])
 
 
-_POLLS = """p AS (SELECT event_id, user_id, event_type AS k, regexp_extract(props, '[0-9]+') AS h, lag(event_type) OVER w AS pk, lag(regexp_extract(props, '[0-9]+')) OVER w AS ph FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+_BEFORE = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_POLLS = f"""e AS (SELECT event_id, user_id, ts, event_type AS k, regexp_extract(props, '[0-9]+') AS h FROM events),
+    p AS (SELECT *, last_value(CASE WHEN k <> 'error' THEN k END IGNORE NULLS) OVER {_BEFORE} AS pk, last_value(CASE WHEN k <> 'error' THEN h END IGNORE NULLS) OVER {_BEFORE} AS ph FROM e),
     s AS (SELECT event_id, user_id, CASE WHEN k = 'error' THEN 'error' WHEN pk IS NULL THEN 'new' WHEN k <> pk THEN 'changed' WHEN h <> ph THEN 'changed' ELSE 'same' END AS status FROM p)"""
 
 
 def poll_states(events: DataFrame) -> DataFrame:
-    """Every poll of a target against the poll before it."""
+    """Every poll of a target against the last good poll before it."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    digest = F.regexp_extract("props", "[0-9]+", 0)
-    error = F.when(F.col("event_type") == "error", F.lit("error"))
-    status = V.poll_status(F.lag("event_type").over(w), F.col("event_type"), F.lag(digest).over(w), digest, error)
+    digest, good = F.regexp_extract("props", "[0-9]+", 0), F.col("event_type") != "error"
+    status = V.poll_status(V.last_good("event_type", good, w), F.col("event_type"), V.last_good(digest, good, w), digest, F.when(~good, F.lit("error")))
     return events.select("event_id", "user_id", status.alias("status"))
 
 
+@query("""WITH n AS (SELECT l_orderkey, count(*) AS sections FROM lineitem GROUP BY ALL),
+    v AS (SELECT o_custkey AS name, o_orderpriority AS key, (o_orderkey % 4)::VARCHAR AS hash, o_orderstatus, coalesce(sections, 0) AS sections, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS b FROM orders LEFT JOIN n ON l_orderkey = o_orderkey),
+    p AS (SELECT name, CASE WHEN key = '5-LOW' THEN NULL ELSE key END AS key, hash, sections, o_orderstatus = 'F' AS failed FROM v WHERE b = 1),
+    j AS (SELECT p.*, s.key AS pk, s.hash AS ph, s.sections AS ps FROM p LEFT JOIN v s ON s.name = p.name AND s.a = 1 AND s.b > 1),
+    c AS (SELECT *, CASE WHEN failed THEN 'error' WHEN key IS NULL THEN 'not_found' WHEN (pk IS NULL OR key <> pk OR hash <> ph) AND coalesce(ps > 3 AND (sections = 0 OR sections < ps * 0.5), false) THEN 'blocked' WHEN pk IS NULL THEN 'new' WHEN key <> pk OR hash <> ph THEN 'changed' ELSE 'same' END AS status FROM j)
+    SELECT name, status, status IN ('new', 'changed') AS advance FROM c""")
+def poll_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last order of a customer as a poll against the first as the state kept: failed, missing and collapsed ones do not advance."""
+    sections = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("sections"))
+    versions = table(spark, sf_dir, "orders").join(sections, "o_orderkey", "left").select(F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("key"), (F.col("o_orderkey") % 4).cast("string").alias("hash"), F.coalesce("sections", F.lit(0)).alias("sections"), "o_orderstatus", "o_orderdate", "o_orderkey")
+    w = Window.partitionBy("name")
+    placed = versions.withColumns({"a": F.row_number().over(w.orderBy("o_orderdate", "o_orderkey")), "b": F.row_number().over(w.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))})
+    polls = placed.where("b = 1").select("name", F.when(F.col("key") != "5-LOW", F.col("key")).alias("key"), "hash", "sections", F.when(F.col("o_orderstatus") == "F", F.lit("down")).alias("error"))
+    return V.classify_polls(polls, placed.where("a = 1 and b > 1")).select("name", "status", "advance")
+
+
 @query(f"WITH {_POLLS} SELECT event_id, user_id, status FROM s")
 def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poll_states(table(spark, sf_dir, "events"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.versions import poll_status
+from ..operators.versions import last_good, poll_status
 
 STATE = "name long, ts timestamp_ntz, poll_id long, key string, hash string"
 
@@ -21,9 +21,10 @@ def detect_batch(polls: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFra
     kept = state.join(polls.select("name").distinct(), "name", "left_semi").withColumns({"error": F.lit(None).cast("string"), "_old": F.lit(True)})
     rows = polls.withColumn("_old", F.lit(False)).unionByName(kept)
     w = Window.partitionBy("name").orderBy(F.desc("_old"), "ts", "poll_id")
-    status = poll_status(F.lag("key").over(w), F.col("key"), F.lag("hash").over(w), F.col("hash"), F.col("error"))
+    good = F.col("error").isNull() & F.col("key").isNotNull()
+    status = poll_status(last_good("key", good, w), F.col("key"), last_good("hash", good, w), F.col("hash"), F.col("error"))
     out = rows.withColumn("status", status).where("not _old").select("poll_id", "name", "status")
-    last = rows.groupBy("name").agg(F.max_by(F.struct("ts", "poll_id", "key", "hash"), F.struct(~F.col("_old"), "ts", "poll_id")).alias("s")).select("name", "s.*")
+    last = rows.where(good).groupBy("name").agg(F.max_by(F.struct("ts", "poll_id", "key", "hash"), F.struct(~F.col("_old"), "ts", "poll_id")).alias("s")).select("name", "s.*")
     return out, state.join(last.select("name"), "name", "left_anti").unionByName(last)
 
 

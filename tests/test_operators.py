@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 import random
 
 import pytest
@@ -169,6 +170,29 @@ def test_quota_fills_up_from_the_rest(spark):
     assert [r["doc"] for r in R.quota(none, 5).orderBy("pos").collect()] == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("rows", [2_000_000, 3])
+def test_bm25_of_broadcast_and_of_joined_queries(spark, monkeypatch, rows):
+    monkeypatch.setattr(R, "ASKED_ROWS", rows)
+    docs = [(1, "a b c"), (2, "a a b"), (3, "c"), (4, ""), (5, None), (6, "a b c")]
+    asks = [(10, "a c a"), (11, "b"), (12, "zz"), (13, None)]
+    words = lambda t: (t or "").split()
+    split = lambda: F.split("text", " ")
+    got = R.bm25(spark.createDataFrame(asks, "q long, text string"), "q", split(), spark.createDataFrame(docs, "d long, text string").repartition(3), "d", split(), k=3).collect()
+    n, mean = len(docs), sum(len(t.split(" ")) for _, t in docs if t is not None) / len(docs)
+    want = {}
+    for q, ask in asks:
+        scores = []
+        for d, t in docs:
+            s = 0.0
+            for w in set(words(ask)):
+                df, tf = sum(w in words(x) for _, x in docs), words(t).count(w)
+                s += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len((t or "").split(" ")) / mean))
+            if s > 0:
+                scores.append((-round(s, 6), d))
+        want |= {(q, d): i + 1 for i, (_, d) in enumerate(sorted(scores)[:3])}
+    assert {(r["query"], r["doc"]): r["rnk"] for r in got} == want
+
+
 def test_recall_counts_missing_answers_as_misses(spark):
     ranking = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 1)], "query int, doc int, rnk int")
     answers = spark.createDataFrame([(1, 11), (1, 99), (2, 98), (3, 12)], "query int, doc int")
@@ -236,5 +260,6 @@ def test_stream_over_several_files_equals_the_batch_form(spark, tmp_path):
     for name, _, poll, key, digest, error in rows:
         prev = last.get(name)
         want = "error" if error else "new" if prev is None else "changed" if prev != (key, digest) else "same"
-        last[name] = (key, digest)
+        if not error:  # a failed poll leaves the state alone
+            last[name] = (key, digest)
         assert got[poll] == want

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ARTICLE = r"제\s*(\d+)\s*조(?:\s*의\s*(\d+))?"
+# Forms of article and annex numbers, and what names are compared without.
+ARTICLE = r"제\s*(\d+)\s*(?:-\s*(\d+))?\s*조(?:\s*의\s*(\d+))?"
+ANNEX = r"\[?\s*(별표|별지|서식|첨부)\s*(?:제)?\s*0*(\d+)\s*(?:의\s*(\d+))?\s*(?:호)?\s*\]?"
+ANNEX_KINDS = "별표|별지|서식|첨부"
 NAME_NOISE = r"(?U)[\s_·ㆍ・.,()\[\]{}<>「」『』/\\-]"
 
 
@@ -44,28 +47,41 @@ def latin_bigram_tokens(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(low, F.lit("[0-9]+"), F.lit(0)), bigrams(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0))))
 
 
+def groups_of(text: Column, pattern: str, names: str) -> Column:
+    """All matches as structs of the pattern's groups, by one-letter names; absent groups are empty."""
+    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
+
+
+def prefixed(prefix: str, value: Column) -> Column:
+    """``prefix`` and value, or nothing for an empty value."""
+    return F.when(value == "", "").otherwise(F.concat(F.lit(prefix), value))
+
+
+def padded(number: Column, width: int = 4) -> Column:
+    """Zeros in front, up to ``width`` digits; longer numbers stay whole."""
+    return F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number)
+
+
 def article_tokens(text: Column) -> Column:
-    """제N조 and 제N조의M with the article they branch from."""
-    numbers = F.regexp_extract_all(text, F.lit(ARTICLE), F.lit(1))
-    branches = F.regexp_extract_all(text, F.lit(ARTICLE), F.lit(2))
-    pairs = F.arrays_zip(numbers.alias("n"), branches.alias("b"))
-    key = lambda p: F.concat(F.lit("제"), p["n"], F.lit("조"))
-    return F.flatten(F.transform(pairs, lambda p: F.when(p["b"] == "", F.array(key(p))).otherwise(F.array(F.concat(key(p), F.lit("의"), p["b"]), key(p)))))
+    """제4-11조 is 조4-11 and 제80조의2 is 조80의2; both come with the article they belong to."""
+    whole = lambda p: F.concat(F.lit("조"), p["a"], prefixed("-", p["b"]), prefixed("의", p["c"]))
+    plain = lambda p: F.concat(F.lit("조"), p["a"])
+    return F.flatten(F.transform(groups_of(text, ARTICLE, "abc"), lambda p: F.when((p["b"] == "") & (p["c"] == ""), F.array(plain(p))).otherwise(F.array(whole(p), plain(p)))))
 
 
 def annex_tokens(text: Column) -> Column:
-    """별표/별지/서식 N: the kind, the kind with its number, and the number padded to four digits."""
-    pattern = F.lit(r"(별표|별지|서식)\s*(?:제\s*)?(\d+)(?:\s*의\s*(\d+))?")
-    zipped = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("k"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("n"), F.regexp_extract_all(text, pattern, F.lit(3)).alias("b"))
-    branch = lambda p: F.when(p["b"] == "", "").otherwise(F.concat(F.lit("의"), p["b"]))
-    return F.flatten(F.transform(zipped, lambda p: F.array(p["k"], F.concat(p["k"], p["n"], branch(p)), F.concat(p["k"], F.lpad(p["n"], 4, "0"), branch(p)))))
+    """The kind, the kind with its number, and the number padded to four digits: queries and keys write it either way."""
+    branch = lambda p: prefixed("의", p["c"])
+    return F.flatten(F.transform(groups_of(text, ANNEX, "kac"), lambda p: F.array(p["k"], F.concat(p["k"], p["a"], branch(p)), F.concat(p["k"], padded(p["a"]), branch(p)))))
 
 
 def korean_tokens(text: Column) -> Column:
-    """Article and annex numbers first and taken out, then ASCII words in lower case, then Hangul bigrams."""
-    rest = F.regexp_replace(F.regexp_replace(text, ARTICLE, " "), r"(별표|별지|서식)\s*(?:제\s*)?(\d+)(?:\s*의\s*(\d+))?", " ")
-    words = F.transform(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.lower(w))
-    return F.concat(article_tokens(text), annex_tokens(text), words, bigrams(F.regexp_extract_all(rest, F.lit("[가-힣]+"), F.lit(0))))
+    """Article and annex numbers first and taken out, then annex kinds without a number, ASCII words, Hangul bigrams."""
+    rest = F.regexp_replace(F.regexp_replace(text, ARTICLE, " "), ANNEX, " ")
+    bare = F.regexp_replace(rest, ANNEX_KINDS, " ")
+    words = F.transform(F.regexp_extract_all(bare, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.lower(w))
+    kinds = F.regexp_extract_all(rest, F.lit(ANNEX_KINDS), F.lit(0))
+    return F.concat(article_tokens(text), annex_tokens(text), kinds, words, bigrams(F.regexp_extract_all(bare, F.lit("[가-힣]+"), F.lit(0))))
 
 
 def iso_date(digits: Column) -> Column:

@@ -30,7 +30,7 @@ def pick_names(names: DataFrame, candidates: DataFrame, name: str = "name", cand
     longer = met.select(F.col(candidate), F.col("_n").alias("_other"))
     shadowed = met.join(longer, candidate).where((F.length("_other") > F.length("_n")) & F.contains("_other", F.col("_n"))).select(name, candidate).distinct()
     left = met.where(F.col("_n") != F.col("_c")).join(shadowed, [name, candidate], "left_anti").unionByName(met.where(F.col("_n") == F.col("_c")))
-    best = F.min_by(candidate, F.struct((F.col("_n") != F.col("_c")).alias("far"), F.length(candidate).alias("n"), F.col(candidate).alias("c")))
+    best = F.min_by(candidate, F.struct((F.col("_n") != F.col("_c")).alias("far"), F.length("_c").alias("n"), F.col(candidate).alias("c")))
     return left.groupBy(name).agg(best.alias(candidate))
 
 

@@ -121,8 +121,9 @@ def test_percentiles_take_the_place_of_bankers_rounding(spark):
 
 def test_korean_tokens(spark):
     got = one(spark, T.korean_tokens(F.col("x")), ("제12조의3 별표 5 개인정보 ABC",))
-    assert got == ["제12조의3", "제12조", "별표", "별표5", "별표0005", "abc", "개인", "인정", "정보"]
+    assert got == ["조12의3", "조12", "별표", "별표5", "별표0005", "abc", "개인", "인정", "정보"]
     assert one(spark, T.korean_tokens(F.col("x")), ("가",)) == ["가"]
+    assert one(spark, T.korean_tokens(F.col("x")), ("제 4-11 조 [별표 0005] 규정 첨부",)) == ["조4-11", "조4", "별표", "별표5", "별표0005", "첨부", "규정"]
 
 
 def test_names_strip_and_dates(spark):
@@ -207,7 +208,7 @@ def test_merged_items_skip_bases_that_are_part_of_those_before(spark):
 
 
 def test_tree_links_and_cut_off_pages(spark):
-    pages = spark.createDataFrame([(1, "<a onclick=\"gotoLawList('Rule A', '12', '34')\">x</a></html>"), (2, "<p>cut"), (3, None)], "page_id int, html string")
+    pages = spark.createDataFrame([(1, "<a onclick=\"gotoLawList('12', 'x', 'Rule A', '34', '')\">x</a></html>"), (2, "<p>cut"), (3, None)], "page_id int, html string")
     link = readers.tree_links(pages).first()
     assert (link["title"], link["seq"], link["history_seq"]) == ("Rule A", "12", "34")
     whole, broken = readers.whole_pages(pages)
@@ -215,6 +216,22 @@ def test_tree_links_and_cut_off_pages(spark):
     assert sorted(r["page_id"] for r in broken.collect()) == [2, 3]
 
 
+def test_rows_of_sheets_are_skipped_by_number(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,title\nno,name\n1,a\nx,b\n2,c\n")
+    assert sorted(tuple(r) for r in readers.sheet_rows(spark, str(tmp_path / "a.csv"), ["no", "name"], "no", skip=2).collect()) == [("1", "a"), ("2", "c")]
+
+
+def test_newest_post_with_a_fitting_file(spark):
+    posts = spark.createDataFrame([("b", 1, "rule_old.HWP", 5000), ("b", 2, "rule_new.hwp", 9000), ("b", 3, "rule_newer.hwp", 10), ("b", 4, "other.hwp", 9000)], "board string, at int, file string, size int")
+    assert [r["at"] for r in readers.newest_attachment(posts, "board", "at", "file", ".hwp", ["rule"], "size").collect()] == [2]
+
+
+def test_keys_go_past_all_that_were(spark):
+    rows = spark.createDataFrame([(1, i, k) for i, k in enumerate(["a", "a", "a#2", "a", "b"])] + [(2, i, k) for i, k in enumerate(["a#2", "a", "a", "a"])] + [(3, 0, "a"), (3, 1, "a")], "doc int, pos int, k string")
+    got = S.unique_keys(rows, "k").orderBy("doc", "pos").collect()
+    assert [r["section_key"] for r in got] == ["a", "a#2", "a#2#2", "a#3", "b", "a#2", "a", "a#3", "a#4", "a", "a#2"]
+
+
 def test_records_and_attachments_are_read_and_checked(spark, tmp_path):
     (tmp_path / "records").mkdir()
     (tmp_path / "records" / "a.json").write_text('{"name": "A",\n "articles": []}')

@@ -126,3 +126,25 @@ def canonical_hash(*columns: Column) -> Column:
 def shares_or_empty(values: Column, wanted: Column) -> Column:
     """The set filter in which a row without values passes."""
     return (F.coalesce(F.size(values), F.lit(0)) <= 0) | F.coalesce(F.arrays_overlap(values, wanted), F.lit(False))
+
+
+def names_any(name: Column, parts: list[str]) -> Column:
+    """Whether a name has any of the parts, white space aside on both sides; without parts every name does."""
+    plain = F.regexp_replace(name, r"\s", "")
+    wanted = ["".join(p.split()) for p in parts]
+    return F.exists(F.array(*map(F.lit, wanted)), lambda p: F.contains(plain, p)) if wanted else F.lit(True)
+
+
+def index_text(title: Column, number: Column, content: Column) -> Column:
+    """What is indexed of a section; an absent part is empty and leaves no word behind."""
+    return F.concat(*[x for c in (title, number, content) for x in (F.coalesce(c, F.lit("")), F.lit(" "))][:-1])
+
+
+def present(text: Column, literal: str) -> Column:
+    """Whether a text has a literal, white space aside."""
+    return F.contains(F.regexp_replace(text, r"\s", ""), F.lit("".join(literal.split())))
+
+
+def compared(text: Column) -> Column:
+    """A text as it is compared: without marks of amendment in brackets, white space and quotes."""
+    return F.regexp_replace(F.regexp_replace(text, r"<[^>]*>|\[[^\]]*\]", ""), "[\\s\"']", "")

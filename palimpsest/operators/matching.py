@@ -66,3 +66,47 @@ def gathered(links: DataFrame, owner: str, order: str, fields: list[str], out: s
     w = Window.partitionBy(owner).orderBy(order)
     top = links.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     return top.groupBy(owner).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.struct(*fields).alias("v")))), lambda x: x["v"]).alias(out))
+
+
+def matched_rules(rules: DataFrame, rule: str, basis: str, refs: str, articles: DataFrame) -> DataFrame:
+    """(…, outcome, n_refs, n_hits) of rules with their parsed references, an array of (name, candidate keys).
+
+    Candidates are tried in order by an equi join with ``articles`` (name, key); a reference without keys needs the name
+    alone. Outcome: ``manual`` without a basis, ``unparsed`` without a reference, else ``all``, ``some`` or ``none`` found.
+    """
+    each = rules.select(rule, F.posexplode(refs).alias("_at", "_r"))
+    keys = F.when(F.col("_r.keys").isNull(), F.array(F.lit("*"))).otherwise(F.col("_r.keys"))
+    tried = each.select(rule, "_at", F.col("_r.name").alias("_name"), F.explode(keys).alias("_key"))
+    known = articles.select("name", "key").union(articles.select("name", F.lit("*"))).distinct().toDF("_name", "_key")
+    hits = tried.join(known, ["_name", "_key"], "left_semi").groupBy(rule).agg(F.count_distinct("_at").alias("n_hits"))
+    rows = rules.join(hits, rule, "left").withColumns({"n_refs": F.size(refs).cast("long"), "n_hits": F.coalesce("n_hits", F.lit(0))})
+    outcome = F.when(F.coalesce(F.trim(basis), F.lit("")).isin("", "-"), "manual").when(F.col("n_refs") == 0, "unparsed").when(F.col("n_hits") == F.col("n_refs"), "all").when(F.col("n_hits") > 0, "some")
+    return rows.withColumn("outcome", outcome.otherwise("none"))
+
+
+def link_with_guard(rows: DataFrame, targets: DataFrame, target: str, by: list[list[str]]) -> DataFrame:
+    """(…, target, how): the first of the key lists ``by`` that leads to a target. The first lists take the least target; the
+    last links only where its keys have exactly one."""
+    out = rows.withColumns({target: F.lit(None).cast(dict(targets.dtypes)[target]), "how": F.lit(None).cast("long")})
+    for i, keys in enumerate(by):
+        found = targets.where(sum((F.col(k).isNull().cast("int") for k in keys), F.lit(0)) == 0).groupBy(*keys).agg(F.min(target).alias("_t"), F.count_distinct(target).alias("_n"))
+        if i == len(by) - 1:
+            found = found.where("_n = 1")
+        out = out.join(found, keys, "left").withColumns({"how": F.coalesce("how", F.when(F.col("_t").isNotNull(), i)), target: F.coalesce(target, "_t")}).drop("_t", "_n")
+    return out
+
+
+def twins(files: DataFrame, name: str, extension: str, other: str) -> DataFrame:
+    """Files of one extension with ``twin``: whether one of the same stem and the other extension is there."""
+    stem, end = F.regexp_replace(name, r"\.[^.]*$", ""), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    there = files.where(end == other).select(stem.alias("_stem")).distinct().withColumn("twin", F.lit(True))
+    return files.where(end == extension).withColumn("_stem", stem).join(there, "_stem", "left").withColumn("twin", F.coalesce("twin", F.lit(False))).drop("_stem")
+
+
+def most_overlap(names: DataFrame, name: str, titles: DataFrame, title: str, tokens: str) -> DataFrame:
+    """Of each name the title that shares most of its distinct ``tokens``, the least of equals; null if none shares any."""
+    a = names.select(name, F.explode(F.array_distinct(tokens)).alias("_t"))
+    b = titles.select(title, F.explode(F.array_distinct(tokens)).alias("_t"))
+    scores = a.join(b, "_t").groupBy(name, title).agg(F.count("*").alias("_n"))
+    best = scores.groupBy(name).agg(F.min_by(F.struct(title, "_n"), F.struct(-F.col("_n"), F.col(title))).alias("_b"))
+    return names.select(name).distinct().join(best, name, "left").select(name, F.col(f"_b.{title}").alias(title), F.col("_b._n").alias("shared"))

@@ -88,3 +88,52 @@ def most_common(rows: DataFrame, value: str, k: int, order: str) -> DataFrame:
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+# How deletions and dates are written.
+DELETED = r"삭제\s*[<(]?\s*\d{4}|[<(]\s*삭제"
+DATE = r"(\d{4})\s*[.년-]\s*(\d{1,2})\s*[.월-]\s*(\d{1,2})"
+
+
+def deleted_shell(text: Column, most: int = 120) -> Column:
+    """Whether a short text is all that is left of a deleted rule."""
+    return (F.length(text) <= most) & text.rlike(DELETED)
+
+
+def deleted_article(title: Column, body: Column, head: int = 40) -> Column:
+    """Whether an article is deleted, by its title or by how it begins."""
+    return F.coalesce(F.contains(title, F.lit("삭제")), F.lit(False)) | F.coalesce(F.contains(F.substring(body, 1, head), F.lit("삭제")), F.lit(False))
+
+
+def latest_date(text: Column, head: int = 1500) -> Column:
+    """The latest date in a text's first characters, as YYYY-MM-DD; null if there is none."""
+    start = F.substring(text, 1, head)
+    year, month, day = (F.regexp_extract_all(start, F.lit(DATE), F.lit(i)) for i in (1, 2, 3))
+    zipped = F.arrays_zip(year.alias("y"), month.alias("m"), day.alias("d"))
+    return F.array_max(F.transform(zipped, lambda x: F.concat_ws("-", x["y"], F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0"))))
+
+
+def char_shares(rows: DataFrame, by: str, text: str) -> DataFrame:
+    """Characters of each class, and their share of all: one aggregate, and a window over as many rows as classes."""
+    sums = rows.groupBy(by).agg(F.sum(F.length(text)).alias("chars"))
+    return sums.withColumn("share", F.round(F.col("chars") / F.sum("chars").over(Window.partitionBy()), 6))
+
+
+def accuracy_by(rows: DataFrame, expected: str, verdict: str) -> DataFrame:
+    right = F.when(F.col(expected) == F.col(verdict), 1.0).otherwise(0.0)
+    return rows.groupBy(expected).agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"))
+
+
+def by_severity(rows: DataFrame, target: str, severity: str, order: str, ranks: tuple[str, ...]) -> DataFrame:
+    """``place`` of each finding of its target by the rank of its severity; unknown severities come last."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ranks)), F.col(severity)), F.lit(0)), F.lit(len(ranks) + 1))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(target).orderBy(rank, order)).cast("long"))
+
+
+def capped(rows: DataFrame, by: str, value: str, most: int, out: str) -> DataFrame:
+    """The first ``most`` values of each owner as text and how many were left out; the cut is made before gathering."""
+    w = Window.partitionBy(by).orderBy(value)
+    ranked = rows.select(by, F.col(value).alias("_v"), F.row_number().over(w).alias("_n"))
+    told = ranked.groupBy(by).agg(F.count("*").alias("_all"), F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct("_n", F.col("_v").cast("string").alias("v"))))).alias("_first"))
+    rest = F.when(F.col("_all") > most, F.concat(F.lit(" +"), (F.col("_all") - most).cast("string"), F.lit(" more"))).otherwise("")
+    return told.select(by, F.concat(F.array_join(F.transform("_first", lambda x: x["v"]), ", "), rest).alias(out))

@@ -101,3 +101,34 @@ def fan_out(changes: DataFrame, profiles: DataFrame, code: str = "code", name: s
 def unread_once(failures: DataFrame, unread: DataFrame, keys: list[str]) -> DataFrame:
     """Failure notices that no unread notice of the same keys stands for already."""
     return failures.dropDuplicates(keys).join(unread.select(*keys).distinct(), keys, "left_anti")
+
+
+def fresh_notices(notices: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """Notices of a fan-out that are not stored yet, each once: an insert that ignores what is there."""
+    return notices.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
+
+
+def marked_read(notices: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """(key, state): ``read`` for asked notices, ``not_found`` for asked ids without one, ``as it was`` for the rest."""
+    met = notices.select(key, F.lit(True).alias("_there")).join(asked.select(key, F.lit(True).alias("_asked")).distinct(), key, "full")
+    return met.select(key, F.when(F.col("_there").isNull(), "not_found").when(F.col("_asked").isNull(), "as it was").otherwise("read").alias("state"))
+
+
+def without(gone: DataFrame, key: str, tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
+    """Tables (rows, name of their key) without what hangs on ``gone`` keys; rows whose key is null stay."""
+    return {name: rows.join(gone.select(F.col(key).alias("_gone")).distinct(), F.col(of) == F.col("_gone"), "left_anti") for name, (rows, of) in tables.items()}
+
+
+def reconciled(stored: DataFrame, live: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Stored rows against live ones: ``not_live``, ``differs`` in any of ``values``, or ``agrees``."""
+    now = live.select(*keys, F.lit(True).alias("_live"), *[F.col(v).alias(f"_{v}") for v in values])
+    differs = F.lit(False)
+    for v in values:
+        differs |= ~F.col(v).eqNullSafe(F.col(f"_{v}"))
+    return stored.join(now, keys, "left").select(*keys, F.when(F.col("_live").isNull(), "not_live").when(differs, "differs").otherwise("agrees").alias("state"))
+
+
+def ids_and_new(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Existing rows and the incoming ones that were absent, with ``is_new``."""
+    fresh = insert_if_absent(existing, incoming, keys, order)
+    return existing.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)))

@@ -34,6 +34,8 @@ SPLIT = 2048
 SEED = 42
 #: Of a sixteenth of all texts, how many a common shingle is in; and how many common ones are ordered last at most.
 COMMON, MOST_COMMON = 8, 500_000
+#: Links that a task of the components' rounds holds.
+TASK_LINKS = 200_000
 #: Rows of hashes and ids up to which a counted side is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -228,19 +230,22 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node; ``root`` is the smallest node of its component.
 
     Alternating large-star and small-star rounds: in each, a node's links are re-hung on the least of its
-    neighbours. Rounds grow with the logarithm of the component's size; each is one shuffle of the links.
+    neighbours. Rounds grow with the logarithm of the component's size; each is one shuffle of the links, in as many
+    tasks as ``TASK_LINKS`` of them make, and eight at least.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
+    tasks = max(8, -(-edges.count() // TASK_LINKS))
     while True:
-        both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        held = edges.coalesce(tasks)
+        both = held.union(held.select(F.col("b"), F.col("a"))).toDF("u", "v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(tasks)
         hung = both.join(least, "u")
-        large = hung.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = hung.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct().coalesce(tasks)
+        low = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
         down = large.join(low, "a")
         small = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = cut(small)
+        edges = cut(small.coalesce(tasks))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.toDF("node", "root")
@@ -598,7 +603,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, di
     near = found.join(a, "a").join(b, "b").select("na", "nb").union(single.select("node", "mark").join(firsts, "mark").where("node <> first").select("node", "first"))
     tried = cut(near.select(F.greatest("na", "nb").alias("a"), F.least("na", "nb").alias("b")).distinct())
     links = _verified(tried, single, texts, shingle, similarity)
-    roots = components(links)
+    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).where("false")
 
     keyed = sketches.select("node", "size", F.posexplode("first").alias("pos", "key")).select("key", "node", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("size")).alias("place"))
     shared = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, place long"))

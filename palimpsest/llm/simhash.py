@@ -614,8 +614,10 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, di
         likely = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(similarity, all_pairs), "a long, b long")
         new = cut(likely.distinct().join(tried, ["a", "b"], "left_anti"))
         shared = shared.drop("group")
-        if not new.isEmpty():
+        some = not new.isEmpty()
+        if some:
             links, tried = links.union(_alike(new, texts, shingle, similarity)), tried.union(new)
+        if some or not all_pairs:
             roots = components(links)
     return roots
 

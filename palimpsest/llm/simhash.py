@@ -645,8 +645,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, *, id_c
     roots = similar_texts(docs, shingle, similarity, text_col=text_col).toDF("hash", "root")
     keys = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
     counts = cut(keys.groupBy("hash", "id").agg(F.count("*").alias("n")).join(roots, "hash", "left").withColumn("root", F.coalesce("root", "hash")))
-    best = counts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("best"))
-    ranked = counts.join(best, "root").withColumn("kept", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("hash") == F.col("best.hash")))
+    best = counts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("best")).select(F.col("best.hash").alias("best_hash"), F.col("best.id").alias("best_id"), F.lit(True).alias("kept"))
+    # the kept rows are met by their own hashes: a join by root would bring a large group into one task
+    ranked = counts.join(best, (F.col("hash") == F.col("best_hash")) & F.col("id").eqNullSafe(F.col("best_id")), "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     gone = cut(ranked.where("not kept or n > 1").select("hash", "id", "kept"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("row_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row_hash"))
     met = (F.col("row_hash") == F.col("hash")) & F.col("row_id").eqNullSafe(F.col("id"))

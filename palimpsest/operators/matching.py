@@ -9,17 +9,22 @@ from pyspark.sql import functions as F
 def contains_join(texts: DataFrame, text: str, names: DataFrame, name: str, gram: int = 4) -> DataFrame:
     """Rows of ``texts`` and ``names`` where the text contains the name.
 
-    A name's first ``gram`` characters are met by equality among the distinct grams of a text, then the whole name
-    is verified; so the join is a shuffle on grams and not a loop over all pairs. Names shorter than ``gram`` have
-    grams of their own length.
+    A name's first ``gram`` characters are met by equality among the distinct grams of a text, so the join is a
+    shuffle on grams and not a loop over all pairs. Only a text's hash goes with its grams; the text itself is fetched
+    once for each name met, and the whole name is verified there. Names shorter than ``gram`` have grams of their
+    own length.
     """
     t, n = F.col(text), F.col(name)
-    size = F.least(F.lit(gram), F.length(n))
-    keyed = names.where(F.length(n) > 0).withColumns({"_size": size, "_gram": F.substring(n, F.lit(1), size)})
-    sizes = keyed.select("_size").distinct()  # at most ``gram`` rows
-    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - k + 1)), lambda i: F.substring(t, i, k))
-    grams = texts.crossJoin(F.broadcast(sizes)).withColumn("_gram", F.explode(F.array_distinct(cut(F.col("_size")))))
-    return grams.join(keyed, ["_size", "_gram"]).where(F.contains(t, n)).drop("_size", "_gram")
+    keyed = names.where(F.length(n) > 0).select(n.alias("_name")).distinct().withColumn("_size", F.least(F.lit(gram), F.length("_name")))
+    keyed = keyed.withColumn("_gram", F.substring("_name", F.lit(1), F.col("_size")))
+    sizes = keyed.select("_size").distinct()
+    each = texts.where(t.isNotNull()).select(F.xxhash64(t).alias("_text"), t.alias("_t")).distinct()
+    each = each.select("_text", F.split("_t", "").alias("_chars"), F.explode(F.sequence(F.lit(1), F.lit(gram))).alias("_size")).join(F.broadcast(sizes), "_size", "left_semi")  # at most ``gram`` sizes
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_chars") - F.col("_size") + 1))
+    grams = each.select("_text", "_size", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("_chars", i, F.col("_size")), "")))).alias("_gram"))
+    met = grams.join(keyed, ["_size", "_gram"]).select("_text", "_name").distinct()
+    pairs = texts.withColumn("_text", F.xxhash64(t)).join(met, "_text").where(F.contains(t, F.col("_name"))).drop("_text")
+    return pairs.join(names.where(F.length(n) > 0), F.col("_name") == n).drop("_name")
 
 
 def pick_names(names: DataFrame, candidates: DataFrame, name: str = "name", candidate: str = "candidate", key=lambda c: c) -> DataFrame:

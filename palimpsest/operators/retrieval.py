@@ -139,50 +139,71 @@ def top_k(scores: DataFrame, k: int, rank: str = "rnk") -> DataFrame:
     return scores.withColumn(rank, F.row_number().over(order).cast("long")).where(F.col(rank) <= k)
 
 
-def _nearest(matrix: np.ndarray, names: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s = np.full((len(names), 0), 0.0)
-        best_d = np.zeros((len(names), 0), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(docs), -1).astype(np.float64)
-            score = np.round(matrix @ vectors.T, 6)
-            score[names[:, None] == docs[None, :]] = -np.inf
-            s, d = np.concatenate([best_s, score], 1), np.concatenate([best_d, np.broadcast_to(docs, score.shape)], 1)
-            keep = np.lexsort((d, -s), axis=1)[:, :k]
-            best_s, best_d = np.take_along_axis(s, keep, 1), np.take_along_axis(d, keep, 1)
-        real = np.isfinite(best_s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], best_s.shape)[real]), pa.array(best_d[real]), pa.array(best_s[real])], ["query", "doc", "score"])
+#: Query and row vectors of one cell of the grid, and the tiles in which a cell is multiplied.
+_CELL_QUERIES, _CELL_ROWS = 16_384, 65_536
+_TILE_QUERIES, _TILE_ROWS = 2_048, 1_024
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The ``k`` best rows of every query of a cell. Only scores that reach a query's k-th best so far are kept and sorted."""
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asked.num_rows and rows.num_rows:
+            # Equal rows came as one with their number; no ranking holds more than k of them.
+            times = np.minimum(rows["n"].to_numpy(), k)
+            docs, vectors = np.repeat(rows["key"].to_numpy(), times), np.repeat(_matrix(rows["vector"]), times, axis=0)
+            names, matrix = asked["key"].to_numpy(), _matrix(asked["vector"])
+            for q0 in range(0, len(names), _TILE_QUERIES):
+                name, part = names[q0 : q0 + _TILE_QUERIES], matrix[q0 : q0 + _TILE_QUERIES]
+                best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                floor = np.full((len(name), 1), -np.inf)
+                for d0 in range(0, len(docs), _TILE_ROWS):
+                    doc = docs[d0 : d0 + _TILE_ROWS]
+                    score = np.round(part @ vectors[d0 : d0 + _TILE_ROWS].T, 6)
+                    score[name[:, None] == doc[None, :]] = -np.inf
+                    if score.shape[1] > k:
+                        floor = np.maximum(floor, np.partition(score, -k, axis=1)[:, -k, None])
+                    q, d = np.nonzero((score >= floor) & (score > -np.inf))
+                    best = tuple(np.concatenate(x) for x in zip(best, (q, doc[d], score[q, d])))
+                    order = np.lexsort((best[1], -best[2], best[0]))
+                    q = best[0][order]
+                    best = tuple(x[order[np.arange(len(q)) - np.searchsorted(q, q) < k]] for x in best)
+                    ends = np.searchsorted(best[0], np.arange(len(name)), "right") - 1
+                    full = np.bincount(best[0], minlength=len(name)) == k
+                    floor[full, 0] = np.maximum(floor[full, 0], best[2][ends[full]])
+                found.append((name[best[0]], best[1], best[2]))
+        query, doc, score = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query": query.astype(np.int64), "doc": doc.astype(np.int64), "score": score})
 
     return run
 
 
-def vector_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
-    """Exact inner-product neighbours (query, doc, score, rnk), self excluded.
+def vector_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, cell_queries: int = _CELL_QUERIES, cell_rows: int = _CELL_ROWS) -> DataFrame:
+    """Exact inner-product neighbours (query, doc, score, rnk), self excluded; rows of a null key or vector take no part.
 
-    Queries go out in blocks of ``block`` vectors, at most 2 MB at 64 dimensions; a partition gives its k best of
-    each, so the shuffle has queries x partitions x k rows and no pair of rows is ever written.
+    Queries and rows are dealt by hash to blocks of about ``cell_queries`` and ``cell_rows`` vectors, and every block of
+    queries meets every block of rows in a cell of its own, by equality of the cell's number. A cell gives its k best of
+    each query. So nothing passes the driver but two counts, a task holds one cell (some 40 MB at 64 dimensions), and
+    no pair of vectors is ever written. Rows that agree in key and vector move as one, with their number.
     """
-    data = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector)
-    found, names, matrix = [], [], []
-
-    def flush() -> None:
-        found.append(data.mapInArrow(_nearest(np.array(matrix, np.float64), np.array(names, np.int64), k), "query long, doc long, score double"))
-        names.clear()
-        matrix.clear()
-
-    for r in queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector).toLocalIterator():
-        names.append(r[0])
-        matrix.append(r[1])
-        if len(names) == block:
-            flush()
-    if names or not found:
-        if not names:
-            return data.select(F.col(key).alias("query"), F.col(key).alias("doc"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rnk")).where("false")
-        flush()
-    return top_k(reduce(DataFrame.union, found), k)
+    spark = queries.sparkSession
+    taken = lambda df: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
+    asked, data = taken(queries).distinct(), taken(rows).groupBy("key", "vector").agg(F.count("*").alias("n"))
+    tasks = spark.sparkContext.defaultParallelism
+    n_asked = max(1, -(-taken(queries).count() // cell_queries))
+    n_rows = max(-(-taken(rows).count() // cell_rows), -(-tasks // n_asked))
+    block = lambda n: F.pmod(F.xxhash64("key", "vector"), F.lit(n))
+    cells = min(n_asked * n_rows, 20 * max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    left = asked.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_rows - 1)), lambda i: block(n_asked) * n_rows + i)))
+    right = data.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_asked - 1)), lambda i: i * n_rows + block(n_rows))))
+    left, right = (df.repartition(cells, "cell") for df in (left, right))
+    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_nearest(k), "query long, doc long, score double")
+    return top_k(found, k)
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = 60, top: int = 50) -> DataFrame:

@@ -148,18 +148,18 @@ def topk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_overlap(_bm25(spark, sf_dir, 10), _bm25(spark, sf_dir, 10, T.latin_bigram_tokens))
 
 
-_PIECES = "(SELECT doc_id * 100000 + i AS piece, l AS text FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(l, ' ') <> '')"
+_PIECES = "(SELECT doc_id * 2147483648 + i AS piece, l AS text FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(l, ' ') <> '')"
 
 
-@query(f"""WITH {_bm25_sql(_WORDS, 400, docs=_PIECES, doc='piece')}, o AS (SELECT query, doc // 100000 AS owner, min(rnk) AS best FROM rk GROUP BY ALL)
+@query(f"""WITH {_bm25_sql(_WORDS, 400, docs=_PIECES, doc='piece')}, o AS (SELECT query, doc // 2147483648 AS owner, min(rnk) AS best FROM rk GROUP BY ALL)
     SELECT * FROM (SELECT query, owner, best, row_number() OVER (PARTITION BY query ORDER BY best) AS rnk FROM o) WHERE rnk <= 20""")
 def fold_pieces_to_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are searched by line and come back whole."""
     docs = table(spark, sf_dir, "documents")
-    pieces = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).where("trim(text) <> ''").select((F.col("doc_id") * 100_000 + F.col("i") + 1).alias("piece"), "text")
+    pieces = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).where("trim(text) <> ''").select((F.col("doc_id") * (1 << 31) + F.col("i") + 1).alias("piece"), "text")
     tokens = T.latin_tokens(F.col("text"))
     ranked = R.bm25(table(spark, sf_dir, "benchmark"), "item_id", tokens, pieces, "piece", tokens, 400)
-    return R.fold_to_owner(ranked.withColumn("owner", F.expr("doc div 100000"))).select("query", "owner", "best", "rnk")
+    return R.fold_to_owner(ranked.withColumn("owner", F.expr("doc div 2147483648"))).select("query", "owner", "best", "rnk")
 
 
 @query("""WITH cited AS (SELECT d.doc_id FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),

@@ -70,13 +70,13 @@ def alias_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.longest_alias(table(spark, sf_dir, "part"), "p_name", _ALIASES).select("p_partkey", "p_name", "canonical")
 
 
-@query("""WITH i AS (SELECT conv_id * 100 + turn AS item, role || ' ' || turn AS question, regexp_extract(lower(text), '[a-z0-9]+') AS basis FROM conversations),
+@query("""WITH i AS (SELECT conv_id * 2147483648 + turn AS item, role || ' ' || turn AS question, regexp_extract(lower(text), '[a-z0-9]+') AS basis FROM conversations),
     k AS (SELECT *, regexp_replace(question, '\\s+', '', 'g') AS key FROM i), f AS (SELECT key, basis, min(item) AS pos FROM k GROUP BY ALL), b AS (SELECT key, list(basis ORDER BY pos) AS bs FROM f GROUP BY key),
     h AS (SELECT key, min(item) AS item, min_by(question, item) AS question, count(*) AS n_items FROM k GROUP BY key)
     SELECT key, item, question, list_reduce(bs, lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || ' / ' || x END) AS bases, n_items FROM h JOIN b USING (key)""".replace("\\\\s", "\\s"))
 def checklist_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    items = rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("item"), F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("question"), F.regexp_extract(F.lower("text"), "[a-z0-9]+", 0).alias("basis"))
+    items = rows.select((F.col("conv_id") * (1 << 31) + F.col("turn")).alias("item"), F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("question"), F.regexp_extract(F.lower("text"), "[a-z0-9]+", 0).alias("basis"))
     return V.merged_items(items, "question", "basis", "item")
 
 

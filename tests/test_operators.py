@@ -6,6 +6,7 @@ import datetime
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +281,26 @@ def test_stream_over_several_files_equals_the_batch_form(spark, tmp_path):
         if not error:  # a failed poll leaves the state alone
             last[name] = (key, digest)
         assert got[poll] == want
+
+
+def test_vector_cells_agree_with_plain_loops(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.integers(-2, 3, (120, 4)).astype(float))]
+    rows += [(7, rows[7][1])] * 9 + [(None, [1.0] * 4), (999, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = R.vector_top_k(df.where("vec_id % 20 = 0"), df, "vec_id", "embedding", 5, cell_queries=2, cell_rows=40).collect()
+    whole = [(i, v) for i, v in rows if i is not None and v is not None]
+    want = []
+    for q, qv in ((i, v) for i, v in whole if i % 20 == 0):
+        near = sorted((-round(float(np.dot(qv, v)), 6), d) for d, v in whole if d != q)[:5]
+        want += [(q, d, -s, n + 1) for n, (s, d) in enumerate(near)]
+    assert sorted((r.query, r.rnk, r.doc, r.score) for r in got) == sorted((q, n, d, s) for q, d, s, n in want)
+    assert R.vector_top_k(df.where("false"), df, "vec_id", "embedding", 5).count() == 0
+
+
+def test_contains_join_agrees_with_plain_loops(spark):
+    texts = [(1, "abcdef"), (2, "abcdef"), (3, None), (4, ""), (5, "xxab"), (6, "a\nb 가나다\U0001F600라")]
+    names = [("abc", 1), ("abc", 2), ("ab", 3), ("", 4), (None, 5), ("bcdef", 6), ("다\U0001F600라", 7), ("\nb", 8)]
+    got = M.contains_join(spark.createDataFrame(texts, "i int, t string"), "t", spark.createDataFrame(names, "n string, j int"), "n")
+    assert got.columns == ["i", "t", "n", "j"]
+    assert sorted((r.i, r.j) for r in got.collect()) == sorted((i, j) for i, t in texts for n, j in names if t and n and n in t)

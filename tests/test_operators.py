@@ -304,3 +304,35 @@ def test_contains_join_agrees_with_plain_loops(spark):
     got = M.contains_join(spark.createDataFrame(texts, "i int, t string"), "t", spark.createDataFrame(names, "n string, j int"), "n")
     assert got.columns == ["i", "t", "n", "j"]
     assert sorted((r.i, r.j) for r in got.collect()) == sorted((i, j) for i, t in texts for n, j in names if t and n and n in t)
+
+
+def test_plain_sections(spark):
+    from palimpsest.operators import plain_text as P
+
+    text = "여신 규정\n제1조(목적) 가\n나\n제 3조 다\n다른   규정\n제1조 라\n제2조의2 마\n제2조의2 바\n부   칙\n부칙 (2016.9.3 제정)\n제1조 사\n부칙\n제1조(시행일)\n2022년 10월 17일부터\n[별표 1] 아"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "부칙\n가")], "d int, t string")
+    got = P.plain_sections(S.text_lines(docs, "d", "t")).orderBy("doc", "pos").collect()
+    assert [r.section_key for r in got if r.doc == 1] == [
+        "머리말", "제1조", "제1조", "제3조", "제3조", "다른 규정:제1조", "다른 규정:제2조의2", "다른 규정:제2조의2#2",
+        "다른 규정:부칙2016.09.03", "다른 규정:부칙2016.09.03", "다른 규정:부칙2016.09.03:제1조",
+        "다른 규정:부칙2022.10.17", "다른 규정:부칙2022.10.17:제1조", "다른 규정:부칙2022.10.17:제1조", "다른 규정:부칙2022.10.17:[별표1]",
+    ]
+    assert [r.section_key for r in got if r.doc == 4] == ["부칙", "부칙"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("머리 1. 가 11. 나 2. 다 4. 라", "머리 \n1. 가 11. 나 \n2. 다 4. 라"), ("1. 가 제2. 나 1의2. 2. 다", "1. 가 제2. 나 1의2. \n2. 다"), ("2. 가", "2. 가"), ("", ""), ("가\n1. 나", "가\n\n1. 나"), (None, None)],
+)
+def test_cut_by_sequence(spark, text, want):
+    from palimpsest.operators import plain_text as P
+
+    marks = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(i.cast("string"), F.lit(".")))
+    assert one(spark, P.cut_by_sequence(F.col("x"), marks), (text,)) == want
+
+
+def test_without_divisions(spark):
+    from palimpsest.operators import plain_text as P
+
+    rows = [(1, "제1편 총칙", "제1편 총칙"), (2, "제1편", "본문"), (3, None, "본문"), (4, "", ""), (5, "제2편", None)]
+    assert [r.i for r in P.without_divisions(spark.createDataFrame(rows, "i int, g string, b string"), "g", "b").orderBy("i").collect()] == [2, 3, 4, 5]

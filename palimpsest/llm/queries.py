@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kd_shards, lattice_lm, license_scan, mixing, simhash, suffix_dedup, token_output, toxicity, winnowing
+from . import decontaminate, kd_shards, lattice_lm, lexical, license_scan, mixing, quality, simhash, spelling, suffix_dedup, token_output, toxicity, winnowing
 from .common import crc_remainder, documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -79,9 +79,50 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnowing.digest(F.col("marks")).alias("fingerprint"), winnowing.digest(F.col("edited_marks")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(documents(spark, sf_dir), least_length=7, least_count=2, ratio=10, edits=31)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(documents(spark, sf_dir))
+    return lexical.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10).withColumnRenamed("query_id", "item_id")
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = quality.score_documents(docs, quality.training_labels(labels))
+    return rows.select("doc_id", (crc_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_simhash, op4_decontamination, op5_mixing, op6_lattice_lm, op7_token_output, op8_kd_shards, op9_license_scan, op10_winnowing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_simhash, op4_decontamination, op5_mixing, op6_lattice_lm, op7_token_output, op8_kd_shards, op9_license_scan, op10_winnowing, op11_spelling, op12_lexical_search, op13_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_lexical_search": LEXICAL_SQL}
+
+
+#: Every document scored for every item it shares a term with.
+LEXICAL_SQL = r"""
+with docs as (
+  select row_number() over () as row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as terms
+  from documents),
+sized as (select row, doc_id, terms, len(terms) as n from docs where len(terms) > 0),
+total as (select count(*) as docs, cast(sum(n) as bigint) as size from sized),
+counted as (select row, term, count(*) as tf from (select row, unnest(terms) as term from sized) group by row, term),
+frequency as (select term, count(*) as df from counted group by term),
+asked as (
+  select distinct item_id, term from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term
+    from benchmark)),
+weighted as (
+  select item_id, term, cast(floor(1000 * ln((2.0 * docs + 2) / (2.0 * df + 1))) as bigint) as w
+  from asked join frequency using (term), total),
+scored as (
+  select item_id, doc_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // size)))) as score
+  from weighted join counted using (term) join sized using (row), total
+  group by item_id, doc_id, row),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as score from ranked where rank <= 10
+"""

@@ -26,18 +26,11 @@ def numbered(rows: DataFrame, present: Column, out: str = "seq") -> DataFrame:
 def unique_keys(rows: DataFrame, key: str, out: str = "section_key", mark: str = "#") -> DataFrame:
     """The second row of a key is ``key#2``, and so on, past every key that the document has had by then.
 
-    Ranks give that as long as no key of the document ends like a numbered one. Documents with such keys are folded in
-    their order, each by one task, which holds the keys of one document at a time.
+    One shuffle by document, then one pass over its rows in order; a task holds the keys of one document at a time. Null keys stay.
     """
-    like_numbered = F.coalesce(F.col(key).rlike(rf"{mark}\d+$"), F.lit(False))
-    whole = Window.partitionBy("doc")
-    ranked = rows.withColumns({"_nth": F.row_number().over(Window.partitionBy("doc", key).orderBy("pos")), "_folded": F.max(like_numbered).over(whole)})
-    plain = F.when(F.col("_nth") == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit(mark), F.col("_nth").cast("string")))
-    if rows.where(like_numbered).isEmpty():
-        return ranked.withColumn(out, plain).drop("_nth", "_folded")
-    folded = ranked.where("_folded").drop("_nth", "_folded").repartition("doc").sortWithinPartitions("doc", "pos")
-    schema = StructType([*folded.schema.fields, StructField(out, StringType())])
-    at, doc_at = folded.columns.index(key), folded.columns.index("doc")
+    ordered = rows.repartition("doc").sortWithinPartitions("doc", "pos")
+    schema = StructType([*ordered.schema.fields, StructField(out, StringType())])
+    at, doc_at = ordered.columns.index(key), ordered.columns.index("doc")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, used, last = object(), set(), {}
@@ -46,6 +39,9 @@ def unique_keys(rows: DataFrame, key: str, out: str = "section_key", mark: str =
             for d, k in zip(batch.column(doc_at).to_pylist(), batch.column(at).to_pylist()):
                 if d != doc:
                     doc, used, last = d, set(), {}
+                if k is None:
+                    keys.append(None)
+                    continue
                 new, n = k, last.get(k, 2)
                 while new in used:
                     new, n = f"{k}{mark}{n}", n + 1
@@ -54,7 +50,7 @@ def unique_keys(rows: DataFrame, key: str, out: str = "section_key", mark: str =
                 keys.append(new)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], [*batch.schema.names, out])
 
-    return ranked.where("not _folded").withColumn(out, plain).drop("_nth", "_folded").unionByName(folded.mapInArrow(fold, schema))
+    return ordered.mapInArrow(fold, schema)
 
 
 def carried(rows: DataFrame, value: Column, out: str) -> DataFrame:

@@ -8,10 +8,14 @@ documents are ranked by random odds over inclusion odds and taken in that order
 target is reached.
 
 Only one row per source and size class, and a histogram of 4,096 rank buckets a source, is ever gathered; the
-exact order is needed in the one bucket where the target falls. No document is moved by source.
-
-Defined results: a null text has size 0; null sources form one source, ranked last; rows that agree in id and text
-share one fate; an empty table gives no rows; sources without words have target 0 and take nothing.
+exact order is needed in the one bucket where the target falls. No document is moved by source. Rows that agree in
+id, text and source are numbered, and each draws for itself: those that agree in every column are counted where they
+stand and dealt out again from one row with its number, so that a third of all rows being equal is one row a task.
+
+Defined results: a null text has size 0; null sources form one source, ranked last; ids may be null or come again;
+an empty table gives no rows; sources without words have target 0 and take nothing; texts of any length are counted
+whole; the columns of ``docs`` come back inside ``doc``, whatever their names. Columns must be of types that can be
+grouped; maps and variants tell no rows apart.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import NON_SPACE_WORD, cut
 
 RANK_BUCKETS = 4096
+#: Hashes of rows that come again, up to which they are broadcast.
+BROADCAST_ROWS = 1_000_000
 SEED = 20_240_607
 
 
@@ -35,9 +41,26 @@ def _size_class(size: Column) -> Column:
     return F.when(size > 0, F.floor(F.log2(size.cast("double")))).otherwise(0).cast("int")
 
 
-def _uniform(doc_id: Column, text: Column) -> Column:
-    """A uniform number in (0, 1) fixed by the row."""
-    return (F.shiftrightunsigned(F.xxhash64(doc_id, text, F.lit(SEED)), 12).cast("double") + 0.5) / float(1 << 52)
+def _uniform(row_key: Column, nth: Column) -> Column:
+    """A uniform number in (0, 1) fixed by the row, and by its number among equal ones."""
+    return (F.shiftrightunsigned(F.xxhash64(row_key, nth, F.lit(SEED)), 12).cast("double") + 0.5) / float(1 << 52)
+
+
+def _row_key(id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in (id_col, text_col, source_col)])
+
+
+def _beside(docs: DataFrame, *keys: str) -> Column:
+    """A hash of the columns besides the ``keys``."""
+    other = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in keys and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.xxhash64(*other) if other else F.lit(0).cast("long")
+
+
+def _dealt(counted: DataFrame) -> DataFrame:
+    """Each row as often as its ``n`` says, with ``nth`` from 1; by blocks, so that no long array is made."""
+    at = F.col("_block") * 65_536
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 65_536))))
+    return blocks.withColumn("nth", F.explode(F.sequence(at + 1, F.least(F.col("n"), at + 65_536)))).drop("n", "_block")
 
 
 def _rank(u: Column, residual: Column) -> Column:
@@ -66,8 +89,9 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     ``weights`` repeat over the sources in code point order, null last. ``share`` is the mix's part of all words.
     """
-    sized = cut(docs.select(F.col(source_col).alias("source"), word_size(F.col(text_col)).alias("size"), _uniform(F.col(id_col), F.col(text_col)).alias("u")))
-    sized = sized.withColumn("size_class", _size_class(F.col("size")))
+    keys = docs.select(F.col(f"`{source_col}`").alias("source"), word_size(F.col(f"`{text_col}`")).alias("size"), _row_key(id_col, text_col, source_col).alias("row_key"))
+    equal = cut(keys.groupBy("source", "size", "row_key").agg(F.count("*").alias("n")))
+    sized = _dealt(equal).select("source", "size", _uniform(F.col("row_key"), F.col("nth")).alias("u"), _size_class(F.col("size")).alias("size_class"))
     classes = cut(sized.groupBy("source", "size_class").agg(F.sum("size").cast("double").alias("class_size")))
     sources = classes.groupBy("source").agg(F.sum("class_size").alias("source_size"))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1
@@ -106,8 +130,23 @@ def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def apply_mix(docs: DataFrame, plan: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = True) -> DataFrame:
     """``docs`` (all columns in a struct ``doc`` if ``keep``, else its id alone) with size, source_size, target, copies, taken."""
-    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.struct(F.col(id_col))
-    rows = docs.select(held.alias("doc"), F.col(source_col).alias("source"), word_size(F.col(text_col)).alias("size"), _uniform(F.col(id_col), F.col(text_col)).alias("u"))
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.struct(F.col(f"`{id_col}`"))
+    named = (id_col, text_col, source_col)
+    key, beside = _row_key(*named).alias("row_key"), _beside(docs, *named).alias("beside")
+    rows = docs.select(held.alias("doc"), F.col(f"`{source_col}`").alias("source"), word_size(F.col(f"`{text_col}`")).alias("size"), key, beside)
+    grouped = docs.select(key, beside).groupBy("row_key", "beside").agg(F.count("*").alias("n"))
+    equal = cut(grouped.groupBy("row_key").agg(F.sum("n").alias("n")).where("n > 1").select("row_key"))
+    n_equal = equal.count()
+    if n_equal:
+        side = F.broadcast(equal) if n_equal <= BROADCAST_ROWS else equal
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("row_key").orderBy("beside").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = cut(grouped.join(side, "row_key", "left_semi").select("row_key", "beside", before.alias("before")))
+        again = rows.join(side, "row_key", "left_semi").groupBy("doc", "source", "size", "row_key", "beside").agg(F.count("*").alias("n"))
+        again = _dealt(again.join(offsets, ["row_key", "beside"])).select("doc", "source", "size", "row_key", (F.col("nth") + F.col("before")).alias("nth"))
+        rows = rows.join(side, "row_key", "left_anti").select("doc", "source", "size", "row_key", F.lit(1).cast("long").alias("nth")).unionByName(again)
+    else:
+        rows = rows.withColumn("nth", F.lit(1).cast("long"))
+    rows = rows.select("doc", "source", "size", _uniform(F.col("row_key"), F.col("nth")).alias("u"))
     rows = _with_plan(rows.withColumn("size_class", _size_class(F.col("size"))), plan)
     x = _rank(F.col("u"), F.col("residual"))
     bucket = F.floor(x * RANK_BUCKETS).cast("int")

@@ -1,6 +1,10 @@
 from collections import defaultdict
 
-from palimpsest.llm import mixing
+from pyspark.sql import functions as F
+
+from palimpsest.llm import mixing, queries
+
+from .conftest import SF, rows_of
 
 
 def expected_targets(rows):
@@ -56,3 +60,41 @@ def test_mix_repeats_rows(docs, clashing, empty):
     copies = mixing.apply_mix(docs, mixing.plan_mix(docs)).agg({"copies": "sum"}).first()[0]
     assert mixed.count() == copies
     assert mixing.mixed_documents(empty).count() == 0
+
+
+def test_equal_rows_are_drawn_one_by_one(spark):
+    """A source of equal rows alone comes near its target, also where its rows differ in a column beside."""
+    rows = [(7, "w w w w w w w w w w", "en", "s", 1)] * 1000 + [(i, "w " * 10, "en", "t", 1) for i in range(3000)]
+    rows += [(8, "w w w", "en", "u", i % 2) for i in range(400)] + [(None, None, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    sizes, target = expected_targets(rows)
+    got = mixing.apply_mix(docs, mixing.plan_mix(docs)).select("doc.doc_id", "source", "size", "taken", "copies").collect()
+    assert len(got) == len(rows)
+    taken = defaultdict(int)
+    for r in got:
+        assert 0 <= r["copies"] <= 3
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 10 for s in "stu"), (taken, target)
+    assert mixing.mixed_documents(docs).count() == sum(r["copies"] for r in got)
+    again = mixing.apply_mix(docs.repartition(2), mixing.plan_mix(docs.repartition(3))).select("doc.doc_id", "source", "size", "taken", "copies").collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_numbers_beyond_one_block(spark):
+    counted = spark.createDataFrame([("a", 65_537), ("b", 1)], "k string, n long")
+    got = {r["k"]: (r["a"], r["b"], r["c"]) for r in mixing._dealt(counted).groupBy("k").agg(F.count("*").alias("a"), F.min("nth").alias("b"), F.max("nth").alias("c")).collect()}
+    assert got == {"a": (65_537, 1, 65_537), "b": (1, 1, 1)}
+
+
+def test_query(spark):
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in rows_of("documents")]
+    sizes, target = expected_targets(rows)
+    got = queries.op5_mixing(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    by_id = {r[0]: r for r in rows}
+    taken = defaultdict(int)
+    for r in got:
+        source = by_id[r["doc_id"]][3]
+        assert abs(r["target"] - target[source]) < 1e-6 * max(1, r["target"])
+        taken[source] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= max(len((r[1] or "").split()) for r in rows if r[3] == s) + 1 for s in sizes)

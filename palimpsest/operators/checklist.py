@@ -50,14 +50,19 @@ def asked_of(items: DataFrame, product: str | None) -> DataFrame:
 def answered(items: DataFrame, responses: DataFrame, batch: str = "batch", item: str = "item", response: str = "response") -> DataFrame:
     """Every expected item with its verdict from its batch's response, and how that came about.
 
-    A response holds one JSON array, from the first bracket to the last. ``state``: ``no_response`` (none came), ``no_array``,
+    A response holds one JSON array, from the first bracket to the last; of its elements those that are objects with an
+    id count, the last of an id. ``state``: ``no_response`` (none came), ``no_array``,
     ``unreadable``, ``left_out`` (the array has no such item) or ``judged``; without a judgement the verdict is null.
     """
-    kind = "array<struct<id:string,verdict:string,reason:string>>"
     raw = F.regexp_extract(response, r"(?s)\[.*\]", 0)
-    read = responses.select(batch, F.lit(True).alias("_came"), raw.alias("_raw"), F.from_json(raw, kind).alias("_list"), F.try_parse_json(raw).isNotNull().alias("_json"))
+    parsed = F.try_parse_json(raw)
+    # elements are read one by one: what is no object is passed over, whatever stands beside it
+    elements = F.coalesce(F.try_variant_get(parsed, "$", "array<variant>"), F.array().cast("array<variant>"))
+    named = lambda x, name: F.try_variant_get(x, f"$.{name}", "string")
+    listed = F.filter(F.transform(elements, lambda x: F.struct(named(x, "id").alias("id"), named(x, "verdict").alias("verdict"), named(x, "reason").alias("reason"))), lambda x: x["id"].isNotNull())
+    read = responses.select(batch, F.lit(True).alias("_came"), raw.alias("_raw"), listed.alias("_list"), parsed.isNotNull().alias("_json"))
     rows = items.join(read, batch, "left")
-    mine = F.get(F.filter("_list", lambda x: x["id"] == F.col(item)), F.greatest(F.size(F.filter("_list", lambda x: x["id"] == F.col(item))) - 1, F.lit(0)))
+    mine = F.try_element_at(F.filter("_list", lambda x: x["id"] == F.col(item)), F.lit(-1))
     rows = rows.withColumn("_mine", mine)
     state = F.when(F.col("_came").isNull(), "no_response").when(F.col("_raw") == "", "no_array").when(~F.col("_json"), "unreadable").when(F.col("_mine").isNull(), "left_out").otherwise("judged")
     return rows.select(*items.columns, state.alias("state"), F.col("_mine.verdict").alias("verdict"), F.col("_mine.reason").alias("reason"))

@@ -70,6 +70,11 @@ def bm25(queries: DataFrame, query: str, query_tokens: Column, docs: DataFrame,
     return top_k(scores.select(F.col("query").cast(kind), F.col("doc").cast(dict(docs.select(F.col(doc).alias("d")).dtypes)["d"]), "score"), k)
 
 
+def _rounded(score: np.ndarray) -> np.ndarray:
+    """Six decimals, halves up, as ``F.round`` does in the joined form."""
+    return np.floor(score * 1e6 + 0.5) / 1e6
+
+
 def _asked_counts(words) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each document its length, and its asked tokens with their counts."""
 
@@ -110,7 +115,7 @@ def _best_of_task(side, avgdl: float, k: int, k1: float, b: float) -> Callable[[
                 query = queries[first + np.arange(len(first))]
                 cell = query * part.num_rows + np.repeat(row, asking)
                 score = np.bincount(cell, np.repeat(weight, asking), len(names) * part.num_rows).reshape(len(names), -1)
-                score = np.round(score, 6)
+                score = _rounded(score)
                 kth = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else np.zeros((len(names), 1))
                 q, d = np.nonzero((score >= kth) & (score > 0))
                 best = tuple(np.concatenate(x) for x in zip(best, (q, docs[d], score[q, d])))
@@ -139,8 +144,8 @@ def top_k(scores: DataFrame, k: int, rank: str = "rnk") -> DataFrame:
     return scores.withColumn(rank, F.row_number().over(order).cast("long")).where(F.col(rank) <= k)
 
 
-#: Query and row vectors of one cell of the grid, and the tiles in which a cell is multiplied.
-_CELL_QUERIES, _CELL_ROWS = 16_384, 65_536
+#: Query vectors and row values of one cell of the grid, and the tiles in which a cell is multiplied.
+_CELL_QUERIES, _CELL_VALUES = 16_384, 4_194_304
 _TILE_QUERIES, _TILE_ROWS = 2_048, 1_024
 
 
@@ -183,26 +188,37 @@ def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def vector_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, cell_queries: int = _CELL_QUERIES, cell_rows: int = _CELL_ROWS) -> DataFrame:
-    """Exact inner-product neighbours (query, doc, score, rnk), self excluded; rows of a null key or vector take no part.
+def finite(vector: Column) -> Column:
+    """Whether a vector has elements, and each is a finite number."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def vector_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, cell_queries: int = _CELL_QUERIES, cell_rows: int | None = None) -> DataFrame:
+    """Exact inner-product neighbours (query, doc, score, rnk), self excluded.
+
+    Rows and queries of a null key, of a null or empty vector, or of one with an element that is null, NaN or infinite
+    take no part; vectors of different lengths are never neighbours.
 
-    Queries and rows are dealt by hash to blocks of about ``cell_queries`` and ``cell_rows`` vectors, and every block of
-    queries meets every block of rows in a cell of its own, by equality of the cell's number. A cell gives its k best of
-    each query. So nothing passes the driver but two counts, a task holds one cell (some 40 MB at 64 dimensions), and
-    no pair of vectors is ever written. Rows that agree in key and vector move as one, with their number.
+    Queries and rows are dealt by hash to blocks of about ``cell_queries`` and ``cell_rows`` vectors (as many as make
+    ``_CELL_VALUES`` numbers by default), and every block of queries meets every block of rows of its length in a cell of
+    its own, by equality of the cell's number. A cell gives its k best of each query. So nothing passes the driver but
+    two counts and the greatest length, a task holds one cell (some 40 MB), and no pair of vectors is ever written. Rows
+    that agree in key and vector move as one, with their number. Counts run when this is called.
     """
     spark = queries.sparkSession
-    taken = lambda df: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
+    taken = lambda df: df.where(F.col(key).isNotNull() & finite(F.col(vector))).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
     asked, data = taken(queries).distinct(), taken(rows).groupBy("key", "vector").agg(F.count("*").alias("n"))
     tasks = spark.sparkContext.defaultParallelism
     n_asked = max(1, -(-taken(queries).count() // cell_queries))
-    n_rows = max(-(-taken(rows).count() // cell_rows), -(-tasks // n_asked))
+    counted = taken(rows).agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    cell_rows = cell_rows or max(1024, _CELL_VALUES // counted[1])
+    n_rows = max(-(-counted[0] // cell_rows), -(-tasks // n_asked))
     block = lambda n: F.pmod(F.xxhash64("key", "vector"), F.lit(n))
     cells = min(n_asked * n_rows, 20 * max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     left = asked.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_rows - 1)), lambda i: block(n_asked) * n_rows + i)))
     right = data.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_asked - 1)), lambda i: i * n_rows + block(n_rows))))
-    left, right = (df.repartition(cells, "cell") for df in (left, right))
-    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_nearest(k), "query long, doc long, score double")
+    left, right = (df.withColumn("length", F.size("vector")).repartition(cells, "cell", "length") for df in (left, right))
+    found = left.groupBy("cell", "length").cogroup(right.groupBy("cell", "length")).applyInArrow(_nearest(k), "query long, doc long, score double")
     return top_k(found, k)
 
 

@@ -37,13 +37,13 @@ FEATURES, FOLDS, BINS, SEED = 512, 4, 4096, 7
 RIDGES = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)
 #: Width of the kernel over the root of the number of statistics.
 WIDTH = 1.0
-#: Words of a window of repetition, and characters of a piece that is compressed.
+#: Words of a window of repetition, and characters of a piece that is compressed (16 of them are split into words at a time).
 WINDOW, PIECE = 500, 1 << 16
 #: Tasks that add up partial sums before the last one does.
 ADDERS = 32
-_WORD = re.compile(r"\S+")
 _LINE = re.compile(r"[^\n]+")
 _CORE = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
 _PLAIN = re.compile(r"^[\"'(«¿¡]*[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?\"')»]*$")
 NAMES = (
     "characters", "words", "lines", "word_length", "word_spread", "longest_word", "letters", "capitals", "digits",
@@ -54,93 +54,132 @@ NAMES = (
 _VOWELS = frozenset("aeiouyáéíóúàèìòùâêîôûäëïöüãõæøåœ")
 
 
+class _Table:
+    """Numbered values with a row of ``width`` properties each, computed once while held."""
+
+    def __init__(self, properties: Callable[[str], tuple], width: int, most: int):
+        self.properties, self.width, self.most = properties, width, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.matrix = np.empty((1024, self.width))
+
+    def numbers(self, values: list[str]) -> np.ndarray:
+        if len(self.number) > self.most:
+            self.clear()
+        number, properties, new = self.number, self.properties, []
+        first = len(number)
+        for value in set(values):
+            if value not in number:
+                number[value] = len(number)
+                new.append(properties(value))
+        if new:
+            if len(number) > len(self.matrix):
+                self.matrix = np.concatenate([self.matrix[:first], np.empty((max(first, len(new)) + 1024, self.width))])
+            self.matrix[first : len(number)] = new
+        return np.fromiter(map(number.__getitem__, values), np.int64, len(values))
+
+
+def _letter(c: str) -> tuple:
+    """Letter, capital, digit, space, mark, beyond ASCII, vowel, end of a sentence."""
+    return c.isalpha(), c.isupper(), c.isdigit(), c.isspace(), not (c.isalnum() or c.isspace()), c > "\x7f", c.lower() in _VOWELS, c in ".!?"
+
+
+def _word(w: str) -> tuple:
+    """Length, its square, capital, title, plain, digit and mark words, short and long ones; a hash of the lower-cased word."""
+    size, low = len(w), w.lower()
+    code = zlib.crc32(low.encode())
+    if w.isalpha():
+        return size, size * size, w.isupper() and size > 1, w.istitle(), _PLAIN.match(w) is not None, False, False, size <= 2, size > 14, code
+    core = _CORE.search(w)
+    marked = core is None or len(core[0]) < size - 2
+    return size, size * size, w.isupper() and size > 1, w.istitle(), _PLAIN.match(w) is not None, _DIGIT.search(w) is not None, marked, size <= 2, size > 14, code
+
+
+class Statistics:
+    """The values of ``NAMES`` of one text after the other; words and letters are looked at once while they are held."""
+
+    def __init__(self):
+        self.letters, self.words = _Table(_letter, 8, 20_000), _Table(_word, 10, 200_000)
+
+    def __call__(self, text: str | None) -> list[float]:
+        text = text or ""
+        n = len(text)
+        if not n:
+            return [0.0] * len(NAMES)
+        letters = Counter(text)
+        at, counts = self.letters.numbers(list(letters)), np.fromiter(letters.values(), float, len(letters))
+        alpha, upper, digit, space, marks, beyond, vowels, ended = counts @ self.letters.matrix[at]
+        kinds = self.letters.matrix[at, 4].sum()
+        entropy = -float((counts / n) @ np.log2(counts / n))
+        packed = sum(len(zlib.compress(text[a : a + PIECE].encode(), 1)) for a in range(0, n, PIECE)) / len(text.encode())
+        sums, words, longest, windows = np.zeros(9), 0, 0.0, []
+        for piece in _pieces(text):
+            found = piece.split()
+            if not found:
+                continue
+            at = self.words.numbers(found)
+            rows = self.words.matrix[at]
+            sums += rows[:, :9].sum(0)
+            words += len(found)
+            longest = max(longest, rows[:, 0].max())
+            lower = rows[:, 9].astype(np.uint64)
+            for a in range(0, len(lower), WINDOW):
+                windows.append(_window(lower[a : a + WINDOW]))
+        if not words:
+            return [math.log1p(n), *[0.0] * (len(NAMES) - 1)]
+        total, squares, capital, title, plain, digits, marked, short, long_ = sums.tolist()
+        distinct, top, pairs, triples, doubled = np.sum(windows, 0).tolist()
+        lines = line_total = line_short = line_ended = 0
+        seen: set[int] = set()
+        for found in _LINE.finditer(text):
+            line = found[0].strip()
+            if line:
+                lines += 1
+                line_total += len(line)
+                line_short += len(line) < 30
+                line_ended += line[-1] in ".!?"
+                seen.add(hash(line))
+        lines = max(lines, 1)
+        mean, per = total / words, max(alpha, 1)
+        return [
+            math.log1p(n), math.log1p(words), math.log1p(lines), mean, math.sqrt(max(squares / words - mean * mean, 0.0)), math.log1p(longest), alpha / n, upper / per, digit / n,
+            space / n, marks / n, beyond / n, math.log1p(kinds), entropy, packed, capital / words, title / words, plain / words,
+            digits / words, marked / words, short / words, long_ / words, distinct / words, top / words, pairs / words, triples / words,
+            doubled / words, math.log1p(line_total / lines), line_short / lines, len(seen) / lines, line_ended / lines, math.log1p(words / (ended + 1)), vowels / per,
+        ]
+
+
+def _pieces(text: str, size: int = 16 * PIECE) -> Iterator[str]:
+    """``text`` in pieces of about ``size`` characters, cut at white space, so that few words are held at a time."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            found = re.compile(r"\s").search(text, end)
+            end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _window(words: np.ndarray) -> tuple[int, int, int, int, int]:
+    """Distinct words, times of the commonest one, distinct pairs and triples, words that follow themselves."""
+    _, times = np.unique(words, return_counts=True)
+    pairs = words[1:] * np.uint64(0x9E3779B97F4A7C15) + words[:-1]
+    triples = pairs[1:] * np.uint64(0x9E3779B97F4A7C15) + words[:-2]
+    count = lambda x: len(np.unique(x)) if len(x) else 1
+    return len(times), int(times.max()), count(pairs), count(triples), int((words[1:] == words[:-1]).sum())
+
+
 def statistics_of(text: str | None) -> list[float]:
-    """The values of ``NAMES``; all are shares, means or logarithms."""
-    text = text or ""
-    n = len(text)
-    if not n:
-        return [0.0] * len(NAMES)
-    letters = Counter(text)
-    alpha = sum(k for c, k in letters.items() if c.isalpha())
-    upper = sum(k for c, k in letters.items() if c.isupper())
-    digit = sum(k for c, k in letters.items() if c.isdigit())
-    space = sum(k for c, k in letters.items() if c.isspace())
-    marks = {c: k for c, k in letters.items() if not (c.isalnum() or c.isspace())}
-    beyond = sum(k for c, k in letters.items() if c > "\x7f")
-    vowels = sum(k for c, k in letters.items() if c.lower() in _VOWELS)
-    ended = sum(letters.get(c, 0) for c in ".!?")
-    entropy = -sum(k / n * math.log2(k / n) for k in letters.values())
-    packed = sum(len(zlib.compress(text[a : a + PIECE].encode(), 1)) for a in range(0, n, PIECE)) / len(text.encode())
-
-    words = total = squares = longest = capital = title = plain = digits = marked = short = long_ = doubled = 0
-    distinct = top = pairs = triples = 0.0
-    window: list[str] = []
-    windows = 0
-
-    def close() -> None:
-        nonlocal distinct, top, pairs, triples, windows, doubled
-        m = len(window)
-        counts = Counter(window)
-        distinct += len(counts)
-        top += counts.most_common(1)[0][1]
-        pairs += len(set(zip(window, window[1:]))) if m > 1 else 1
-        triples += len(set(zip(window, window[1:], window[2:]))) if m > 2 else 1
-        doubled += sum(a == b for a, b in zip(window, window[1:]))
-        windows += 1
-        window.clear()
-
-    known: dict[str, tuple] = {}
-    for found in _WORD.finditer(text):
-        w = found[0]
-        k = known.get(w)
-        if k is None:
-            core = _CORE.search(w)
-            k = (len(w), w.isupper() and len(w) > 1, w.istitle(), _PLAIN.match(w) is not None, any(c.isdigit() for c in w), core is None or len(core[0]) < len(w) - 2, w.lower())
-            if len(known) < 20_000:
-                known[w] = k
-        words += 1
-        size = k[0]
-        total += size
-        squares += size * size
-        longest = max(longest, size)
-        capital += k[1]
-        title += k[2]
-        plain += k[3]
-        digits += k[4]
-        marked += k[5]
-        short += size <= 2
-        long_ += size > 14
-        window.append(k[6])
-        if len(window) == WINDOW:
-            close()
-    if window:
-        close()
-    if not words:
-        return [math.log1p(n), *[0.0] * (len(NAMES) - 1)]
-
-    lines = line_total = line_short = line_ended = 0
-    seen: set[int] = set()
-    for found in _LINE.finditer(text):
-        line = found[0].strip()
-        if line:
-            lines += 1
-            line_total += len(line)
-            line_short += len(line) < 30
-            line_ended += line[-1] in ".!?"
-            seen.add(hash(line))
-    mean = total / words
-    per = max(alpha, 1)
-    return [
-        math.log1p(n), math.log1p(words), math.log1p(lines), mean, math.sqrt(max(squares / words - mean * mean, 0.0)), math.log1p(longest), alpha / n, upper / per, digit / n,
-        space / n, sum(marks.values()) / n, beyond / n, math.log1p(len(marks)), entropy, packed, capital / words, title / words, plain / words,
-        digits / words, marked / words, short / words, long_ / words, distinct / words, top / words, pairs / words, triples / words,
-        doubled / words, math.log1p(line_total / lines), line_short / lines, len(seen) / lines, line_ended / lines, math.log1p(words / (ended + 1)), vowels / per,
-    ]
+    return Statistics()(text)
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of = Statistics()
     for batch in batches:
-        values = [statistics_of(t.as_py()) for t in batch.column(1)]
+        values = [of(t.as_py()) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "stats"])
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from . import chunking
+
 
 def text_lines(docs: DataFrame, doc: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc, pos, line, …): every line, from 1."""
@@ -67,25 +69,13 @@ def parts_by_reset(rows: DataFrame, number: Column, out: str = "part_no") -> Dat
 
 def rising_only(items: Column, number) -> Column:
     """Items of an array whose ``number`` exceeds all accepted before: headings, while citations of earlier ones fall out."""
-    empty = F.filter(items, lambda x: F.lit(False))
-    return F.aggregate(
-        items,
-        F.struct(empty.alias("kept"), F.lit(-1).cast("long").alias("top")),
-        lambda a, x: F.when(number(x) > a["top"], F.struct(F.concat(a["kept"], F.array(x)).alias("kept"), number(x).alias("top"))).otherwise(a),
-        lambda a: a["kept"],
-    )
+    kept = chunking.rising(F.transform(items, number))
+    return F.transform(kept, lambda i: F.get(items, i))
 
 
 def packed(pieces: Column, target: int, maximum: int) -> Column:
     """Greedy packing: a chunk is closed once it has ``target`` characters, or if the next piece and a break would pass ``maximum``."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-
-    def step(a, p):
-        closed = (F.length(a["cur"]) > 0) & ((F.length(a["cur"]) >= target) | (F.length(a["cur"]) + F.length(p) + 1 > maximum))
-        joined = F.when(F.length(a["cur"]) == 0, p).otherwise(F.concat(a["cur"], F.lit("\n"), p))
-        return F.when(closed, F.struct(F.concat(a["done"], F.array(a["cur"])).alias("done"), p.alias("cur"))).otherwise(F.struct(a["done"].alias("done"), joined.alias("cur")))
-
-    return F.aggregate(pieces, start, step, lambda a: F.when(F.length(a["cur"]) > 0, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
+    return chunking.sliced(pieces, chunking.greedy_starts(F.transform(pieces, F.length), target, maximum))
 
 
 def sentence_pieces(lines: Column, maximum: int) -> Column:
@@ -98,8 +88,9 @@ def sentence_pieces(lines: Column, maximum: int) -> Column:
 def chunks(docs: DataFrame, doc: str, text: str = "text", target: int = 500, maximum: int = 800, header: Column | None = None) -> DataFrame:
     """(doc, part, parts, chunk, chars, sha): whole texts of up to ``maximum`` characters, others packed."""
     pieces = sentence_pieces(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), maximum)
-    packs = F.when(F.length(text) <= maximum, F.array(F.col(text))).otherwise(packed(pieces, target, maximum))
-    rows = docs.select(F.col(doc).alias("doc"), *([header.alias("header")] if header is not None else []), packs.alias("packs"))
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), *([header.alias("header")] if header is not None else []), F.when(F.length(text) > maximum, pieces).alias("pieces"))
+    rows = rows.withColumn("packs", packed(F.col("pieces"), target, maximum))
+    rows = rows.withColumn("packs", F.when(F.length("text") <= maximum, F.array("text")).otherwise(F.col("packs"))).drop("text", "pieces")
     rows = rows.select("*", F.size("packs").cast("long").alias("parts"), F.posexplode("packs").alias("part", "body")).drop("packs")
     if header is not None:
         many = F.concat(F.lit(" ("), (F.col("part") + 1).cast("string"), F.lit("/"), F.col("parts").cast("string"), F.lit(")"))

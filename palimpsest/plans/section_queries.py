@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import chunking as C
 from ..operators import sections as S
 from .registry import query, table
 
@@ -103,3 +104,24 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)))).alias("link"))
     return links.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc(F.length("link")), "link")).cast("long"))
+
+
+@query()
+def article_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of whole documents as sections of their sources; tests hold them against plain loops."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("source").alias("reg"), F.col("doc_id").alias("seq"), F.col("lang").alias("key"), F.lit(None).cast("string").alias("title"), "text")
+    return C.article_chunks(rows).drop("chunk")
+
+
+@query()
+def manual_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of documents by heads; lines of up to 60 characters that begin with a capital stand for heads."""
+    return C.manual_sections(table(spark, sf_dir, "documents"), "doc_id", head="^[A-Z]")
+
+
+@query()
+def ad_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of conversations' turns; tests hold them against plain loops."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text")
+    return C.ad_pieces(turns, "turn_id")

@@ -10,7 +10,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from palimpsest.plans import checklist_queries, citation_queries, html_queries, interface_queries, plain_text_queries, record_queries, registry, retrieval_queries, review_queries, section_queries, stream_queries, version_queries  # noqa: F401
+from palimpsest.plans import checklist_queries, citation_queries, html_queries, interface_queries, interval_queries, plain_text_queries, record_queries, registry, retrieval_queries, review_queries, section_queries, stream_queries, version_queries  # noqa: F401
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

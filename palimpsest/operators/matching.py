@@ -2,28 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
+
+#: Grams of names up to which they are broadcast; more are met by a join.
+BROADCAST_GRAMS = 1_000_000
+
+
+def _text_grams(sizes: list[int], wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(text, gram): the distinct grams of each text that are among the ``wanted``, all without them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, grams = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = text.as_py()
+                found = {t[i : i + size] for size in sizes for i in range(len(t) - size + 1)}
+                found = found & wanted.value if wanted else found
+                keys += [key] * len(found)
+                grams += found
+                if len(grams) > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(grams, pa.string())], ["_text", "_gram"])
+                    keys, grams = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(grams, pa.string())], ["_text", "_gram"])
+
+    return run
+
 
 def contains_join(texts: DataFrame, text: str, names: DataFrame, name: str, gram: int = 4) -> DataFrame:
-    """Rows of ``texts`` and ``names`` where the text contains the name.
+    """Rows of ``texts`` and ``names`` where the text contains the name; null and empty names are in none.
 
-    A name's first ``gram`` characters are met by equality among the distinct grams of a text, so the join is a
-    shuffle on grams and not a loop over all pairs. Only a text's hash goes with its grams; the text itself is fetched
-    once for each name met, and the whole name is verified there. Names shorter than ``gram`` have grams of their
-    own length.
+    Texts give the hashes of themselves with those of their grams that some name has. A name is met by its rarest gram,
+    counted over the texts, so names with a common beginning do not meet every text; a name with a gram that no text has
+    meets none. The names met are gathered by text, and a text moves once to be searched for them. Names shorter than
+    ``gram`` have grams of their own length. The grams' counts, and the number of names' grams, are taken when this is
+    called.
     """
     t, n = F.col(text), F.col(name)
-    keyed = names.where(F.length(n) > 0).select(n.alias("_name")).distinct().withColumn("_size", F.least(F.lit(gram), F.length("_name")))
-    keyed = keyed.withColumn("_gram", F.substring("_name", F.lit(1), F.col("_size")))
-    sizes = keyed.select("_size").distinct()
-    each = texts.where(t.isNotNull()).select(F.xxhash64(t).alias("_text"), t.alias("_t")).distinct()
-    each = each.select("_text", F.split("_t", "").alias("_chars"), F.explode(F.sequence(F.lit(1), F.lit(gram))).alias("_size")).join(F.broadcast(sizes), "_size", "left_semi")  # at most ``gram`` sizes
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_chars") - F.col("_size") + 1))
-    grams = each.select("_text", "_size", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("_chars", i, F.col("_size")), "")))).alias("_gram"))
-    met = grams.join(keyed, ["_size", "_gram"]).select("_text", "_name").distinct()
-    pairs = texts.withColumn("_text", F.xxhash64(t)).join(met, "_text").where(F.contains(t, F.col("_name"))).drop("_text")
+    keyed = names.where(F.length(n) > 0).select(n.alias("_name")).distinct()
+    size = F.least(F.lit(gram), F.length("_name"))
+    keyed = keyed.select("_name", size.alias("_size"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_name") - size + 1), lambda i: F.substring("_name", i, size)))).alias("_gram"))
+    every = keyed.select("_gram").distinct().limit(BROADCAST_GRAMS + 1).toArrow().column(0).to_pylist()
+    wanted = texts.sparkSession.sparkContext.broadcast(frozenset(every)) if len(every) <= BROADCAST_GRAMS else None
+    sizes = sorted({len(g) for g in every}) if wanted else list(range(1, gram + 1))
+    found = texts.where(t.isNotNull()).select(F.xxhash64(t).alias("_text"), t.alias("_t")).mapInArrow(_text_grams(sizes, wanted), "_text long, _gram string")
+    found = kept(found if wanted else found.join(keyed.select("_gram").distinct(), "_gram", "left_semi").select("_text", "_gram"))
+    counts = found.groupBy("_gram").agg(F.count("*").alias("_n"))
+    routed = keyed.join(counts, "_gram", "left").groupBy("_name").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("r"))
+    routed = routed.where("r.n > 0").select("_name", F.col("r.g").alias("_gram"))
+    met = found.join(routed, "_gram").groupBy("_text").agg(F.collect_set("_name").alias("_names"))
+    rows = texts.withColumn("_text", F.xxhash64(t)).join(met, "_text").drop("_text")
+    pairs = rows.withColumn("_name", F.explode(F.filter("_names", lambda x: F.contains(t, x)))).drop("_names")
     return pairs.join(names.where(F.length(n) > 0), F.col("_name") == n).drop("_name")
 
 

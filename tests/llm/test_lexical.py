@@ -112,3 +112,15 @@ def test_small_blocks_skip(monkeypatch):
         assert sorted(rows, key=str) == want
         if (block, postings) == (4, 10**6):
             assert opened < there / 2, (opened, there)
+
+
+def test_query_agrees_with_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    rel = con.sql(queries.oracle_sql()["op12_lexical_search"])
+    frame = queries.op12_lexical_search(spark, SF)
+    assert sorted(rel.columns) == sorted(frame.columns)
+    assert sorted(rel.select("item_id", "rank", "doc_id", "score").fetchall()) == sorted(map(tuple, frame.select("item_id", "rank", "doc_id", "score").collect()))

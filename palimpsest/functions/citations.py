@@ -20,12 +20,12 @@ OWN_SUFFIX = r"\s*(시행령|시행규칙|시행세칙|세부지침)$"
 
 
 def article_keys(text: Column) -> Column:
-    """제2-37조, 제117조의9: one candidate each."""
+    """The key of each article that a text names, blanks out: one candidate each."""
     return F.transform(groups_of(text, ARTICLE, "abc"), lambda p: F.array(F.concat(F.lit("제"), p["a"], prefixed("-", p["b"]), F.lit("조"), prefixed("의", p["c"]))))
 
 
 def annex_keys(text: Column) -> Column:
-    """Candidates of each annex, the likelier first: sources write [별표 0009] or [별표 9]; a branch may be none."""
+    """Candidates of each annex, the likelier first: with four digits, then as it is written; a branch may be missing in the sources."""
     key = lambda p, number, branch: F.concat(F.lit("["), p["k"], F.lit(" "), number, branch, F.lit("]"))
     none = F.lit("")
     both = lambda p, branch: F.array(key(p, padded(p["a"]), branch), key(p, p["a"], branch))

@@ -63,7 +63,7 @@ def padded(number: Column, width: int = 4) -> Column:
 
 
 def article_tokens(text: Column) -> Column:
-    """제4-11조 is 조4-11 and 제80조의2 is 조80의2; both come with the article they belong to."""
+    """A token for each article number; one with a part or a branch comes with the article that it belongs to."""
     whole = lambda p: F.concat(F.lit("조"), p["a"], prefixed("-", p["b"]), prefixed("의", p["c"]))
     plain = lambda p: F.concat(F.lit("조"), p["a"])
     return F.flatten(F.transform(groups_of(text, ARTICLE, "abc"), lambda p: F.when((p["b"] == "") & (p["c"] == ""), F.array(plain(p))).otherwise(F.array(whole(p), plain(p)))))

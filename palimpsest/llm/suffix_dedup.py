@@ -459,7 +459,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, keep_bytes: bool =
     """doc_id, n_bytes, n_removed, spans (byte ranges), kept_sha256 and, if asked, kept (the remaining bytes) of every row."""
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"))
     repeated = not ids.groupBy("id").count().where("count > 1").limit(1).isEmpty()
-    salt = F.xxhash64(text_col) if repeated else F.lit(0).cast("long")
+    # neither a constant nor null: Spark would take it out of some keys, or filter one side, and deal the texts out twice
+    no_salt = F.xxhash64(F.col(id_col)).bitwiseAND(F.lit(0).cast("long"))
+    salt = F.xxhash64(text_col) if repeated else no_salt
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), salt.alias("salt"), F.col(text_col).alias("text"))
     distinct = rows.dropDuplicates(["id", "salt"]) if repeated else rows
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, trimmed
 
 #: Distinct fingerprints in a bucket above which it is split by further deletion variants.
 SPLIT = 2048
@@ -69,7 +69,7 @@ def _fingerprints(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def fingerprints(docs: DataFrame, shingle: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ``mark``, the fingerprint as a signed 64-bit integer, of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, mark long")
+    return rows.mapInArrow(trimmed(_fingerprints(shingle)), "doc_id long, mark long")
 
 
 def _variants(values: np.ndarray, bits: int, shift: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,11 +218,11 @@ def mark_links(marks: DataFrame, distance: int = 3) -> DataFrame:
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     large = cut(counts.where(F.col("n") > SPLIT).select("key"))
     shared = keyed.repartition("key").sortWithinPartitions("key", "mark") if large.isEmpty() else keyed.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key", "mark")
-    found = shared.mapInArrow(_forest(distance, 1), "a long, b long")
+    found = shared.mapInArrow(trimmed(_forest(distance, 1)), "a long, b long")
     if not large.isEmpty():
         again = keyed.join(large, "key").select("key", "mark").mapInArrow(_split(distance), "key long, key2 long, mark long")
         again = again.repartition("key", "key2").sortWithinPartitions("key", "key2", "mark")
-        found = found.union(again.mapInArrow(_forest(distance, 2), "a long, b long"))
+        found = found.union(again.mapInArrow(trimmed(_forest(distance, 2)), "a long, b long"))
     return found.distinct()
 
 
@@ -345,7 +345,7 @@ def _common(texts: DataFrame, shingle: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(_text_grams(text.as_py(), shingle)[1].view(np.int64))], ["gram"])
 
     some = texts.where(F.pmod("node", F.lit(16)) == 0).dropDuplicates(["node"])
-    counts = some.mapInArrow(every, "gram long").groupBy("gram").count()
+    counts = some.mapInArrow(trimmed(every), "gram long").groupBy("gram").count()
     often = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "gram").limit(MOST_COMMON).select("gram").toArrow()
     return np.sort(often.column(0).to_numpy().view(np.uint64))
 
@@ -505,7 +505,7 @@ def _candidates(similarity: float, all_pairs: bool) -> Callable[[Iterator[pa.Rec
                 if all_pairs:
                     a, b = np.maximum(likely.node[i], likely.node[j]).tolist(), np.minimum(likely.node[i], likely.node[j]).tolist()
                     new = [p for p in dict.fromkeys(zip(a, b)) if p not in seen]
-                    if len(seen) > 500_000:
+                    if len(seen) > 100_000:
                         seen.clear()  # repeats only cost a little
                     seen.update(new)
                     ab = np.array(new, np.int64).reshape(-1, 2)
@@ -571,15 +571,15 @@ def _verified(links: DataFrame, sketches: DataFrame, texts: DataFrame, shingle:
     """The links (a, b) whose sets are alike. Texts move only for those that parities cannot rule out."""
     short = sketches.select("node", "odd", "size")
     met = links.join(short.toDF("a", "xa", "na"), "a").join(short.toDF("b", "xb", "nb"), "b").select("a", "b", "xa", "xb", "na", "nb")
-    return _alike(cut(met.mapInArrow(_possible(similarity), "a long, b long")), texts, shingle, similarity)
+    return _alike(cut(met.mapInArrow(trimmed(_possible(similarity)), "a long, b long")), texts, shingle, similarity)
 
 
 def _alike(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The links (a, b) whose sets are alike, by the whole sets of both texts."""
     ends = cut(links.select("a").union(links.select("b")).distinct().toDF("node"))
-    linked = texts.join(_limited(ends), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_grams(shingle), "node long, grams binary")
+    linked = texts.join(_limited(ends), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(trimmed(_grams(shingle)), "node long, grams binary")
     met = links.join(linked.toDF("a", "ga"), "a").join(linked.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
-    return cut(met.mapInArrow(_similar(similarity), "a long, b long"))
+    return cut(met.mapInArrow(trimmed(_similar(similarity)), "a long, b long"))
 
 
 def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 7, *, text_col: str = "text") -> DataFrame:
@@ -594,7 +594,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, di
     """
     texts = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("node"), F.col(f"`{text_col}`").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_common(texts, shingle))
-    sketches = cut(texts.mapInArrow(_sketches(shingle, similarity, common), SKETCH))
+    sketches = cut(texts.mapInArrow(trimmed(_sketches(shingle, similarity, common)), SKETCH))
     single = cut(sketches.select("node", "mark", "size", "odd").dropDuplicates(["node"]))
     firsts = cut(single.groupBy("mark").agg(F.min("node").alias("first")))
     found = mark_links(firsts.select("mark"), distance)
@@ -606,12 +606,12 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, di
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).where("false")
 
     keyed = sketches.select("node", "size", F.posexplode("first").alias("pos", "key")).select("key", "node", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("size")).alias("place"))
-    shared = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, place long"))
+    shared = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_shared), "key long, node long, place long"))
     for all_pairs in (False, True):
         grouped = shared.join(roots, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("group"))
-        shared = cut(grouped.repartition("key").sortWithinPartitions("key").mapInArrow(_live, "key long, node long, place long, group long"))
+        shared = cut(grouped.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_live), "key long, node long, place long, group long"))
         rows = shared.join(single.select("node", "odd"), "node").select("key", "node", "place", "group", "odd")
-        likely = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(similarity, all_pairs), "a long, b long")
+        likely = rows.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_candidates(similarity, all_pairs)), "a long, b long")
         new = cut(likely.distinct().join(tried, ["a", "b"], "left_anti"))
         shared = shared.drop("group")
         some = not new.isEmpty()

@@ -29,9 +29,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, trimmed
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 120_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 #: The tokenizer's own pre-tokenization, on text already in lower case.
@@ -59,6 +59,14 @@ def _by_chunks(file: dict) -> bool:
     return plain and steps == (_NORMALIZERS, _PRE_TOKENIZERS) and all(t["content"].startswith("<|") for t in file["added_tokens"])
 
 
+def _settings(whole) -> dict:
+    """A tokenizer's file but for its vocabulary, which as objects would be some 100 MB a worker."""
+    state = lambda part: None if part is None else json.loads(part.__getstate__())
+    model = {"type": type(whole.model).__name__, "dropout": getattr(whole.model, "dropout", None)}
+    added = [{"content": t.content} for t in whole.get_added_tokens_decoder().values()]
+    return {"normalizer": state(whole.normalizer), "pre_tokenizer": state(whole.pre_tokenizer), "post_processor": state(whole.post_processor), "truncation": whole.truncation, "model": model, "added_tokens": added}
+
+
 def text_encoder(path: str) -> Callable[[str | bytes], bytes]:
     """A function from text, or its UTF-8, to its ids as little-endian 32-bit integers; one per worker and file."""
     if path in _encoders:
@@ -67,7 +75,7 @@ def text_encoder(path: str) -> Callable[[str | bytes], bytes]:
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    if not _by_chunks(json.loads(whole.to_str())):
+    if not _by_chunks(_settings(whole)):
         _encoders[path] = lambda text: np.array(whole.encode(text if isinstance(text, str) else text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return _encoders[path]
     model, letters = whole.model, _byte_letters()
@@ -135,7 +143,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, *
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    tokens = ordered.mapInArrow(_batches(vocabulary, end_id), "doc_id long, n_tokens long, token_ids array<int>")
+    tokens = ordered.mapInArrow(trimmed(_batches(vocabulary, end_id)), "doc_id long, n_tokens long, token_ids array<int>")
     options = {
         "compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES,
         "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false",

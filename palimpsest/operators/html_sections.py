@@ -73,13 +73,16 @@ def _one_line(text: Column) -> Column:
     return T.unicode_strip(F.regexp_replace(F.translate(text, "\u00a0", " "), r"[ \t]+", " "))
 
 
-def section_texts(pages: DataFrame, doc: str, html: Column, marks: dict[str, str], breaks: str = BREAKS) -> DataFrame:
-    """(doc, seq, kind, text): the sections of a page that have text, in order, tags out and lines broken at ``breaks``."""
+def section_texts(pages: DataFrame, doc: str, html: Column, marks: dict[str, str], breaks: str = BREAKS, closed: bool = False) -> DataFrame:
+    """(doc, seq, kind, text): the sections of a page that have text, in order, tags out and lines broken at ``breaks``.
+
+    ``closed``: character references without their semicolon are text.
+    """
     rows = by_marks(tokens(pages, doc, html), marks)
     piece = F.when(F.col("tag").isNull(), F.col("token")).when(F.col("token").rlike(breaks), "\n").otherwise("")
     first = next(iter(marks))
     joined = rows.groupBy("doc", "mark", "kind").agg(_joined(piece).alias("text"))
-    texts = joined.withColumn("text", unescaped(F.col("text"))).select("doc", "mark", F.coalesce("kind", F.lit(first)).alias("kind"), F.array_join(_lines(F.col("text")), "\n").alias("text"))
+    texts = joined.withColumn("text", unescaped(F.col("text"), closed)).select("doc", "mark", F.coalesce("kind", F.lit(first)).alias("kind"), F.array_join(_lines(F.col("text")), "\n").alias("text"))
     seq = F.row_number().over(Window.partitionBy("doc").orderBy("mark")).cast("long")
     return texts.where("text <> ''").withColumn("seq", seq).select("doc", "seq", "kind", "text")
 

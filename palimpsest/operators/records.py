@@ -14,6 +14,8 @@ items without text take no number; repeated records of an id are told apart by n
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -35,12 +37,24 @@ ARTICLE_NUMBER = r"제\s*\d+(?:-\d+)?조(?:의\s*\d+)?"
 ARTICLE_NUMBER_LOOSE = r"제\s*\d+-\d+(?:의\s*\d+)?(?=\s*\()"
 
 
-def unescaped(text: Column) -> Column:
-    """All character references of HTML decoded once, those of the whole entity table; texts without ``&`` stay as they are."""
+#: A character reference that ends as it should.
+_CLOSED = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[a-zA-Z]\w*);", re.ASCII)
+
+
+def _closed_alone(text: str) -> str:
+    return _CLOSED.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0], text)
+
+
+def unescaped(text: Column, closed: bool = False) -> Column:
+    """All character references of HTML decoded once, those of the whole entity table; texts without ``&`` stay as they are.
+
+    ``closed``: only those that end with a semicolon; ``&amp`` at the end of a text that was cut off stays.
+    """
+    decode = _closed_alone if closed else html.unescape
 
     @F.arrow_udf("string")
     def decoded(texts: pa.Array) -> pa.Array:
-        return pa.array([t if t is None or "&" not in t else html.unescape(t) for t in texts.to_pylist()], pa.string())
+        return pa.array([t if t is None or "&" not in t else decode(t) for t in texts.to_pylist()], pa.string())
 
     return decoded(text)
 

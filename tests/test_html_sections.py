@@ -38,3 +38,22 @@ def test_dates_and_anchors(spark):
     assert [r[0] for r in rows.select(H.last_date(F.col("t"))).collect()] == ["20260102", None, None]
     cut = spark.createDataFrame([("ab [ 별표/ 서식 파일 ] cd",), ('x<A NAME="inclosure">y',), ("all",), (None,)], "t string")
     assert [r[0] for r in cut.select(H.cut_at(F.col("t"))).collect()] == ["ab ", "x", "all", None]
+
+
+def test_references_without_their_end_are_text_where_asked(spark):
+    marks = {"p": "(?i)^<p\\b"}
+    pages = [(1, "<p>a &amp;amp; b &amp"), (2, "<p>&copy; &copy &notit; &#xAC00; &#44032 &zzz; &&amp;&")]
+    assert sections(spark, pages, marks, closed=True) == [(1, 1, "p", "a &amp; b &amp"), (2, 1, "p", "© &copy &notit; 가 &#44032 &zzz; &&&")]
+    assert sections(spark, pages, marks) == [(1, 1, "p", "a &amp; b &"), (2, 1, "p", "© © ¬it; 가 가 &zzz; &&&")]
+
+
+def test_page_sections_of_pages_cut_off_agree_with_sql(spark, tmp_path):
+    import duckdb
+
+    from palimpsest.plans import html_queries, registry
+
+    spark.createDataFrame([(1, "<title>ores&amp;&amp</title><h1>ores&amp;&amp</h1><p>x &quot;y&quot;</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in html_queries.page_sections(spark, str(tmp_path)).select("doc", "seq", "kind", "text").collect())
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        assert got == sorted(con.sql(registry.ORACLES["page_sections"]).fetchall())

@@ -25,12 +25,13 @@ def numbered(rows: DataFrame, present: Column, out: str = "seq") -> DataFrame:
     return rows.where(present).withColumn(out, F.row_number().over(Window.partitionBy("doc").orderBy("pos")).cast("long"))
 
 
-def unique_keys(rows: DataFrame, key: str, out: str = "section_key", mark: str = "#") -> DataFrame:
+def unique_keys(rows: DataFrame, key: str, out: str = "section_key", mark: str = "#", ties: tuple[str, ...] = ()) -> DataFrame:
     """The second row of a key is ``key#2``, and so on, past every key that the document has had by then.
 
     One shuffle by document, then one pass over its rows in order; a task holds the keys of one document at a time. Null keys stay.
+    ``ties``: columns that order rows of one ``pos``, which else have no order.
     """
-    ordered = rows.repartition("doc").sortWithinPartitions("doc", "pos")
+    ordered = rows.repartition("doc").sortWithinPartitions("doc", "pos", *ties)
     schema = StructType([*ordered.schema.fields, StructField(out, StringType())])
     at, doc_at = ordered.columns.index(key), ordered.columns.index("doc")
 

@@ -92,9 +92,9 @@ def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT doc, ks, ps, i + 1, nk, list_append(used, nk) FROM (SELECT *, CASE WHEN NOT list_contains(used, ks[i + 1]) THEN ks[i + 1] ELSE list_filter(list_transform(range(2, len(ks) + 3), lambda n: ks[i + 1] || '#' || n), lambda x: NOT list_contains(used, x))[1] END AS nk FROM f WHERE i < len(ks)))
     SELECT doc, ps[i]::BIGINT AS pos, section_key FROM f WHERE i > 0""")
 def section_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of which some end like numbered ones."""
+    """Keys of which some end like numbered ones. Lines of one number come in the order of the table's files."""
     from ..operators import sections as S
 
     mark = F.when(F.col("l_suppkey") % 4 == 0, "#2").otherwise("")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("pos"), F.concat(F.lit("k"), (F.col("l_partkey") % 2).cast("string"), mark).alias("k"))
-    return S.unique_keys(rows, "k").select("doc", "pos", "section_key")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("pos"), F.concat(F.lit("k"), (F.col("l_partkey") % 2).cast("string"), mark).alias("k"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return S.unique_keys(rows, "k", ties=("file", "at")).select("doc", "pos", "section_key")

@@ -336,3 +336,21 @@ def test_without_divisions(spark):
 
     rows = [(1, "제1편 총칙", "제1편 총칙"), (2, "제1편", "본문"), (3, None, "본문"), (4, "", ""), (5, "제2편", None)]
     assert [r.i for r in P.without_divisions(spark.createDataFrame(rows, "i int, g string, b string"), "g", "b").orderBy("i").collect()] == [2, 3, 4, 5]
+
+
+def test_section_keys_of_equal_line_numbers_come_in_the_order_of_the_files(spark, tmp_path):
+    import duckdb
+
+    from palimpsest.plans import citation_queries, registry
+
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    lines = "SELECT d AS l_orderkey, {n}::BIGINT AS l_linenumber, 0::BIGINT AS l_partkey, {s}::BIGINT AS l_suppkey FROM range({k}) t(d)"
+    with duckdb.connect() as con:
+        # the second file is the larger one, which Spark reads first
+        con.execute(f"COPY ({lines.format(n=1, s=1, k=300)} UNION ALL {lines.format(n=2, s=4, k=300)}) TO '{folder}/a.parquet'")
+        con.execute(f"COPY ({lines.format(n=2, s=1, k=300)} UNION ALL SELECT 1000 + d // 2, 5, d, d * 7919 % 1009 FROM range(60000) t(d)) TO '{folder}/b.parquet'")
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/*.parquet'")
+        want = sorted(con.sql(registry.ORACLES["section_keys"]).fetchall())
+    got = sorted(tuple(r) for r in citation_queries.section_keys(spark, str(tmp_path)).select("doc", "pos", "section_key").collect())
+    assert got == want

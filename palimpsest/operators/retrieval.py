@@ -35,8 +35,8 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 #: (query, token) rows up to which queries are broadcast: 2 million are about 100 MB with their words.
 ASKED_ROWS = 2_000_000
-#: Scores, of queries by documents, that a task holds at a time.
-_BLOCK = 4_000_000
+#: Scores of queries by documents with the postings that make them, and tokens, that a task holds at a time (some 100 MB).
+_BLOCK = 1_000_000
 
 
 def bm25(queries: DataFrame, query: str, query_tokens: Column, docs: DataFrame, doc: str, doc_tokens: Column, k: int = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -75,14 +75,27 @@ def _rounded(score: np.ndarray) -> np.ndarray:
     return np.floor(score * 1e6 + 0.5) / 1e6
 
 
+def _stretches(costs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows whose costs add up to ``limit`` at most; a row beyond it stands alone."""
+    upto, first = np.concatenate([[0], np.cumsum(costs, dtype=np.int64)]), 0
+    while first < len(costs):
+        end = max(first + 1, int(np.searchsorted(upto, upto[first] + limit, "right")) - 1)
+        yield first, end
+        first = end
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+
+
 def _asked_counts(words) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each document its length, and its asked tokens with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = words.value
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in _stretches(_sizes(whole.column(1)), _BLOCK)):
             lists = batch.column(1)
-            sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+            sizes = _sizes(lists)
             flat = lists.flatten().dictionary_encode()
             known = np.array([number.get(w, -1) for w in flat.dictionary.to_pylist()], np.int64)
             token = known[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
@@ -101,11 +114,15 @@ def _best_of_task(side, avgdl: float, k: int, k1: float, b: float) -> Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries, starts, idf_of = side.value
-        step = max(1, _BLOCK // max(len(names), 1))
+        asked_by = np.diff(starts)
         best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            # what a document costs: a score of each query, and a row of each of its tokens with each query that asks it
+            asking = asked_by[batch.column(2).flatten().to_numpy(zero_copy_only=False)]
+            ends = np.cumsum(_sizes(batch.column(2)))
+            rows_upto = np.concatenate([[0], np.cumsum(asking, dtype=np.int64)])[np.concatenate([[0], ends])]
+            for at, end in _stretches(np.diff(rows_upto) + len(names), _BLOCK):
+                part = batch.slice(at, end - at)
                 docs, dl = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False))
                 token, tf = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))

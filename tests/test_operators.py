@@ -354,3 +354,50 @@ def test_section_keys_of_equal_line_numbers_come_in_the_order_of_the_files(spark
         want = sorted(con.sql(registry.ORACLES["section_keys"]).fetchall())
     got = sorted(tuple(r) for r in citation_queries.section_keys(spark, str(tmp_path)).select("doc", "pos", "section_key").collect())
     assert got == want
+
+
+def test_bm25_tasks_hold_no_batch_multiplied_by_its_queries():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from palimpsest.operators import retrieval as R
+
+    n_docs, n_tokens, n_queries, k = 3000, 100, 200, 5
+    starts = np.arange(n_tokens + 1) * n_queries
+    rng = np.random.default_rng(7)
+    idf = rng.random(n_tokens)
+    tf = rng.integers(1, 9, (n_docs, n_tokens)).astype(np.int32)
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n_docs + 1, dtype=np.int32) * n_tokens), pa.array(x.ravel()))
+    tokens = np.tile(np.arange(n_tokens, dtype=np.int32), (n_docs, 1))
+    dl = tf.sum(axis=1).astype(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n_docs)), pa.array(dl), lists(tokens), lists(tf)], ["doc", "dl", "token", "tf"])
+    side = SimpleNamespace(value=(np.arange(n_queries), np.tile(np.arange(n_queries), n_tokens), starts, idf))
+    tracemalloc.start()
+    (found,) = R._best_of_task(side, float(dl.mean()), k, 1.2, 0.75)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6  # 60 million (document, token, query) rows are 480 MB a column
+    score = np.floor((idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl[:, None] / dl.mean()))).sum(axis=1) * 1e6 + 0.5) / 1e6
+    best = np.lexsort((np.arange(n_docs), -score))[:k]
+    got = found.to_pandas().groupby("query")["doc"].apply(list)
+    assert len(got) == n_queries and all(x == list(best) for x in got)
+
+
+def test_bm25_counts_the_same_in_any_stretches(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from palimpsest.operators import retrieval as R
+
+    docs = [["a", "b", "a"], None, [], ["c", "a", "x"] * 4, ["b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(docs, pa.list_(pa.string()))], ["doc", "tokens"])
+    run = R._asked_counts(SimpleNamespace(value={"a": 0, "b": 1, "c": 2}))
+    whole = pa.Table.from_batches(run(iter([batch]))).to_pylist()
+    assert whole[0] == {"doc": 0, "dl": 3, "token": [0, 1], "tf": [2, 1]} and whole[3] == {"doc": 3, "dl": 12, "token": [0, 2], "tf": [4, 4]}
+    monkeypatch.setattr(R, "_BLOCK", 3)
+    cut = list(run(iter([batch])))
+    assert len(cut) == 3 and pa.Table.from_batches(cut).to_pylist() == whole

@@ -37,24 +37,28 @@ def answers(scorer: Scorer, items: list) -> list[tuple[float | None, str, str |
     return [(None, PASSED, None) if g is None else (g, SCORED, None) if math.isfinite(g) else (None, FAILED, f"score {g}") for g in got]
 
 
-def scored(rows: DataFrame, columns: list[str], scorer: Scorer | None, size: int = 32) -> DataFrame:
-    """``rows`` with ``score``, ``state`` and ``message``; the scorer gets lists of up to ``size`` values of the one column, or
-    of tuples of several. Rows stay in their partitions and in their order."""
-    schema = StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("state", StringType()), StructField("message", StringType())])
-    at = [rows.columns.index(c) for c in columns]
+def _scoring(at: list[int], scorer: Scorer | None, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with their answers; only ``size`` rows at a time are Python's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [batch.column(i).to_pylist() for i in at]
-            items = values[0] if len(at) == 1 else list(zip(*values))
             found: list[tuple[float | None, str, str | None]] = []
-            for a in range(0, len(items), size):
-                part = items[a : a + size]
+            for a in range(0, batch.num_rows, size):
+                values = [batch.column(i).slice(a, size).to_pylist() for i in at]
+                part = values[0] if len(at) == 1 else list(zip(*values))
                 found += [(None, PASSED, None)] * len(part) if scorer is None else answers(scorer, part)
             extra = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.float64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "score", "state", "message"])
 
-    return rows.mapInArrow(run, schema)
+    return run
+
+
+def scored(rows: DataFrame, columns: list[str], scorer: Scorer | None, size: int = 32) -> DataFrame:
+    """``rows`` with ``score``, ``state`` and ``message``; the scorer gets lists of up to ``size`` values of the one column, or
+    of tuples of several. Rows stay in their partitions and in their order."""
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("state", StringType()), StructField("message", StringType())])
+    at = [rows.columns.index(c) for c in columns]
+    return rows.mapInArrow(_scoring(at, scorer, size), schema)
 
 
 def reranked(ranking: DataFrame, columns: list[str], scorer: Scorer | None, k: int, size: int = 32) -> DataFrame:

@@ -33,3 +33,16 @@ def test_rows_come_back_once_and_in_order(spark):
     plain = S.reranked(ranking, ["t"], None, 2).orderBy("query", "rnk").collect()
     assert [(r["query"], r["doc"], r["state"]) for r in plain] == [("q", 1, "passed"), ("q", 2, "passed"), ("r", 1, "passed")]
     assert S.scored(ranking.where("false"), ["t"], scorer).count() == 0
+
+
+def test_only_the_rows_of_a_call_are_held():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 10_000] * 3000), pa.array(["y" * 10_000] * 3000)], ["q", "t"])
+    tracemalloc.start()
+    (out,) = S._scoring([0, 1], lambda pairs: [float(len(a) + len(b)) for a, b in pairs], 32)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6 and out.column("score").to_pylist() == [20_000.0] * 3000

@@ -29,18 +29,32 @@ def inline_segments(old: str, new: str, merge_gap: int = 6, min_run: int = 2) ->
 
 
 def paired_lines(old: list[str], new: list[str], least: float = 0.5) -> list[tuple[str | None, str | None]]:
-    """Changed lines side by side: each old line takes the unused new line most like it, the first of equals."""
+    """Changed lines side by side: each old line takes the unused new line most like it, the first of equals.
+
+    What a new line is indexed by is made once. Lines are matched in the order of what their letters leave room for, which
+    is never below their ratio, until that is less than the best ratio found.
+    """
     out: list[tuple[str | None, str | None]] = []
     for op, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
         if op == "equal":
             continue
         free = list(range(c, d))
+        against = {j: difflib.SequenceMatcher(None, "", new[j], autojunk=False) for j in free} if a < b else {}
         for i in range(a, b):
             best, at = 0.0, None
+            bounds = []
             for j in free:
-                ratio = difflib.SequenceMatcher(None, old[i], new[j], autojunk=False).ratio()
-                if ratio >= least and ratio > best:
-                    best, at = ratio, j
+                against[j].set_seq1(old[i])
+                most = against[j].real_quick_ratio()
+                if most >= least and (most := against[j].quick_ratio()) >= least:
+                    bounds.append((-most, j))
+            for most, j in sorted(bounds):
+                if -most < best:
+                    break
+                if -most > best or (at is not None and j < at):
+                    ratio = against[j].ratio()
+                    if ratio >= least and (ratio > best or (ratio == best and at is not None and j < at)):
+                        best, at = ratio, j
             if at is not None:
                 free.remove(at)
             out.append((old[i], new[at] if at is not None else None))

@@ -401,3 +401,38 @@ def test_bm25_counts_the_same_in_any_stretches(monkeypatch):
     monkeypatch.setattr(R, "_BLOCK", 3)
     cut = list(run(iter([batch])))
     assert len(cut) == 3 and pa.Table.from_batches(cut).to_pylist() == whole
+
+
+def test_line_pairs_match_few_lines_and_as_plain_matching_does(monkeypatch):
+    import difflib
+    import random
+
+    from palimpsest.operators import text_diff as D
+
+    def plain(old, new, least=0.5):
+        out = []
+        for op, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
+            if op == "equal":
+                continue
+            free = list(range(c, d))
+            for i in range(a, b):
+                best, at = 0.0, None
+                for j in free:
+                    ratio = difflib.SequenceMatcher(None, old[i], new[j], autojunk=False).ratio()
+                    if ratio >= least and ratio > best:
+                        best, at = ratio, j
+                if at is not None:
+                    free.remove(at)
+                out.append((old[i], new[at] if at is not None else None))
+            out += [(None, new[j]) for j in free]
+        return out
+
+    rng = random.Random(5)
+    line = lambda: "".join(rng.choice("ab 가1") for _ in range(rng.randrange(9)))
+    texts = [([line() for _ in range(rng.randrange(9))], [line() for _ in range(rng.randrange(9))]) for _ in range(400)]
+    for least in (0.0, 0.5, 0.9):
+        assert [D.paired_lines(o, n, least) for o, n in texts] == [plain(o, n, least) for o, n in texts]
+    calls, ratio = [], difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: calls.append(1) or ratio(self))
+    old, new = [f"{i:04d}" * 9 for i in range(60)], [f"{i:04d}" * 9 + "!" for i in range(60)]
+    assert len(D.paired_lines(old, new)) == 60 and len(calls) < 900  # 1,830 pairs are free to be matched

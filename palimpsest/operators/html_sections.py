@@ -1,9 +1,9 @@
 """HTML bodies to sections: a page is a stream of tokens, and what a tag parser remembers is a window over them.
 
 ``tokens`` cuts a page into comments, scripts, tags and texts in one regular expression and explodes them in order.
-Sections are runs between marks (opening tags that begin something); a mark's number is a running count, the chapter a
-section stands under is the last one carried forward, a table cell is a running count inside its section. Texts are put
-together by section, so tasks hold sections and never whole sites.
+Sections are runs between marks (opening tags that begin something); a mark's number is a running count. Texts are put
+together by section. Statute pages need more state (chapters, cells, addenda) and are read page by page inside their
+tasks, so that no token is shuffled, sorted or spilled.
 
 Defined results: null and empty pages have no rows; comments, scripts and styles are no text; unclosed tags end where
 the next one begins; a ``<`` that opens nothing is text; character references are decoded once, after tags are gone;
@@ -12,8 +12,14 @@ sections without text take no number; a page without marks is one section of the
 
 from __future__ import annotations
 
+import html as html_entities
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 from .records import unescaped
@@ -30,6 +36,8 @@ RETITLED = "제목개정"
 ROMAN = r"^([ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+|[IVX]{1,4})[.\s]\s*(.{0,60})$"
 ITEM = r"^\d{1,2}\.\s*.{0,60}$"
 PREAMBLE = "머리말"
+#: Pages of which a task holds the sections at a time.
+_PAGES = 256
 DATE = r"(\d{4})\s*\.\s*(\d{1,2})\s*\.\s*(\d{1,2})"
 
 
@@ -69,10 +77,6 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(plain, "\n"), T.unicode_strip), lambda x: x != "")
 
 
-def _one_line(text: Column) -> Column:
-    return T.unicode_strip(F.regexp_replace(F.translate(text, "\u00a0", " "), r"[ \t]+", " "))
-
-
 def section_texts(pages: DataFrame, doc: str, html: Column, marks: dict[str, str], breaks: str = BREAKS, closed: bool = False) -> DataFrame:
     """(doc, seq, kind, text): the sections of a page that have text, in order, tags out and lines broken at ``breaks``.
 
@@ -91,6 +95,123 @@ def _of_class(name: str) -> str:
     return rf'(?i)^<div[^>]*class="{name}"'
 
 
+_tokens_of = re.compile(TOKEN, re.ASCII).finditer
+_silent = re.compile(SILENT, re.ASCII).match
+_tag_of = re.compile(r"<(/?[a-zA-Z][\w-]*)", re.ASCII).match
+_break = re.compile(BREAKS, re.ASCII).match
+_attachments = re.compile(ATTACHMENTS, re.ASCII).search
+_opening = {k: re.compile(_of_class(k), re.ASCII).match for k in (CHAPTER, SECTION, ARTICLE, ADDENDA)}
+_head = re.compile(_of_class("article"), re.ASCII).match
+_numbered = re.compile(NUMBERED, re.ASCII).match
+_roman, _item = (re.compile(x.replace(".{", r"[^\n\r\x85\u2028\u2029]{"), re.ASCII).match for x in (ROMAN, ITEM))
+_line_end = re.compile(r"(br|/p|/div|/tr|/li|/h\d|/td|/th)", re.ASCII).fullmatch
+#: What ``T.unicode_strip`` takes off.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_blanks = re.compile(r"[ \t]+")
+
+
+def _stream(text: str) -> Iterator[tuple[str, str | None]]:
+    """(token, tag) as ``tokens`` gives them."""
+    for found in _tokens_of(text):
+        token = found[0]
+        if token[0] != "<":
+            yield token, None
+        elif not _silent(token):
+            tag = _tag_of(token)
+            yield token, tag and tag[1].lower()
+
+
+def _before(text: str, found: re.Match | None) -> str:
+    return text[: found.start()] if found else text
+
+
+def _plain_line(text: str) -> str:
+    return _blanks.sub(" ", text).strip(_WHITE)
+
+
+def _statute_parts(text: str) -> list[tuple[str, str | None, str]]:
+    """(kind, title, body) of the marks of a page, in order: state of a tag parser, kept while tokens pass once."""
+    found: list[tuple[str, dict[int, list[str]]]] = []
+    kind, added = None, False
+    for token, tag in _stream(text):
+        opens = next((k for k, match in _opening.items() if match(token)), None) if tag and tag.startswith("div") else None
+        if opens and (not added or opens == ADDENDA):
+            kind, added = opens, opens == ADDENDA
+            pieces: dict[int, list[str]] = {}
+            found.append((kind, pieces))
+            heads = shut = in_cell = False
+            cells, divs = 0, 0
+        if kind is None:
+            continue
+        if tag is not None:
+            heads = heads or bool(tag.startswith("div") and _head(token))
+            shut = shut or (heads and tag == "/table")
+            cells, divs = cells + (tag == "td"), divs + (tag == "/div")
+            in_cell = tag == "td" if tag in ("td", "/td") else in_cell
+        if kind == ARTICLE and heads and not shut:
+            part = cells if in_cell else -1
+        else:
+            part = 0 if kind in (CHAPTER, SECTION) or (kind == ADDENDA and not divs) else -2
+        if part != -1:
+            pieces.setdefault(part, []).append(token if tag is None else "\n" if part == -2 and _break(token) else "")
+    out = []
+    for kind, pieces in found:
+        texts = {part: html_entities.unescape("".join(x)).replace("\u00a0", " ") for part, x in pieces.items()}
+        lines = [(not _numbered(line), part, line) for part, t in texts.items() if part >= 0 and (line := _plain_line(t))]
+        body = "\n".join(filter(None, map(_plain_line, texts.get(-2, "").split("\n"))))
+        if texts:
+            out.append((kind, min(lines)[2] if lines else None, body))
+    return out
+
+
+def _outline(text: str) -> list[tuple[str, str, str]]:
+    """(chapter, title, body) by Roman numbers and numbered lines, before any addenda."""
+    text = _before(text, _attachments(text)).partition('<div class="addenda"')[0]
+    plain = html_entities.unescape("".join(token if tag is None else "\n" if _line_end(tag) else " " for token, tag in _stream(text)))
+    out: list[tuple[str, str, list[str]]] = [("", "", [])]
+    for line in filter(None, map(_plain_line, plain.split("\n"))):
+        if roman := _roman(line):
+            out.append((f"{roman[1]} {roman[2]}".strip(" "), "", []))
+        elif len(line) <= 62 and _item(line):
+            out.append((out[-1][0], line, []))
+        else:
+            out[-1][2].append(line)
+    return [(chapter, title, "\n".join(body)) for chapter, title, body in out if title or body]
+
+
+def _statute(text: str) -> list[tuple[str, str, str, str, str]]:
+    articles, addenda, chapter, section = [], [], "", ""
+    for kind, title, body in _statute_parts(_before(text, _attachments(text))):
+        named = title if title is not None and not title.startswith("<") and RETITLED not in title else None
+        if kind == CHAPTER and named is not None:
+            chapter, section = named, ""  # a chapter ends the section before it
+        elif kind == SECTION and named is not None:
+            section = named
+        elif kind == ADDENDA:
+            addenda.append(("addenda", "", "", title or "", body))
+        elif kind == ARTICLE:
+            articles.append(("article", chapter, section, title if title is not None else "" if articles else PREAMBLE, body))
+    if not articles:
+        articles = [("article", chapter, "", title, body) for chapter, title, body in _outline(text)]
+    return [x for x in articles if x[3] or x[4]] + addenda
+
+
+def _by_page(pages: DataFrame, doc: str, html: str, sections: Callable[[str], list[tuple]], names: list[str]) -> DataFrame:
+    """(doc, seq, *names): the sections of each page, a page at a time, in its task; nothing is shuffled or sorted."""
+    rows = pages.select(F.col(doc).alias("doc"), F.col(html).alias("html")).where("html is not null")
+    schema = StructType([rows.schema["doc"], StructField("seq", LongType()), *(StructField(n, StringType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _PAGES):
+                part = batch.slice(at, _PAGES)
+                found = [(i, n, *x) for i, text in enumerate(part.column(1).to_pylist()) for n, x in enumerate(sections(text), 1)]
+                page, seq, *columns = zip(*found) if found else [()] * (2 + len(names))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(page, pa.int32())), pa.array(seq, pa.int64()), *(pa.array(c, pa.string()) for c in columns)], ["doc", "seq", *names])
+
+    return rows.mapInArrow(run, schema)
+
+
 def statute_sections(pages: DataFrame, doc: str, html: str) -> DataFrame:
     """(doc, seq, kind, chapter, section, title, body) of statute pages; ``kind``: article or addenda.
 
@@ -98,49 +219,7 @@ def statute_sections(pages: DataFrame, doc: str, html: str) -> DataFrame:
     untitled first article is the preamble. Addenda begin at their own class and hold all after it. A page without
     articles is cut by its outline: Roman numbers are chapters, numbered lines are articles.
     """
-    marks = {k: _of_class(k) for k in (CHAPTER, SECTION, ARTICLE, ADDENDA)}
-    rows = by_marks(tokens(pages, doc, cut_at(F.col(html))), marks)
-    so_far = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    inside = Window.partitionBy("doc", "mark").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    # all marks after the first addenda are parts of addenda
-    rows = rows.withColumn("added", F.max(F.when(F.col("opens") == ADDENDA, 1).otherwise(0)).over(so_far) == 1).where("mark > 0")
-    rows = rows.withColumn("mark", F.sum(F.when(F.col("opens").isNotNull() & (~F.col("added") | (F.col("opens") == ADDENDA)), 1).otherwise(0)).over(so_far))
-    rows = rows.withColumn("kind", F.when(F.col("added"), ADDENDA).otherwise(F.col("kind")))
-    head_opens, head_shuts = F.col("token").rlike(_of_class("article")), F.col("tag") == "/table"
-    rows = rows.withColumns({"heads": F.count_if(head_opens).over(inside), "cells": F.count_if(F.col("tag") == "td").over(inside), "divs": F.count_if(F.col("tag") == "/div").over(inside)})
-    rows = rows.withColumn("shut", F.count_if((F.col("heads") > 0) & head_shuts).over(inside))
-    rows = rows.withColumn("in_cell", F.last(F.when(F.col("tag").isin("td", "/td"), F.col("tag") == "td"), ignorenulls=True).over(inside))
-    text = F.when(F.col("tag").isNull(), F.col("token")).otherwise("")
-    in_head = (F.col("kind") == ARTICLE) & (F.col("heads") > 0) & (F.col("shut") == 0)
-    in_title = (F.col("kind") == ADDENDA) & (F.col("divs") == 0)
-    part = F.when(in_head, F.when(F.coalesce("in_cell", F.lit(False)), F.col("cells")).otherwise(-1)).when(in_title | F.col("kind").isin(CHAPTER, SECTION), 0).otherwise(-2)
-    piece = F.when(part == -2, F.when(F.col("token").rlike(BREAKS), "\n").otherwise(text)).otherwise(text)
-    parts = rows.withColumn("part", part).where("part <> -1").groupBy("doc", "mark", "kind", "part").agg(_joined(piece).alias("text"))
-    parts = parts.withColumn("text", unescaped(F.col("text")))
-    line = _one_line(F.col("text"))
-    title = F.min(F.when((F.col("part") >= 0) & (line != ""), F.struct((~line.rlike(NUMBERED)).alias("plain"), F.col("part"), line.alias("line"))))
-    body = F.max(F.when(F.col("part") == -2, F.array_join(_lines(F.col("text")), "\n")))
-    sections = parts.groupBy("doc", "mark", "kind").agg(title["line"].alias("title"), F.coalesce(body, F.lit("")).alias("body"))
-    order = Window.partitionBy("doc").orderBy("mark")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    named = F.when(F.col("title").isNotNull() & ~F.startswith("title", F.lit("<")) & ~F.contains("title", F.lit(RETITLED)), F.col("title"))
-    sections = sections.withColumn("chapter", F.last(F.when(F.col("kind") == CHAPTER, named), ignorenulls=True).over(upto))
-    # a chapter ends the section before it
-    held = F.when((F.col("kind") == CHAPTER) & named.isNotNull(), F.lit("")).when(F.col("kind") == SECTION, named)
-    sections = sections.withColumn("section", F.last(held, ignorenulls=True).over(upto))
-    articles = sections.where(F.col("kind").isin(ARTICLE, ADDENDA))
-    first = F.row_number().over(Window.partitionBy("doc", "kind").orderBy("mark")) == 1
-    articles = articles.withColumn("title", F.coalesce("title", F.when(first & (F.col("kind") == ARTICLE), PREAMBLE), F.lit("")))
-    articles = articles.where((F.col("title") != "") | (F.col("body") != "") | (F.col("kind") == ADDENDA))
-    with_articles = articles.where(F.col("kind") == ARTICLE).select("doc").distinct()
-    outlined = outline_sections(pages.join(with_articles.withColumnRenamed("doc", "_with"), F.col(doc) == F.col("_with"), "left_anti"), doc, html)
-    kind = F.when(F.col("kind") == ARTICLE, "article").otherwise("addenda")
-    place = F.struct(F.when(F.col("kind") == ARTICLE, 0).otherwise(1).alias("part"), F.col("mark").cast("long").alias("at"))
-    blank = lambda c: F.when(F.col("kind") == ARTICLE, F.coalesce(c, F.lit(""))).otherwise("")
-    all_ = articles.select("doc", place.alias("place"), kind.alias("kind"), blank("chapter").alias("chapter"), blank("section").alias("section"), "title", "body")
-    all_ = all_.unionByName(outlined.select("doc", F.struct(F.lit(0).alias("part"), F.col("seq").alias("at")).alias("place"), F.lit("article").alias("kind"), "chapter", F.lit("").alias("section"), "title", "body"))
-    seq = F.row_number().over(Window.partitionBy("doc").orderBy("place")).cast("long")
-    return all_.withColumn("seq", seq).select("doc", "seq", "kind", "chapter", "section", "title", "body")
+    return _by_page(pages, doc, html, _statute, ["kind", "chapter", "section", "title", "body"])
 
 
 def outline_sections(pages: DataFrame, doc: str, html: str) -> DataFrame:
@@ -148,23 +227,7 @@ def outline_sections(pages: DataFrame, doc: str, html: str) -> DataFrame:
 
     A Roman number opens a chapter, a numbered line of up to 62 characters an item; deeper levels stay in the body.
     """
-    before = cut_at(cut_at(F.col(html)), '<div class="addenda"')
-    rows = tokens(pages, doc, before)
-    piece = F.when(F.col("tag").isNull(), F.col("token")).when(F.col("tag").rlike(r"^(br|/p|/div|/tr|/li|/h\d|/td|/th)$"), "\n").otherwise(" ")
-    texts = rows.groupBy("doc").agg(_joined(piece).alias("text")).withColumn("text", unescaped(F.col("text")))
-    plain = F.filter(F.transform(F.split("text", "\n"), lambda x: T.unicode_strip(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != "")
-    lines = texts.select("doc", F.posexplode(plain).alias("pos", "line"))
-    roman = F.col("line").rlike(ROMAN)
-    item = ~roman & F.col("line").rlike(ITEM) & (F.length("line") <= 62)
-    so_far = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    chapter = F.trim(F.concat_ws(" ", F.regexp_extract("line", ROMAN, 1), F.regexp_extract("line", ROMAN, 2)))
-    rows = lines.withColumns({"at": F.count_if(roman | item).over(so_far), "chapter": F.last(F.when(roman, chapter), ignorenulls=True).over(so_far), "item": item, "head": roman | item})
-    title = F.max(F.when(F.col("item"), F.col("line")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    found = rows.groupBy("doc", "at").agg(F.max("chapter").alias("chapter"), F.coalesce(title, F.lit("")).alias("title"), body.alias("body"))
-    found = found.where("title <> '' or body <> ''")
-    seq = F.row_number().over(Window.partitionBy("doc").orderBy("at")).cast("long")
-    return found.withColumn("seq", seq).select("doc", "seq", F.coalesce("chapter", F.lit("")).alias("chapter"), "title", "body")
+    return _by_page(pages, doc, html, _outline, ["chapter", "title", "body"])
 
 
 def last_date(title: Column) -> Column:

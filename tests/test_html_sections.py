@@ -57,3 +57,11 @@ def test_page_sections_of_pages_cut_off_agree_with_sql(spark, tmp_path):
     with duckdb.connect() as con:
         con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
         assert got == sorted(con.sql(registry.ORACLES["page_sections"]).fetchall())
+
+
+def test_no_token_of_a_statute_page_is_shuffled_or_sorted(spark):
+    frame = spark.createDataFrame([(1, '<div class="chapter">제1장 가</div><div class="JO"><div class="article"><table><td>제1조</td></table></div>a &lt;b<br>c</div><div class="JO">d</div>')], "id long, html string")
+    found = H.statute_sections(frame, "id", "html")
+    assert [tuple(r) for r in found.collect()] == [(1, 1, "article", "제1장 가", "", "제1조", "a <b\nc"), (1, 2, "article", "제1장 가", "", "", "d")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Sort", "Window"))

@@ -1,9 +1,9 @@
 """Records of any shape to sections: a walk over VARIANT values, and the hierarchy put together again from its leaves.
 
-A record is one JSON text. ``leaves`` explodes it level by level in one stage without a shuffle: each leaf has the names
-it lies under (null for a place in a list) and its places, so that order and depth are columns. An item of a record (an
-article, an addendum, an annex) is one group; lines, keys and titles are array expressions inside it. So tasks hold
-items and never documents.
+A record is one JSON text. Spark explodes it down to its items (an article, an addendum, an annex) without a shuffle, and
+``leaves`` walks each item: each leaf has the names it lies under (null for a place in a list) and its places, so that
+order and depth are columns. Neighbouring leaves of an item move as one row; an item is one group, and lines, keys and
+titles are array expressions inside it. So tasks hold items, and a document only as the JSON text of its row.
 
 Defined results: null, unreadable and scalar records have no leaves; null leaves, empty lists and empty objects are
 leaves without text and give no lines; one object in place of a list of objects is a list of one; a list or an object
@@ -15,10 +15,14 @@ from __future__ import annotations
 
 import html
 import html.entities
+import json
 import re
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,17 +58,46 @@ def unescaped(text: Column, closed: bool = False) -> Column:
 
     @F.arrow_udf("string")
     def decoded(texts: pa.Array) -> pa.Array:
-        return pa.array([t if t is None or "&" not in t else decode(t) for t in texts.to_pylist()], pa.string())
+        return _decoded(texts, decode)
 
     return decoded(text)
 
 
-def leaves(records: DataFrame, doc: str, raw: str, depth: int = DEPTH) -> DataFrame:
-    """(doc, names, at, text): every leaf of the JSON text ``raw``, in the order of ``at`` (names of an object: by name)."""
+def _decoded(texts: pa.Array, decode: Callable[[str], str]) -> pa.Array:
+    return pa.array([t if t is None or "&" not in t else decode(t) for t in texts.to_pylist()], pa.string())
+
+
+#: Levels that Spark explodes; what lies below, one item of a list at the most, is walked in its task.
+EXPLODED = 2
+#: Leaves that a task gathers before it passes them on.
+GATHERED = 20_000
+_ESCAPES = {i: f"\\u{i:04X}" for i in range(32)} | {ord(c): "\\" + e for c, e in zip('"\\\b\f\n\r\t', '"\\bfnrt')}
+
+
+class _Number(str):
+    """A number as the record's canonical JSON has it."""
+
+
+def _json(value) -> str:
+    """``value`` as ``to_json`` writes it."""
+    if isinstance(value, _Number):
+        return str(value)
+    if isinstance(value, str):
+        return '"' + value.translate(_ESCAPES) + '"'
+    if value is None or isinstance(value, bool):
+        return "null" if value is None else str(value).lower()
+    parts = []
+    for x in value:
+        parts.append(f"{_json(x)}:{_json(value[x])}" if isinstance(value, dict) else _json(x))
+    return ("{%s}" if isinstance(value, dict) else "[%s]") % ",".join(parts)
+
+
+def _nodes(records: DataFrame, doc: str, raw: str, depth: int) -> DataFrame:
+    """(doc, names, at, text, below): the values ``EXPLODED`` levels down; ``below`` is the JSON of those that are nested."""
     spark = records.sparkSession
     rows = records.select(F.col(doc).alias("doc"), F.try_parse_json(raw).alias("v"), F.array().cast("array<string>").alias("names"), F.array().cast("array<int>").alias("at"))
     rows = rows.where("v is not null")
-    for _ in range(depth):
+    for _ in range(min(depth, EXPLODED)):
         below = spark.tvf.variant_explode_outer(F.col("v").outer())
         rows = rows.lateralJoin(below, how="left").select(
             "doc", F.coalesce("value", "v").alias("v"),
@@ -72,8 +105,62 @@ def leaves(records: DataFrame, doc: str, raw: str, depth: int = DEPTH) -> DataFr
             F.when(F.col("pos").isNull(), F.col("at")).otherwise(F.concat("at", F.array("pos"))).alias("at"),
         )
     nested = F.schema_of_variant("v").rlike("^(ARRAY|OBJECT)")
-    text = F.when(~nested, F.try_variant_get("v", "$", "string")).when(~F.to_json("v").isin("[]", "{}"), F.to_json("v"))
-    return rows.where(F.size("at") > 0).select("doc", "names", "at", text.alias("text"))
+    return rows.where(F.size("at") > 0).select("doc", "names", "at", F.when(~nested, F.try_variant_get("v", "$", "string")).alias("text"), F.when(nested, F.to_json("v")).alias("below"))
+
+
+def _walked(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ``_nodes`` to leaves, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 5_000))  # as deep as Spark reads JSON
+        read = json.JSONDecoder(parse_int=_Number, parse_float=_Number).decode
+        for batch in batches:
+            rows, names, at, ends, texts = [], [], [], [0], []
+
+            def leaf(n: tuple, a: tuple, text: str | None) -> None:
+                names.extend(n)  # noqa: B023
+                at.extend(a)  # noqa: B023
+                ends.append(len(at))  # noqa: B023
+                texts.append(text)  # noqa: B023
+
+            def walk(value, n: tuple, a: tuple) -> None:
+                if isinstance(value, str) or value is None:
+                    leaf(n, a, value)
+                elif isinstance(value, bool):
+                    leaf(n, a, "true" if value else "false")
+                elif not value:
+                    leaf(n, a, None)
+                elif len(a) == depth:
+                    leaf(n, a, _json(value))
+                elif isinstance(value, dict):
+                    for i, k in enumerate(value):
+                        walk(value[k], (*n, k), (*a, i))
+                else:
+                    n = (*n, None)
+                    for i, x in enumerate(value):
+                        walk(x, n, (*a, i))
+
+            def gathered() -> pa.RecordBatch:
+                bounds = pa.array(ends, pa.int32())  # noqa: B023
+                lists = pa.ListArray.from_arrays(bounds, pa.array(names, pa.string())), pa.ListArray.from_arrays(bounds, pa.array(at, pa.int32()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *lists, pa.array(texts, pa.string())], ["doc", "names", "at", "text"])  # noqa: B023
+
+            columns = [batch.column(i).to_pylist() for i in range(1, 5)]
+            for row, (n, a, text, below) in enumerate(zip(*columns)):
+                walk(text if below is None else read(below), tuple(n), tuple(a))
+                rows.extend([row] * (len(texts) - len(rows)))
+                if len(texts) >= GATHERED:
+                    yield gathered()
+                    rows, names, at, ends, texts = [], [], [], [0], []
+            yield gathered()
+
+    return run
+
+
+def leaves(records: DataFrame, doc: str, raw: str, depth: int = DEPTH) -> DataFrame:
+    """(doc, names, at, text): every leaf of the JSON text ``raw``, in the order of ``at`` (names of an object: by name)."""
+    rows = _nodes(records, doc, raw, depth)
+    return rows.mapInArrow(_walked(depth), f"doc {rows.schema['doc'].dataType.simpleString()}, names array<string>, at array<int>, text string")
 
 
 @dataclass(frozen=True)
@@ -88,64 +175,105 @@ class Part:
     levels: tuple[tuple[str, str | None], ...] = ()
 
 
-def _own(names: Column) -> Column:
-    return F.filter(names, lambda n: n.isNotNull())
-
-
-def _place(names: Column, at: Column, field: str) -> Column:
-    """The place in the list ``field``; 0 where one object stands for it; -1 outside of it."""
-    p = F.coalesce(F.array_position(names, field), F.lit(0)).cast("int")
-    inside = F.when((F.size(names) > p) & F.get(names, p).isNull(), F.get(at, p)).otherwise(0)
-    return F.when(p == 0, -1).otherwise(inside)
-
-
-def _depth(part: Part) -> Column:
-    """Under how many of the part's lists a leaf lies; ``below`` has the names under the part."""
-    depth = F.lit(0)
-    for i in range(len(part.levels), 0, -1):
-        inside = F.lit(True)
-        for j, (field, _) in enumerate(part.levels[:i]):
-            inside = inside & F.coalesce(F.get("below", F.lit(j)) == field, F.lit(False))
-        depth = F.when(inside, i) if i == len(part.levels) else depth.when(inside, i)
-    return depth.otherwise(0) if part.levels else depth
-
-
-def _leaf(part: Part) -> Column:
-    """What a leaf is to its item: its place among the lines, the field it belongs to, whether it is a line.
-
-    ``depth``: of ``_depth``; ``rest``: the names under the lists.
-    """
-    is_line = F.lit(False)
-    for i, (_, name) in enumerate(part.levels, 1):
-        is_line = is_line | ((F.col("depth") == i) & ((F.size("rest") == 0) if name is None else ((F.size("rest") == 1) & (F.get("rest", F.lit(0)) == name))))
-    order = F.array(*[_place(F.col("names"), F.col("at"), f) for f, _ in part.levels]) if part.levels else F.array().cast("array<int>")
-    field = F.when((F.col("depth") == 0) & (F.size("rest") == 1), F.get("rest", F.lit(0)))
-    return F.struct(order.alias("order"), F.col("at"), F.col("depth"), field.alias("field"), is_line.alias("is_line"), F.col("text"))
-
-
-def items(found: DataFrame, parts: list[Part], indent: str = "  ") -> DataFrame:
+@dataclass(frozen=True)
+class _Shape:
+    """What all leaves under the same names are to their item; places are positions in ``at``, below 0 fixed values."""
+
+    part: str
+    item: int
+    order: tuple[int, ...]
+    depth: int
+    field: str | None
+    is_line: bool
+
+
+#: Places of leaves outside of a list, and where one object stands for it.
+_OUTSIDE, _ALONE = -1, -2
+
+
+def _place(names: list[str | None], field: str) -> int:
+    """Where ``at`` has the place in the list ``field``."""
+    if field not in names:
+        return _OUTSIDE
+    p = names.index(field) + 1
+    return p if len(names) > p and names[p] is None else _ALONE
+
+
+def _shape(names: list[str | None], parts: dict[str, Part], width: int) -> _Shape | None:
+    """None for names that are no item's."""
+    part = parts[names[0]]
+    below = [n for n in names if n is not None][1 : DEPTH + 1]
+    if not below and len(names) <= 2:
+        return None
+    lists = [field for field, _ in part.levels]
+    depth = max(i for i in range(len(lists) + 1) if below[:i] == lists[:i])
+    rest = below[depth:]
+    if rest and rest[-1] == CONTENT:
+        rest.pop()
+    own = part.levels[depth - 1][1] if depth else None
+    order = [_place(names, f) for f in lists]
+    return _Shape(part.field, _place(names, part.field), (*order, *[_OUTSIDE] * (width - len(order))), depth, rest[0] if depth == 0 and len(rest) == 1 else None, depth > 0 and rest == ([] if own is None else [own]))
+
+
+def _classified(parts: list[Part]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc, names, at, text) to (doc, part, item, leaves): names are few, so each shape is looked at once a batch."""
+    by_field, width = {p.field: p for p in reversed(parts)}, max(len(p.levels) for p in parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, at = batch.column(1), batch.column(2)
+            coded = names.values.dictionary_encode()
+            words, bounds = [*coded.dictionary.to_pylist(), None], names.offsets.to_numpy()
+            codes = coded.indices.fill_null(len(words) - 1).to_numpy()
+            raw, seen = codes.astype("<i4").tobytes(), {}
+            kinds = np.array([seen.setdefault(raw[4 * a : 4 * b], len(seen)) for a, b in pairwise(bounds.tolist())], np.int32)
+            shapes = [_shape([words[c] for c in np.frombuffer(k, "<i4")], by_field, width) for k in seen]
+            kept = np.flatnonzero(np.array([s is not None for s in shapes], bool)[kinds])
+            shapes = [s or _Shape("", 0, (_OUTSIDE,) * width, 0, None, False) for s in shapes]
+            kinds, rows = kinds[kept], pa.array(kept)
+            first, places = at.offsets.to_numpy()[:-1][kept], np.append(at.values.to_numpy(), 0)
+
+            def placed(values: list[int], kinds=kinds, first=first, places=places) -> np.ndarray:
+                p = np.array(values, np.int64)[kinds]
+                return np.where(p >= 0, places[np.where(p >= 0, first + p, 0)], np.where(p == _OUTSIDE, -1, 0))
+
+            def of_shape(values: list, kind: pa.DataType, kinds=kinds) -> pa.Array:
+                return pa.array(values, kind).take(pa.array(kinds))
+
+            order = np.stack([placed([s.order[i] for s in shapes]) for i in range(width)], 1).astype(np.int32) if width else np.zeros((len(kept), 0), np.int32)
+            order = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * width), pa.array(order.reshape(-1)))
+            leaf = [
+                order, at.take(rows), of_shape([s.depth for s in shapes], pa.int32()), of_shape([s.field for s in shapes], pa.string()),
+                of_shape([s.is_line for s in shapes], pa.bool_()), _decoded(batch.column(3).take(rows), html.unescape),
+            ]
+            leaf = pa.StructArray.from_arrays(leaf, ["order", "at", "depth", "field", "is_line", "text"])
+            part, item = of_shape([s.part for s in shapes], pa.string()), np.maximum(placed([s.item for s in shapes]), 0).astype(np.int64) + 1
+            doc, alone = batch.column(0).take(rows), np.array([x.part for x in shapes])[kinds] if len(kept) else np.array([], str)
+            # neighbours of one item move as one row
+            docs = doc.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            begins = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (alone[1:] != alone[:-1]) | (item[1:] != item[:-1]))[: len(kept)])
+            runs = pa.ListArray.from_arrays(pa.array(np.append(begins, len(kept)).astype(np.int32)), leaf)
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(begins)), part.take(pa.array(begins)), pa.array(item[begins]), runs], ["doc", "part", "item", "leaves"])
+
+    return run
+
+
+def items(records: DataFrame, doc: str, raw: str, parts: list[Part], indent: str = "  ") -> DataFrame:
     """(doc, part, item, fields, body) of every item of ``parts``, from 1 in each: its own fields flattened, and its lines.
 
     ``body`` has the item's text, then what is nested in it, each level further indented, in the record's order.
     """
-    name, own = F.get("names", F.lit(0)), _own(F.col("names"))
-
     def of_part(value: Callable[[Part], Column]) -> Column:
         out = None
         for p in parts:
             out = F.when(F.col("part") == p.field, value(p)) if out is None else out.when(F.col("part") == p.field, value(p))
         return out
 
-    rows = found.where(name.isin(*[p.field for p in parts]))
-    rows = rows.select("doc", name.alias("part"), "names", "at", unescaped(F.col("text")).alias("text"), F.slice(own, 2, DEPTH).alias("below"))
-    rows = rows.where((F.size("below") > 0) | (F.size("names") > 2)).withColumn("depth", of_part(_depth))
-    rest = F.slice("below", F.col("depth") + 1, F.lit(DEPTH))
-    rows = rows.withColumn("rest", rest)
-    inner = F.slice("rest", F.lit(1), F.greatest(F.size("rest") - 1, F.lit(0)))
-    rows = rows.withColumn("rest", F.when(F.coalesce(F.try_element_at("rest", F.lit(-1)) == CONTENT, F.lit(False)), inner).otherwise(F.col("rest")))
-    item = of_part(lambda p: F.greatest(_place(F.col("names"), F.col("at"), p.field), F.lit(0)) + 1)
-    rows = rows.select("doc", "part", item.cast("long").alias("item"), of_part(_leaf).alias("leaf"))
-    grouped = rows.groupBy("doc", "part", "item").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
+    walked, classified = _walked(DEPTH), _classified(parts)
+    rows = _nodes(records, doc, raw, DEPTH).where(F.get("names", F.lit(0)).isin(*[p.field for p in parts]))
+    leaf = "struct<order: array<int>, at: array<int>, depth: int, field: string, is_line: boolean, text: string>"
+    rows = rows.mapInArrow(lambda batches: classified(walked(batches)), f"doc {rows.schema['doc'].dataType.simpleString()}, part string, item long, leaves array<{leaf}>")
+    grouped = rows.groupBy("doc", "part", "item").agg(F.sort_array(F.flatten(F.collect_list("leaves"))).alias("leaves"))
     texts = lambda keep: F.filter(F.transform(F.filter("leaves", keep), lambda x: x["text"]), lambda t: F.coalesce(t, F.lit("")) != "")
     named = F.array_distinct(F.filter(F.transform("leaves", lambda x: x["field"]), lambda f: f.isNotNull()))
     fields = F.map_from_arrays(named, F.transform(named, lambda f: F.array_join(texts(lambda x: x["field"] == f), "\n")))
@@ -240,7 +368,7 @@ def record_sections(records: DataFrame, doc: str, raw: str, kind: str) -> DataFr
         body = F.try_variant_get(F.try_parse_json(raw), f"$['{PLAIN_FIELD}']", "string")
         return _plain(records.select(F.col(doc).alias("doc"), body.alias("text")))
     readings = READINGS[kind]
-    found = items(leaves(records, doc, raw), [r.part for r in readings])
+    found = items(records, doc, raw, [r.part for r in readings])
 
     def chosen(value: Callable[[Reading], Column]) -> Column:
         out = F.lit(None)
@@ -250,7 +378,8 @@ def record_sections(records: DataFrame, doc: str, raw: str, kind: str) -> DataFr
 
     place = F.struct(chosen(lambda r: F.lit(readings.index(r))).alias("part"), F.col("item"))
     rows = found.select("doc", place.alias("pos"), chosen(lambda r: r.key()).alias("key"), chosen(lambda r: F.lit(r.kind)).alias("section_type"), chosen(lambda r: r.title()).alias("title"), T.unicode_strip(chosen(lambda r: r.body())).alias("content"))
-    return _finished(rows)
+    # each row is made once: a filter on it would be pushed down, with all that its columns are made of, once for each mention of a field
+    return _finished(rows.select(F.inline(F.array(F.struct(*rows.columns)))))
 
 
 def _finished(rows: DataFrame) -> DataFrame:

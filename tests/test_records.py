@@ -79,3 +79,13 @@ def test_keys_past_numbered_ones(spark):
     rows = spark.createDataFrame([(d, i, k) for d in (1, 2) for i, k in enumerate(keys)], "doc long, pos long, k string")
     got = sections.unique_keys(rows, "k").where("doc = 2").orderBy("pos").collect()
     assert [r["section_key"] for r in got] == ["a", "a#2", "a#3", "a#4", "b", "a#2#2", None, None]
+
+
+def test_items_are_made_once_and_cut_values_stay_json(spark):
+    frame = spark.createDataFrame([(1, json.dumps(LAW, ensure_ascii=False))], "id long, raw string")
+    plan = records.record_sections(frame, "id", "raw", "law")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_arrays") <= 2  # a filter pushed into the items had made them anew for each field it named
+    deep = '{"a":[{"b":["\\u0001\\n\\"\\\\é",1.50,1e2,-0,true,null,{"z":[],"y":{}}]}]}'
+    got = records.leaves(spark.createDataFrame([(1, deep)], "id long, raw string"), "id", "raw", depth=3).collect()
+    assert [(r["names"], r["at"]) for r in got] == [(["a", None, "b"], [0, 0, 0])]
+    assert got[0]["text"] == spark.createDataFrame([(deep,)], "raw string").selectExpr("to_json(variant_get(parse_json(raw), '$.a[0].b', 'variant')) as t").first()["t"]

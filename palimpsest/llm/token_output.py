@@ -31,9 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, trimmed
 
-CACHE_ENTRIES = 120_000
+#: Chunks and words that a worker keeps, together.
+CACHE_ENTRIES = 240_000
+#: Marks after a word that are a piece of their own.
+_ENDS = b".,;:!?"
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
+#: Texts that move to a worker at once.
+BATCH_ROWS = 512
 #: The tokenizer's own pre-tokenization, on text already in lower case.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: What the shortcut by chunks takes for granted of a tokenizer's file; any other file takes the library's way.
@@ -88,6 +93,8 @@ def text_encoder(path: str) -> Callable[[str | bytes], bytes]:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def word_ids(word: str) -> bytes:
+        if word.isascii() and word.isalpha():  # the same word stands alone elsewhere, and is kept there
+            return chunks[word.encode()]
         spelled = word if word.isascii() else "".join([letters[b] for b in word.encode()])
         words[word] = ids = model_ids(spelled)
         return ids
@@ -96,6 +103,8 @@ def text_encoder(path: str) -> Callable[[str | bytes], bytes]:
         if raw.isalpha():  # ASCII letters alone: one word, kept once under its lower case
             low = raw.lower()
             return model_ids(raw.decode()) if low == raw else chunks[low]
+        if raw[-1] in _ENDS and raw[:-1].isalpha():
+            return chunks[raw[:-1].lower()] + chunks[raw[-1:]]
         chunk = raw.decode()
         if "<|" in chunk or not chunk.isascii() and max(chunk) > "ɏ" or not chunk.isprintable():
             return np.array(whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -112,7 +121,7 @@ def text_encoder(path: str) -> Callable[[str | bytes], bytes]:
     ids_of = chunks.__getitem__
 
     def encode(text: str | bytes) -> bytes:
-        if len(chunks) > CACHE_ENTRIES or len(words) > CACHE_ENTRIES:
+        if len(chunks) + len(words) > CACHE_ENTRIES:
             chunks.clear()
             words.clear()
         raw = text if isinstance(text, bytes) else text.encode()
@@ -148,7 +157,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, *
         "compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES,
         "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false",
     }
-    tokens.write.options(**options).parquet(path)
+    rows_at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_at_once)
+    spark.conf.set(rows_at_once, str(BATCH_ROWS))  # texts move to workers in small batches: both sides hold a batch whole
+    try:
+        tokens.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(rows_at_once, before)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

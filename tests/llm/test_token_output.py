@@ -72,3 +72,13 @@ def test_the_shortcut_is_taken_for_its_own_file():
     from palimpsest.llm.queries import vocabulary_path
 
     assert token_output._by_chunks(json.load(open(vocabulary_path())))
+
+
+def test_a_word_is_encoded_once_whatever_mark_follows():
+    token_output._encoders.pop(vocabulary_path(), None)
+    encode = token_output.text_encoder(vocabulary_path())
+    whole = Tokenizer.from_file(vocabulary_path())
+    for text in ["thonre, Thonre. thonre", "(thonre) thonre's thonre!! 7thonre; é, Éa. thonre:x ,a a,b, 's. x' <|a|>. ..", ". , a. A,"]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    kept = dict(zip(encode.__code__.co_freevars, (c.cell_contents for c in encode.__closure__)))
+    assert b"thonre" in kept["chunks"] and "thonre" not in kept["words"]

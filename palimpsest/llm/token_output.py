@@ -5,7 +5,8 @@ Ids repeat, so the token column is dictionary-encoded; doc ids and counts rise o
 encoding (format version 2). Row groups and pages are small enough that readers select documents by id through
 the page index, and read metadata without touching tokens.
 
-Text is cut at ASCII white space, where the tokenizer always cuts, and every distinct chunk is encoded once per
+A text of ASCII and Latin letters up to U+023F alone is lower-cased and cut into the tokenizer's pieces as bytes; any other
+text is cut at ASCII white space, where the tokenizer always cuts. Every distinct piece or chunk is encoded once per
 worker by the tokenizer's own model; chunks with special strings or letters beyond U+024F take the whole
 tokenizer. The cache is cleared at a fixed number of entries. A file whose normalizers or pre-tokenizers are others
 than that rests on takes the whole tokenizer for every text.
@@ -18,10 +19,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,12 @@ PAGE_BYTES = 64 << 10
 BATCH_ROWS = 512
 #: The tokenizer's own pre-tokenization, on text already in lower case.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same on lower-cased UTF-8 that holds no letter but a-z and those beyond ASCII.
+_BYTE_PIECES = re.compile(rb"[a-z\x80-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9\x80-\xff]+")
+#: Bytes of white space, of what ASCII prints, and of U+00C0 to U+023F; all there but the last three are letters, and
+#: have a lower case of letters alone.
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *range(128, 192), *range(0xC3, 0xC9)])
+_NOT_PLAIN = "<|".encode(), "×".encode(), "÷".encode(), "İ".encode()
 #: What the shortcut by chunks takes for granted of a tokenizer's file; any other file takes the library's way.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _PRE_TOKENIZERS = [
@@ -87,10 +96,11 @@ def text_encoder(path: str) -> Callable[[str | bytes], bytes]:
     ascii_letters = all(letters[b] == chr(b) for b in range(33, 127))
     assert ascii_letters
     words: dict[str, bytes] = {}
+    tokenize, id_of, packers = model.tokenize, attrgetter("id"), [struct.Struct(f"<{n}I").pack for n in range(64)]
 
     def model_ids(spelled: str) -> bytes:
-        ids = [t.id for t in model.tokenize(spelled)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        ids = [*map(id_of, tokenize(spelled))]
+        return packers[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
 
     def word_ids(word: str) -> bytes:
         if word.isascii() and word.isalpha():  # the same word stands alone elsewhere, and is kept there
@@ -101,8 +111,7 @@ def text_encoder(path: str) -> Callable[[str | bytes], bytes]:
 
     def chunk_ids(raw: bytes) -> bytes:
         if raw.isalpha():  # ASCII letters alone: one word, kept once under its lower case
-            low = raw.lower()
-            return model_ids(raw.decode()) if low == raw else chunks[low]
+            return chunks[raw.lower()]
         if raw[-1] in _ENDS and raw[:-1].isalpha():
             return chunks[raw[:-1].lower()] + chunks[raw[-1:]]
         chunk = raw.decode()
@@ -110,11 +119,15 @@ def text_encoder(path: str) -> Callable[[str | bytes], bytes]:
             return np.array(whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
+            low = chunk.lower()
+            if low.isalpha():  # one word as well
+                key = low.encode()
+                return model_ids(key.decode("latin-1").translate(letters)) if key == raw else chunks[key]
         return b"".join([words.get(w) or word_ids(w) for w in _PIECES.findall(chunk.lower())])
 
     class Chunks(dict):
         def __missing__(self, raw: bytes) -> bytes:
-            self[raw] = ids = chunk_ids(raw)
+            self[raw] = ids = model_ids(raw.decode()) if raw.isalpha() and raw.islower() else chunk_ids(raw)
             return ids
 
     chunks = Chunks()
@@ -125,6 +138,9 @@ def text_encoder(path: str) -> Callable[[str | bytes], bytes]:
             chunks.clear()
             words.clear()
         raw = text if isinstance(text, bytes) else text.encode()
+        if not raw.translate(None, _PLAIN) and not any(x in raw for x in _NOT_PLAIN):
+            low = raw.lower() if raw.isascii() else raw.decode().lower().encode()
+            return b"".join(map(ids_of, _BYTE_PIECES.findall(low)))
         return b"".join(map(ids_of, raw.split()))  # at ASCII white space alone
 
     _encoders[path] = encode

@@ -82,3 +82,18 @@ def test_a_word_is_encoded_once_whatever_mark_follows():
         assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
     kept = dict(zip(encode.__code__.co_freevars, (c.cell_contents for c in encode.__closure__)))
     assert b"thonre" in kept["chunks"] and "thonre" not in kept["words"]
+
+
+def test_plain_texts_are_cut_to_pieces_without_their_marks():
+    token_output._encoders.pop(vocabulary_path(), None)
+    encode = token_output.text_encoder(vocabulary_path())
+    whole = Tokenizer.from_file(vocabulary_path())
+    texts = ["Thonre&&& THONRE,&&& (thonre) l'été, Été.&&& don't DON'T '''s 'LL 12a3 a_b\x0ba\x0cb", "x × y÷z İa aİb", "á  é<|a|> É", "Ⱥb ȺȾ,é"]
+    texts += [f"a{chr(i)}B {chr(i)}. '{chr(i)}s 1{chr(i)}{chr(i + 1)}" for i in range(1, 0x260)]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    token_output._encoders.pop(vocabulary_path())
+    encode = token_output.text_encoder(vocabulary_path())
+    encode("Thonre&&& THONRE,&&& thonre Été É.&&&")
+    kept = dict(zip(encode.__code__.co_freevars, (c.cell_contents for c in encode.__closure__)))
+    assert set(kept["chunks"]) == {x.encode() for x in ("thonre", "&&&", ",&&&", "été", "é", ".&&&")} and not any(map(str.isalpha, kept["words"]))

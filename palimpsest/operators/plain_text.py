@@ -1,7 +1,8 @@
 """Plain texts of statutes to keyed lines: parts, addenda, articles and annexes as windows over lines.
 
 Rows are those of ``sections.text_lines``: (doc, pos, line). Each state of the scan is a running value of its document,
-so the whole split is windows over one partitioning and no row is folded in Python.
+so the whole split is windows over one partitioning and one order: lines are shuffled and sorted once at most. The pass
+that numbers keys takes the rows as the windows leave them.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sections import unique_keys
+from .sections import keys_in_force
 
 # How articles, annexes, addenda and their numbers and dates are written.
 HEADING = r"제\s*\d+(?:-\d+)?조(?:의\d+)?|[\[<](?:별표|별지|서식|별책|첨부)[^\]>]*[\]>]|부\s*칙"
@@ -54,19 +55,16 @@ def plain_sections(lines: DataFrame, ahead: int = 3, behind: int = 6) -> DataFra
     })
     # A part begins where the numbers since the last article 1 had reached 3: had they not, no part began there either.
     body = F.when(F.col("_tag").isNull() & F.col("_label").isNotNull(), F.coalesce(F.expr(r"try_cast(regexp_extract(_label, '^제\\s*(\\d+)', 1) AS int)"), F.lit(0)))
-    rows = rows.withColumn("_n", body).withColumn("_run", F.count_if(F.col("_n") == 1).over(so_far))
-    reached = F.max("_n").over(Window.partitionBy("doc", "_run").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("_reached", reached)
-    begins = (F.col("_n") == 1) & (F.coalesce(F.lag("_reached").over(order), F.lit(0)) >= 3)
-    rows = rows.withColumn("_begins", begins).withColumn("_nth", F.count_if("_begins").over(so_far))
+    rows = rows.withColumn("_n", body)
+    reached = F.last(F.when(F.col("_n") >= 3, True).when(F.col("_n") == 1, False), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_begins", (F.col("_n") == 1) & F.coalesce(reached, F.lit(False)))
+    rows = rows.withColumn("_nth", F.count_if("_begins").over(so_far))
     named = F.coalesce("_before", F.when(F.col("_nth") == 1, "제2편").otherwise("제3편"))
     rows = rows.withColumn("_part", F.last(F.when(F.col("_begins"), named), ignorenulls=True).over(so_far))
     tag = F.when(F.col("_label") != "부칙", F.col("_tag"))
-    headed = rows.withColumn("_key", F.when(F.col("_opens").isNotNull(), F.concat_ws(":", "_part", "_opens")).when(F.col("_label").isNotNull(), F.concat_ws(":", "_part", tag, "_label")))
-    headed = headed.select(*lines.columns, "_label", "_key")
-    keyed = unique_keys(headed.where(F.col("_label").isNotNull()), "_key", "_own").unionByName(headed.where(F.col("_label").isNull()).withColumn("_own", F.col("_key")))
-    key = F.last("_own", ignorenulls=True).over(so_far)
-    return keyed.select(*lines.columns, F.coalesce(key, F.lit(PREAMBLE)).alias("section_key"))
+    key = F.when(F.col("_opens").isNotNull(), F.concat_ws(":", "_part", "_opens")).when(F.col("_label").isNotNull(), F.concat_ws(":", "_part", tag, "_label"))
+    keyed = keys_in_force(rows.select(*lines.columns, key.alias("_key"), F.col("_label").isNotNull().alias("_numbered")), "_key", "_numbered", "section_key")
+    return keyed.select(*lines.columns, F.coalesce("section_key", F.lit(PREAMBLE)).alias("section_key"))
 
 
 def cut_by_sequence(text: Column, marks: Column) -> Column:

@@ -5,7 +5,7 @@ Rows of sections carry (doc, pos); ``pos`` orders them inside their document, so
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,26 +36,58 @@ def unique_keys(rows: DataFrame, key: str, out: str = "section_key", mark: str =
     at, doc_at = ordered.columns.index(key), ordered.columns.index("doc")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, used, last = object(), set(), {}
+        doc, number = object(), _numbering(mark)
         for batch in batches:
             keys = []
             for d, k in zip(batch.column(doc_at).to_pylist(), batch.column(at).to_pylist()):
                 if d != doc:
-                    doc, used, last = d, set(), {}
-                if k is None:
-                    keys.append(None)
-                    continue
-                new, n = k, last.get(k, 2)
-                while new in used:
-                    new, n = f"{k}{mark}{n}", n + 1
-                last[k] = n
-                used.add(new)
-                keys.append(new)
+                    doc, number = d, _numbering(mark)
+                keys.append(None if k is None else number(k))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], [*batch.schema.names, out])
 
     return ordered.mapInArrow(fold, schema)
 
 
+def _numbering(mark: str) -> Callable[[str], str]:
+    """The keys of one document, each made unlike all before it."""
+    used, last = set(), {}
+
+    def number(key: str) -> str:
+        new, n = key, last.get(key, 2)
+        while new in used:
+            new, n = f"{key}{mark}{n}", n + 1
+        last[key] = n
+        used.add(new)
+        return new
+
+    return number
+
+
+def keys_in_force(rows: DataFrame, key: str, numbered: str, out: str = "section_key", mark: str = "#") -> DataFrame:
+    """``rows`` without ``key`` and ``numbered``, with the key that each row stands under: its own, else the last before it.
+
+    Keys of ``numbered`` rows are made unique as in ``unique_keys``, others stay. The row number asks for rows by document in
+    order of ``pos``; rows that windows left so are neither shuffled nor sorted again. A task holds the keys of one document.
+    """
+    plain = [c for c in rows.columns if c not in (key, numbered)]
+    placed = rows.select(*plain, key, numbered, F.row_number().over(Window.partitionBy("doc").orderBy("pos")).alias("_at"))
+    schema = StructType([*(placed.schema[c] for c in plain), StructField(out, StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, own = _numbering(mark), None
+        for batch in batches:
+            keys = []
+            for k, new, at in zip(*(c.to_pylist() for c in batch.columns[-3:])):
+                if at == 1:
+                    number, own = _numbering(mark), None
+                if k is not None:
+                    own = number(k) if new else k
+                keys.append(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(keys, pa.string())], [*plain, out])
+
+    return placed.mapInArrow(fold, schema)
+
+
 def carried(rows: DataFrame, value: Column, out: str) -> DataFrame:
     """The last value that is not null, up to and with the row: chapter titles, addenda tags, names of statutes."""
     return rows.withColumn(out, F.last(value, ignorenulls=True).over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))

@@ -320,6 +320,24 @@ def test_plain_sections(spark):
     assert [r.section_key for r in got if r.doc == 4] == ["부칙", "부칙"]
 
 
+def test_plain_sections_move_lines_once(spark):
+    from palimpsest.operators import plain_text as P
+
+    lines = ["서문", "제1조", "제3조", "제2조", "제1조 가", "제1조 나", "제2조", "제4조", "새 규정", "제1조 다", "제3조", "제1조 라", "부칙 제7호", "제1조 마", "제1조 바"]
+    rows = [(d, i, x, d) for d in (2, None, 1) for i, x in enumerate(lines)]
+    frame = spark.createDataFrame(rows[::-1], "doc int, pos long, line string, more int").repartition(3)
+    found = P.plain_sections(frame)
+    assert found.columns == ["doc", "pos", "line", "more", "section_key"]
+    got = sorted(found.collect(), key=lambda r: (r.doc or 0, r.pos))
+    want = [
+        "머리말", "제1조", "제3조", "제2조", "서문:제1조", "서문:제1조#2", "서문:제2조", "서문:제4조", "서문:제4조", "새 규정:제1조", "새 규정:제3조", "새 규정:제1조#2",
+        "새 규정:부칙제7호", "새 규정:부칙제7호:제1조", "새 규정:부칙제7호:제1조#2",
+    ]
+    assert [r.section_key for r in got] == want * 3
+    plan = P.plain_sections(frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc") == 1 and plan.count("Sort [doc") == 1
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [("머리 1. 가 11. 나 2. 다 4. 라", "머리 \n1. 가 11. 나 \n2. 다 4. 라"), ("1. 가 제2. 나 1의2. 2. 다", "1. 가 제2. 나 1의2. \n2. 다"), ("2. 가", "2. 가"), ("", ""), ("가\n1. 나", "가\n\n1. 나"), (None, None)],

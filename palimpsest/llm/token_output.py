@@ -7,7 +7,7 @@ the page index, and read metadata without touching tokens.
 
 A text of ASCII and Latin letters up to U+023F alone is lower-cased and cut into the tokenizer's pieces as bytes; any other
 text is cut at ASCII white space, where the tokenizer always cuts. Every distinct piece or chunk is encoded once per
-worker by the tokenizer's own model; chunks with special strings or letters beyond U+024F take the whole
+task by the tokenizer's own model; chunks with special strings or letters beyond U+024F take the whole
 tokenizer. The cache is cleared at a fixed number of entries. A file whose normalizers or pre-tokenizers are others
 than that rests on takes the whole tokenizer for every text.
 
@@ -57,6 +57,7 @@ _PRE_TOKENIZERS = [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]
 _encoders: dict[str, Callable[[str | bytes], bytes]] = {}
+_kept: dict[str, tuple[dict, dict]] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -144,9 +145,16 @@ def text_encoder(path: str) -> Callable[[str | bytes], bytes]:
         return b"".join(map(ids_of, raw.split()))  # at ASCII white space alone
 
     _encoders[path] = encode
+    _kept[path] = chunks, words
     return encode
 
 
+def forget_words(path: str) -> None:
+    """Empties what a worker keeps of words: it lives on through stages that have no use for them."""
+    for kept in _kept.get(path, ()):
+        kept.clear()
+
+
 def _batches(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = text_encoder(path), np.array([end_id], "<u4").tobytes()
@@ -158,6 +166,7 @@ def _batches(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts.astype(np.int64)), tokens], ["doc_id", "n_tokens", "token_ids"])
+        forget_words(path)
 
     return run
 
@@ -212,7 +221,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
     rows = spark.read.parquet(path).select(*_place(), "doc_id", "token_ids")
-    return _with_start(rows.mapInArrow(_checksums, "file string, row long, doc_id long, n_tokens long, ids_crc32 long"), path)
+    return _with_start(rows.mapInArrow(trimmed(_checksums), "file string, row long, doc_id long, n_tokens long, ids_crc32 long"), path)
 
 
 def tokens_to_parquet(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, cut
+from .common import crc_remainder, cut, give_memory_back, trimmed
 
 #: Bound on the labelled rows of each class that the model is fitted on.
 SAMPLE = 6000
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """``labels``: doc_id and toxic (0, 1) of the rows that may be learned from."""
     sample = cut(_sample(docs, labels, id_col, text_col).select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "weight"))
     parts = sample.select("text", "toxic")
-    counted = parts.mapInArrow(_document_counts, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = parts.mapInArrow(trimmed(_document_counts), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = cut(counted.where((F.col("toxic") >= 3) | F.col("feature").startswith("\0")))
     sizes = {r["feature"]: r["clean"] for r in counted.where(F.col("feature").startswith("\0")).collect()}
     n_clean, n_toxic = sizes.get("\x000", 0), sizes.get("\x001", 0)
@@ -252,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     lift = (F.col("toxic") / docs_of.get(1, 1)) / ((F.col("clean") + 0.5) / docs_of.get(0, 1))
     likely = counted.where(~F.col("feature").startswith("\0") & (lift > 3)).orderBy(F.desc(F.col("toxic") * F.log(lift)), "feature").limit(4 * MAX_FEATURES)
     wanted = {r["feature"] for r in likely.select("feature").collect()}
-    contexts = parts.mapInArrow(_contexts(wanted), "feature string, toxic int, context string").distinct().groupBy("feature").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+    contexts = parts.mapInArrow(trimmed(_contexts(wanted)), "feature string, toxic int, context string").distinct().groupBy("feature").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"))
     counts = {r["feature"]: (r["clean"], r["toxic"]) for r in contexts.collect()}
     model = ToxicityModel(_log_odds(counts, n_clean, n_toxic))
     if model.scores:
@@ -284,6 +284,8 @@ def evidence(model: ToxicityModel):
             values = pa.StructArray.from_arrays([pa.array([p[i] for p in flat], item[i].type) for i in range(4)], fields=list(item))
             passages = pa.ListArray.from_arrays(pa.array(offsets), values)
             yield pa.StructArray.from_arrays([scores, pa.array([e for e, _ in found], pa.float64()), passages], ["score", "evidence", "passages"])
+        del scorer
+        give_memory_back()
 
     return scored
 

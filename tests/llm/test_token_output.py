@@ -97,3 +97,14 @@ def test_plain_texts_are_cut_to_pieces_without_their_marks():
     encode("Thonre&&& THONRE,&&& thonre Été É.&&&")
     kept = dict(zip(encode.__code__.co_freevars, (c.cell_contents for c in encode.__closure__)))
     assert set(kept["chunks"]) == {x.encode() for x in ("thonre", "&&&", ",&&&", "été", "é", ".&&&")} and not any(map(str.isalpha, kept["words"]))
+
+
+def test_a_worker_forgets_words_after_its_task():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["thonre, a&&", None])], ["doc_id", "text"])
+    run = token_output._batches(vocabulary_path(), 2)
+    first, again = ([b.to_pylist() for b in run(iter([rows]))] for _ in range(2))
+    encode = token_output.text_encoder(vocabulary_path())
+    kept = dict(zip(encode.__code__.co_freevars, (c.cell_contents for c in encode.__closure__)))
+    assert first == again and first[0][1]["token_ids"] == [2] and not kept["chunks"] and not kept["words"]

@@ -1,18 +1,19 @@
 """Exact substring dedup with suffix arrays: every byte covered by a ``length``-byte string that also starts earlier.
 
-1. Routing. A string of ``length`` bytes is routed by the least hash of its ``GRAM``-byte grams, which depends on
+1. Copies. Of rows with equal texts (by SHA-256) only the earliest goes on; the others are covered whole.
+2. Routing. A string of ``length`` bytes is routed by the least hash of its ``GRAM``-byte grams, which depends on
    the string alone; strings that start next to each other mostly share it, so a document falls into runs of about
    35 starts. Runs are counted by hash, and only those whose hash occurs again go on, as segments: the bytes that
    the strings of a run cover. Equal strings are always in segments of equal hash.
-2. Shards. The segments of a hash meet in one partition, in shards of ``SHARD_BYTES`` and whole hashes. Equal
-   segments of a hash enter a shard's text once, by their earliest occurrence; all later ones are covered whole.
-   What can still hold equal strings is sorted into a suffix array (Larsson-Sadakane: ranks of 8-byte prefixes,
-   then doubling inside unsorted groups), common prefixes come from Kasai's scan, run in lockstep over chunks, and
-   in each maximal group of suffixes that share ``length`` bytes all but the earliest are marked.
-3. Merging. A hash with more than ``PIECE`` runs is cut into pieces by document, so no key fills a task. What is
-   first in its piece goes, sorted, to a range partition of all such strings; there the sorted runs of the pieces
-   are merged by binary search, and what another piece has earlier is marked.
-4. Marked ranges are gathered by document and merged; bytes outside them are kept.
+3. Shards. The segments of a hash meet in one partition, in shards of ``SHARD_BYTES`` and whole hashes, sorted by
+   their bytes. Equal segments of a hash are neighbours there: all but the earliest are covered whole. What can still
+   hold equal strings is sorted into a suffix array (Larsson-Sadakane: ranks of 8-byte prefixes, then doubling inside
+   unsorted groups), as deep as ``length`` asks for; of the suffixes that share ``length`` bytes all but the earliest
+   are marked.
+4. Merging. A hash with more than ``PIECE`` runs is cut into pieces by document, so no key fills a task. What is
+   first in its piece goes on as a string; equal strings of all pieces meet, sorted, and all but the earliest are
+   marked. The marks of the shards take the same exchange, so that shards are made once.
+5. Marked ranges are gathered by document and merged; bytes outside them are kept.
 
 Order: doc_id, null ids first, then start. Defined results: a null text has no bytes; rows that agree in id and
 text are one document and get equal results; rows that agree in id alone are ordered by a hash of the text; texts
@@ -26,17 +27,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-
 LENGTH, GRAM = 100, 32
 #: Text of one suffix array.
 SHARD_BYTES = 2 << 20
 #: Runs of one hash above which it is cut into pieces.
 PIECE = 32_768
-_BATCH_BYTES = 1 << 20
+#: Bytes hashed or compared at once, whose hashes stay in a core's cache; strings handed over at once.
+_BATCH_BYTES = 1 << 17
+_BATCH_STRINGS = 1 << 16
 
 _random = np.random.default_rng(20_240_607)
 _LETTERS = _random.integers(1, 1 << 63, 256).astype(np.uint64)
@@ -103,29 +104,52 @@ def _twice(hashes: np.ndarray, least: np.ndarray, width: int, at: np.ndarray) ->
     return np.maximum.reduceat((np.cumsum(cover[:-1]) > 0).astype(np.int8), at) > 0
 
 
-def _all_runs(length: int, count: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _laid(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Texts or byte strings end to end: their edges and the bytes; null is empty."""
+    column = column.cast(pa.binary())
+    if column.null_count:
+        column = column.fill_null(b"")
+    if not len(column):
+        return np.zeros(1, np.int64), np.empty(0, np.uint8)
+    edges, data = column.buffers()[1:]
+    edges = np.frombuffer(edges, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return edges, np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+
+
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of byte strings, each by its begin and size, all places one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+
+
+def _binary(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _stretches(edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts of about ``_BATCH_BYTES``."""
+    at = 0
+    while at < len(edges) - 1:
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + _BATCH_BYTES, "right")) - 1)
+        yield at, to
+        at = to
+
+
+def _all_runs(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, salts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            raw = [(t.as_py() or "").encode() for t in batch.column(2)]
-            at = 0
-            while at < len(raw):
-                size, first = 0, at
-                while at < len(raw) and (size < _BATCH_BYTES or at == first):
-                    size += len(raw[at])
-                    at += 1
-                part = raw[first:at]
-                h, text, start, n, twice = runs(np.frombuffer(b"".join(part), np.uint8), np.cumsum([len(x) for x in part]), length)
-                h, text = pa.array(h.view(np.int64)), text + first
-                if count:
-                    yield pa.RecordBatch.from_arrays([h, pa.array(twice.astype(np.int32) + np.int32(1))], ["h", "n"])
-                else:
-                    yield pa.RecordBatch.from_arrays([h, pa.array(ids[text]), pa.array(salts[text])], ["h", "id", "salt"])
+            edges, data = _laid(batch.column(2))
+            for at, to in _stretches(edges):
+                h, text, _, _, twice = runs(data[edges[at] : edges[to]], edges[at + 1 : to + 1] - edges[at], length)
+                text = text + at
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text]), pa.array(salts[text]), pa.array(twice.astype(np.int32) + np.int32(1))], ["h", "id", "salt", "n"])
 
     return run
 
 
-_RUN = "h long, id long, salt long"
+_RUN = "h long, id long, salt long, n int"
 
 
 def _segments(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -134,31 +158,29 @@ def _segments(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, salts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            edges, data = _laid(batch.column(2))
             lists = batch.column(3)
-            offsets, parts = lists.offsets.to_numpy(), lists.values
+            offsets, parts = lists.offsets.to_numpy().astype(np.int64), lists.values
             wanted, pieces = parts.field(0).to_numpy(zero_copy_only=False), parts.field(1).to_numpy(zero_copy_only=False)
-            for at in range(0, batch.num_rows, 64):
-                rows = range(at, min(at + 64, batch.num_rows))
-                raw = [(batch.column(2)[i].as_py() or "").encode() for i in rows]
-                h, text, start, n, _ = runs(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw]), length)
-                edges = np.searchsorted(text, np.arange(len(raw) + 1))
-                h, out = h.view(np.int64), []
-                for k, i in enumerate(rows):
-                    mine = slice(edges[k], edges[k + 1])
-                    asked = wanted[offsets[i] : offsets[i + 1]]
-                    by = np.argsort(asked)
-                    place = np.searchsorted(asked[by], h[mine])
-                    hit = np.flatnonzero(asked[by][np.minimum(place, len(asked) - 1)] == h[mine]) if len(asked) else []
-                    for j, p in zip((edges[k] + hit).tolist(), pieces[offsets[i] : offsets[i + 1]][by][place[hit]].tolist()):
-                        out.append((j, p, i, raw[k][start[j] : start[j] + n[j] + length - 1]))
-                js = np.array([o[0] for o in out], np.int64)
-                docs = np.array([o[2] for o in out], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[js]), pa.array([o[1] for o in out], pa.int32()), pa.array(ids[docs]), pa.array(salts[docs]), pa.array(start[js].astype(np.int32)), pa.array([o[3] for o in out], pa.binary())], ["h", "piece", "id", "salt", "start", "bytes"])
+            for at, to in _stretches(edges):
+                h, text, start, n, twice = runs(data[edges[at] : edges[to]], edges[at + 1 : to + 1] - edges[at], length)
+                h, asked = h.view(np.int64), slice(offsets[at], offsets[to])
+                names, code = np.unique(np.concatenate([h, wanted[asked]]), return_inverse=True)
+                key = np.repeat(np.arange(to - at), np.diff(offsets[at : to + 1])) * len(names) + code[len(h) :]
+                if not len(key):
+                    continue
+                by = np.argsort(key)
+                key, mine = key[by], text * len(names) + code[: len(h)]
+                place = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+                hit = np.flatnonzero(key[place] == mine)
+                piece, docs, size = pieces[asked][by][place[hit]], text[hit] + at, n[hit] + length - 1
+                found = _binary(data[_places(edges[docs] + start[hit], size)], size)
+                yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(piece.astype(np.int32)), pa.array(ids[docs]), pa.array(salts[docs]), pa.array(start[hit].astype(np.int32)), pa.array(twice[hit]), found], ["h", "piece", "id", "salt", "start", "twice", "bytes"])
 
     return run
 
 
-_SEGMENT = "h long, piece int, id long, salt long, start int, bytes binary"
+_SEGMENT = "h long, piece int, id long, salt long, start int, twice boolean, bytes binary"
 
 
 def _prefixes(text: np.ndarray) -> np.ndarray:
@@ -170,14 +192,17 @@ def _prefixes(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of ``text`` and its inverse, by Larsson-Sadakane refinement."""
+def suffix_array(text: np.ndarray, deep: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of ``text`` and its inverse, by Larsson-Sadakane refinement.
+
+    With ``deep``, a power of two from 8 on, suffixes that share so many bytes stay in any order and have one rank.
+    """
     n = len(text)
     rank = np.zeros(n, np.int64)
     if not n:
         return rank, rank
     key = _prefixes(text)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     slots = np.arange(n)
     depth = 8
@@ -198,13 +223,13 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.diff(np.concatenate([group, [len(slots)]]))
         rank[order[slots]] = np.repeat(slots[group], sizes)
         slots = slots[np.repeat(sizes > 1, sizes)]
-        if not len(slots):
+        if not len(slots) or depth == deep:
             return order, rank
         suffix = order[slots]
         ahead = suffix + depth
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         both = rank[suffix] << 32 | second
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both)
         order[slots], both = suffix[by], both[by]
         first = np.concatenate([[True], both[1:] != both[:-1]])
         depth *= 2
@@ -247,193 +272,155 @@ def _spans(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-class _Shard:
-    """Whole hashes of one partition; gives marked ranges, and of hashes in pieces the strings first in their piece."""
-
-    def __init__(self, length: int):
-        self.length = length
-        self.rows: list[tuple] = []  # h, piece, id, salt, start, bytes, pieces?
-        self.size = 0
-
-    def add(self, rows: list[tuple]) -> None:
-        self.rows += rows
-        self.size += sum(len(r[5]) for r in rows)
-
-    def close(self, merge: bool) -> tuple[list[tuple], list[tuple]]:
-        """Ranges (id, salt, start, end); strings (h, piece, bytes, id, salt, start)."""
-        length, marked = self.length, []
-        earliest: dict[tuple, tuple] = {}
-        for r in self.rows:
-            key = (r[0], r[1], r[5])
-            other = earliest.get(key)
-            if other is None:
-                earliest[key] = r
-            else:
-                keep, drop = (r, other) if r[2:5] < other[2:5] else (other, r)
-                earliest[key] = keep
-                marked.append((drop[2], drop[3], drop[4], drop[4] + len(drop[5])))
-        self.rows, self.size = [], 0
-        kept = list(earliest.values())
-        groups: dict[tuple, int] = {}
-        for r in kept:
-            groups[r[:2]] = groups.get(r[:2], 0) + 1
-        # A lone segment has equal strings only if the gram that named it stands in it twice.
-        lone = [r for r in kept if groups[r[:2]] == 1]
-        sort = [r for r in kept if groups[r[:2]] > 1] + [r for r, twice in zip(lone, _repeats(lone)) if twice]
-        strings: list[tuple] = []
-        if merge:
-            sort = kept
-        if sort:
-            sort.sort(key=lambda r: r[2:5])
-            text = np.frombuffer(b"".join([r[5] for r in sort]), np.uint8)
-            ends = np.cumsum([len(r[5]) for r in sort])
-            seg = np.repeat(np.arange(len(sort)), np.diff(np.concatenate([[0], ends])))
-            order, rank = suffix_array(text)
-            shared = common_prefixes(text, order, rank, length)
-            whole = np.arange(len(text)) + length <= ends[seg]  # strings inside one segment
-            apart = np.concatenate([[0], np.cumsum(shared[1:] < length)])  # group of each place in the array
-            if merge:  # strings of different pieces are kept apart for now
-                piece = np.array([r[1] for r in sort])[seg]
-            else:
-                piece = np.zeros(len(text), np.int64)
-            places = order[whole[order]]
-            group = apart[whole[order]]
-            by = np.lexsort((places, piece[places], group))  # segments are in order of documents, so places are too
-            places, group = places[by], group[by]
-            first = np.concatenate([[True], (group[1:] != group[:-1]) | (piece[places[1:]] != piece[places[:-1]])])
-            later = np.zeros(len(text), bool)
-            later[places[~first]] = True
-            begins = np.concatenate([[0], ends[:-1]])
-            for s, e in zip(*_spans(later)):
-                # a span of marked starts may run on into the next segment, but strings never do
-                for k in range(seg[s], seg[e] + 1):
-                    a, b = max(s, begins[k]), min(e, ends[k] - length)
-                    if a <= b:
-                        r = sort[k]
-                        marked.append((r[2], r[3], r[4] + int(a - begins[k]), r[4] + int(b - begins[k]) + length))
-            if merge:
-                raw = text.tobytes()
-                for p in places[first].tolist():
-                    r = sort[seg[p]]
-                    strings.append((r[0], r[1], raw[p : p + length], r[2], r[3], r[4] + int(p - begins[seg[p]])))
-        return marked, strings
-
-
-def _repeats(rows: list[tuple]) -> np.ndarray:
-    """Whether the gram whose hash is the row's own occurs more than once in it."""
-    if not rows:
-        return np.empty(0, bool)
-    data = np.frombuffer(b"".join([r[5] for r in rows]), np.uint8)
-    sizes = np.array([len(r[5]) for r in rows])
-    h = gram_hashes(data)
-    row = np.repeat(np.arange(len(rows)), sizes)[: len(h)]
-    own = np.array([r[0] for r in rows], np.int64).view(np.uint64)[row]
-    return np.bincount(row[(h == own) & (np.arange(len(h)) + GRAM <= np.cumsum(sizes)[row])], minlength=len(rows)) > 1
-
-
-_MARK = "id long, salt long, start int, end int, h long, piece int, bytes binary"
-
-
-def _mark_batch(marked: list[tuple], strings: list[tuple]) -> pa.RecordBatch:
-    n, m = len(marked), len(strings)
-    cols = [[*(r[i] for r in marked), *(r[i + 3] for r in strings)] for i in range(3)]
-    end = [*(r[3] for r in marked), *([0] * m)]
-    rest = [[*([None] * n), *(r[i] for r in strings)] for i in range(3)]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*cols, end, *rest], kinds)], ["id", "salt", "start", "end", "h", "piece", "bytes"])
+_MARK = "id long, salt long, start int, end int, bytes binary"
+
+
+def _mark_batch(ids: np.ndarray, salts: np.ndarray, start: np.ndarray, end: np.ndarray | None = None, strings: np.ndarray | None = None) -> pa.RecordBatch:
+    """Marked ranges, or strings of one length (a row each) that begin at ``start``."""
+    n = len(ids)
+    found = pa.nulls(n, pa.binary()) if strings is None else _binary(strings, np.full(n, strings.shape[1]))
+    ends = pa.nulls(n, pa.int32()) if end is None else pa.array(end.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(salts), pa.array(start.astype(np.int32)), ends, found], ["id", "salt", "start", "end", "bytes"])
+
+
+def _equal_before(edges: np.ndarray, data: np.ndarray, maybe: np.ndarray) -> np.ndarray:
+    """Whether the byte strings ``maybe`` equal the ones before them, which are as long."""
+    size = (edges[1:] - edges[:-1])[maybe]
+    equal = np.empty(len(size), bool)
+    for at, to in _stretches(np.concatenate([[0], np.cumsum(size)])):
+        n = size[at:to]
+        place = _places(edges[maybe[at:to]], n)
+        equal[at:to] = np.logical_and.reduceat(data[place] == data[place - np.repeat(n, n)], np.cumsum(n) - n)
+    return equal
+
+
+def _marked(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+    """Of segments of whole hashes and pieces, sorted by these, bytes, id, salt and start: marked ranges; of hashes in
+    pieces also the strings first in their piece."""
+    h, piece, ids, salts, start, twice = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+    edges, data = _laid(batch.column(6))
+    size = np.diff(edges)
+    alike = (h[1:] == h[:-1]) & (piece[1:] == piece[:-1])
+    group = np.cumsum(np.concatenate([[0], ~alike]))
+    copy = np.zeros(len(h), bool)
+    maybe = np.flatnonzero(alike & (size[1:] == size[:-1])) + 1
+    copy[maybe] = _equal_before(edges, data, maybe)
+    yield _mark_batch(ids[copy], salts[copy], start[copy], start[copy] + size[copy])
+    # A lone segment has equal strings only if the gram that named it stands in it twice.
+    go = np.flatnonzero(~copy & ((np.bincount(group[~copy])[group] > 1) | twice | (piece >= 0)))
+    if not len(go):
+        return
+    go = go[np.lexsort((start[go], salts[go], ids[go], group[go]))]  # in order of documents
+    text = data[_places(edges[go], size[go])]
+    ends = np.cumsum(size[go])
+    begins = ends - size[go]
+    seg = np.repeat(np.arange(len(go)), size[go])
+    place = np.flatnonzero(np.arange(len(text)) + length <= ends[seg])  # of strings inside one segment
+    deep = 8 << ((length // 8).bit_length() - 1)
+    _, rank = suffix_array(text, deep)
+    # Strings are equal if both their first and their last ``deep`` bytes are, which overlap.
+    first, last, many = rank[place], rank[place + length - deep], np.bincount(rank) > 1
+    again = many[first] & many[last]
+    key, at = first[again] << 32 | last[again], place[again]
+    by = np.lexsort((group[go][seg[at]], key))
+    key, at = key[by], at[by]
+    of = group[go][seg[at]]
+    later = np.zeros(len(text), bool)
+    later[at[1:][(key[1:] == key[:-1]) & (of[1:] == of[:-1])]] = True
+    low, high = _spans(later)  # strings end in their segment, so no span reaches the next one
+    r = seg[low]
+    yield _mark_batch(ids[go][r], salts[go][r], start[go][r] + low - begins[r], start[go][r] + high - begins[r] + length)
+    alone = place[~later[place] & (piece[go][seg[place]] >= 0)]
+    for i in range(0, len(alone), _BATCH_STRINGS):
+        at = alone[i : i + _BATCH_STRINGS]
+        r = seg[at]
+        yield _mark_batch(ids[go][r], salts[go][r], start[go][r] + at - begins[r], strings=text[at[:, None] + np.arange(length)])
 
 
 def _shards(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by hash and piece. Hashes in pieces fill shards of their own, and give strings to merge."""
+    """Rows come sorted by hash and piece; those of whole hashes and pieces are taken as far as ``SHARD_BYTES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = {False: _Shard(length), True: _Shard(length)}
-        held: list[tuple] = []
-
-        def take(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            """``rows`` of whole keys, in order."""
-            at = 0
-            while at < len(rows):
-                merge = rows[at][1] >= 0
-                shard, to = shards[merge], at
-                size = shard.size
-                while to < len(rows) and (rows[to][1] >= 0) == merge and (size < SHARD_BYTES or rows[to][:2] == rows[to - 1][:2]):
-                    size += len(rows[to][5])
-                    to += 1
-                shard.add(rows[at:to])
+        held: list[pa.RecordBatch] = []
+        size, least = 0, SHARD_BYTES
+
+        def take(more: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            h, piece, at = rows.column(0).to_numpy(), rows.column(1).to_numpy(), 0
+            keys = np.concatenate([[0], np.flatnonzero((h[1:] != h[:-1]) | (piece[1:] != piece[:-1])) + 1, [len(h)]])
+            weight, stop = _laid(rows.column(6))[0][keys], len(keys) - 1 - more
+            while at < stop:
+                to = min(stop, int(np.searchsorted(weight, weight[at] + SHARD_BYTES)))
+                if more and weight[to] - weight[at] < SHARD_BYTES:
+                    break
+                yield from _marked(rows.slice(keys[at], keys[to] - keys[at]), length)
                 at = to
-                if shard.size >= SHARD_BYTES:
-                    yield _mark_batch(*shard.close(merge))
+            held[:] = [rows.slice(keys[at])]
 
         for batch in batches:
-            held += zip(*[c.to_pylist() for c in batch.columns])
-            cutoff = len(held)
-            while cutoff and held[cutoff - 1][:2] == held[-1][:2]:
-                cutoff -= 1
-            yield from take(held[:cutoff])
-            held = held[cutoff:]
-        yield from take(held)
-        for merge, shard in shards.items():
-            yield _mark_batch(*shard.close(merge))
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column(6).nbytes
+            if size >= least:
+                yield from take(more=True)
+                size = held[0].column(6).nbytes
+                least = max(SHARD_BYTES, 2 * size)  # a large hash is not laid together again for every batch
+        if held:
+            yield from take(more=False)
 
     return run
 
 
 def _merge(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Strings of a range, sorted by their bytes; the sorted run of each piece is looked up in what is merged so far."""
-
-    def close(rows: list[tuple]) -> pa.RecordBatch:
-        by_piece: dict[tuple, list[tuple]] = {}
-        for r in rows:
-            by_piece.setdefault((r[4], r[5]), []).append(r)
-        merged, owner, marked = np.empty(0, f"S{length}"), [], []
-        for part in by_piece.values():
-            mine = np.array([r[6] for r in part], f"S{length}")
-            at = np.searchsorted(merged, mine)
-            new, new_owner = [], []
-            for k, (p, r) in enumerate(zip(at.tolist(), part)):
-                if p < len(merged) and merged[p] == mine[k]:
-                    keep, drop = (r, owner[p]) if r[:3] < owner[p][:3] else (owner[p], r)
-                    owner[p] = keep
-                    marked.append((drop[0], drop[1], drop[2], drop[2] + length))
-                else:
-                    new.append(k)
-                    new_owner.append(r)
-            where = at[new]
-            merged = np.insert(merged, where, mine[new])
-            for shift, (p, r) in enumerate(zip(where.tolist(), new_owner)):
-                owner.insert(p + shift, r)
-        return _mark_batch(marked, [])
+    """Rows come sorted by bytes, id, salt and start: ranges, which pass, then strings, which are marked if they equal the one before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        last = None
         for batch in batches:
-            held += list(zip(*[c.to_pylist() for c in batch.columns]))
-            cutoff = len(held)
-            while cutoff and held[cutoff - 1][6] == held[-1][6]:
-                cutoff -= 1
-            if cutoff > 20_000:
-                yield close(held[:cutoff])
-                held = held[cutoff:]
-        yield close(held)
+            ranges = batch.column(4).null_count
+            if ranges:
+                yield batch.slice(0, ranges).select([0, 1, 2, 3])
+            batch = batch.slice(ranges)
+            if batch.num_rows:
+                edges, data = _laid(batch.column(4))
+                strings = data[edges[0] : edges[-1]].reshape(-1, length)
+                again = np.concatenate([[last is not None and bool((strings[0] == last).all())], (strings[1:] == strings[:-1]).all(1)])
+                last = strings[-1].copy()
+                ids, salts, start = (batch.column(i).to_numpy()[again] for i in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(salts), pa.array(start), pa.array(start + np.int32(length))], ["id", "salt", "start", "end"])
 
     return run
 
 
-def _kept(keep_bytes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _joined(ranges: list[tuple[int, int]]) -> list[list[int]]:
+    merged: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return merged
+
+
+def _kept(length: int, keep_bytes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (doc_id, text, ranges); a text without a list of ranges is a copy of an earlier one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sizes, removed, spans, kept = [], [], [], []
-                for text, ranges in zip(part.column(1), part.column(2).to_pylist()):
-                    raw = (text.as_py() or "").encode()
-                    merged: list[list[int]] = []
-                    for r in sorted((r["start"], r["end"]) for r in ranges or ()):
-                        if merged and r[0] <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], r[1])
-                        else:
-                            merged.append([*r])
+                edges, data = _laid(part.column(1))
+                lists = part.column(2)
+                first, known, both = lists.offsets.to_numpy(), lists.is_valid().to_pylist(), lists.values
+                start, end = both.field(0).to_numpy(zero_copy_only=False), both.field(1).to_numpy(zero_copy_only=False)
+                for i in range(part.num_rows):
+                    raw = data[edges[i] : edges[i + 1]].tobytes()
+                    if known[i]:
+                        of = slice(first[i], first[i + 1])
+                        merged = _joined(list(zip(start[of].tolist(), end[of].tolist())))
+                    else:
+                        merged = [[0, len(raw)]] if len(raw) >= length else []
                     out, done = [], 0
                     for a, b in merged:
                         out.append(raw[done:a])
@@ -463,24 +450,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, keep_bytes: bool =
     no_salt = F.xxhash64(F.col(id_col)).bitwiseAND(F.lit(0).cast("long"))
     salt = F.xxhash64(text_col) if repeated else no_salt
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), salt.alias("salt"), F.col(text_col).alias("text"))
-    distinct = rows.dropDuplicates(["id", "salt"]) if repeated else rows
+    one = (lambda df: df.dropDuplicates(["id", "salt"])) if repeated else (lambda df: df)
 
-    texts = distinct.select("id", "salt", "text")
-    again = cut(texts.mapInArrow(_all_runs(length, True), "h long, n int").groupBy("h").agg(F.sum("n").alias("n_runs")).where("n_runs > 1"))
-    any_hot = not again.where(F.col("n_runs") > PIECE).limit(1).isEmpty()
+    dealt = rows.repartition("id", "salt")  # texts move once: the same exchange serves all joins
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    earliest = rows.select("id", "salt", digest.alias("digest")).groupBy("digest").agg(F.min(F.struct("id", "salt")).alias("first")).select("first.id", "first.salt").repartition("id", "salt")
+    texts = one(dealt.join(earliest.hint("shuffle_hash"), ["id", "salt"]))  # a semi join would be pushed below the exchange
+    counted = texts.mapInArrow(_all_runs(length), _RUN).withColumn("n_runs", F.sum("n").over(Window.partitionBy("h")))
     pieces = F.ceil(F.col("n_runs") / PIECE).cast("int")
     piece = F.when(pieces > 1, F.pmod(F.xxhash64("id", "salt"), pieces)).otherwise(-1).cast("int")
-    going = texts.mapInArrow(_all_runs(length, False), _RUN).join(again.hint("shuffle_hash"), "h")
-    by_document = going.select("id", "salt", "h", piece.alias("piece")).repartition("id", "salt").groupBy("id", "salt").agg(F.collect_set(F.struct("h", "piece")).alias("hashes"))
-    dealt = rows.repartition("id", "salt")  # texts move once: the same exchange serves both joins
-    found = dealt.join(by_document, ["id", "salt"]).select("id", "salt", "text", "hashes")
-    if repeated:
-        found = found.dropDuplicates(["id", "salt"])
-    segments = found.mapInArrow(_segments(length), _SEGMENT).repartition("h", "piece").sortWithinPartitions("h", "piece")
-    marks = segments.mapInArrow(_shards(length), _MARK)
-    if any_hot:
-        strings = marks.where("bytes is not null").repartitionByRange("bytes").sortWithinPartitions("bytes")
-        marks = marks.where("bytes is null").union(strings.mapInArrow(_merge(length), _MARK))
-    ranges = marks.select("id", "salt", "start", "end").repartition("id", "salt").groupBy("id", "salt").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    rest = dealt.join(ranges, ["id", "salt"], "left").select(F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), "text", "ranges")
-    return rest.mapInArrow(_kept(keep_bytes), _KEPT + ", kept binary" * keep_bytes)
+    by_document = counted.where("n_runs > 1").select("id", "salt", "h", piece.alias("piece")).repartition("id", "salt").groupBy("id", "salt").agg(F.collect_set(F.struct("h", "piece")).alias("hashes"))
+    found = one(dealt.join(by_document, ["id", "salt"]).select("id", "salt", "text", "hashes"))
+    segments = found.mapInArrow(_segments(length), _SEGMENT).repartition("h", "piece").sortWithinPartitions("h", "piece", "bytes", "id", "salt", "start")
+    meeting = F.when(F.col("bytes").isNull(), F.xxhash64("id", "salt", "start")).otherwise(F.xxhash64("bytes"))
+    marks = segments.mapInArrow(_shards(length), _MARK).repartition(meeting).sortWithinPartitions("bytes", "id", "salt", "start")
+    ranges = marks.mapInArrow(_merge(length), "id long, salt long, start int, end int")
+    # Of every earliest text a list, which may be empty: null elements are not collected.
+    bare = earliest.select("id", "salt", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    lists = ranges.union(bare).repartition("id", "salt").groupBy("id", "salt").agg(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("ranges"))
+    rest = dealt.join(lists, ["id", "salt"], "left").select(F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), "text", "ranges")
+    return rest.mapInArrow(_kept(length, keep_bytes), _KEPT + ", kept binary" * keep_bytes)

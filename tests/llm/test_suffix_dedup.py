@@ -103,3 +103,43 @@ def test_lone_repeats_of_every_period(spark):
             around = text(rng.randint(0, 200))
             rows.append((len(rows), around + (text(period) * 400)[: 100 + period + more] + around[: rng.randint(0, 90)]))
     assert got(sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute(rows)
+
+
+def segments_seen(spark, monkeypatch, rows):
+    """What ``remove_repeats`` gives, and how many segments came to its shards."""
+    seen, shards = spark.sparkContext.accumulator(0), sd._shards
+
+    def counted(length):
+        inner = shards(length)
+
+        def run(batches):
+            def passing():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            yield from inner(passing())
+
+        return run
+
+    with monkeypatch.context() as patch:
+        patch.setattr(sd, "_shards", counted)
+        out = got(sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    return out, seen.value
+
+
+def test_shards_are_made_once(spark, monkeypatch):
+    rows = near_copies(5)
+    whole, once = segments_seen(spark, monkeypatch, rows)
+    monkeypatch.setattr(sd, "PIECE", 4)
+    pieces, again = segments_seen(spark, monkeypatch, rows)
+    assert pieces == whole == brute(rows) and again == once > 0
+
+
+def test_copies_make_no_segments(spark, monkeypatch):
+    rows = list({r[0]: r for r in near_copies(9)}.values()) + [(2000, "a short text"), (2001, "é" * 50)]
+    rows = list({r[1]: r for r in rows}.values())
+    copies = [(5000 * k + (r[0] or 0), r[1]) for k in range(5) for r in rows] + [(None, rows[3][1])]
+    _, once = segments_seen(spark, monkeypatch, rows)
+    out, five = segments_seen(spark, monkeypatch, copies)
+    assert out == brute(copies) and 0 < five < 1.1 * once  # which texts lie side by side may add a lone segment

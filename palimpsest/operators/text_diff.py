@@ -1,15 +1,21 @@
-"""Character and line diffs. Ratcliff-Obershelp matching is recursive, so it runs in Arrow functions, a pair at a time."""
+"""Character and line diffs. Ratcliff-Obershelp matching is recursive, so it runs in Arrow functions, a pair at a time; short
+lines are matched a batch at a time."""
 
 from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import pairing
+
 SEGMENTS = "array<struct<op:string,old:string,new:string>>"
+_PAIRS = pa.list_(pa.struct([("old", pa.string()), ("new", pa.string())]))
 
 
 def inline_segments(old: str, new: str, merge_gap: int = 6, min_run: int = 2) -> list[tuple[str, str, str]]:
@@ -75,11 +81,24 @@ def inline_diff(old: Column, new: Column, merge_gap: int = 6, min_run: int = 2)
     return run(old, new)
 
 
+def paired_batch(old: pa.Array, new: pa.Array, least: float = 0.5) -> pa.Array:
+    """``paired_lines`` of each two texts: all short ones at once, the others one by one."""
+    if not len(old):
+        return pa.array([], _PAIRS)
+    a, b = (pc.split_pattern(pc.fill_null(x, ""), "\n") for x in (old, new))
+    short = pairing.is_short(a) & pairing.is_short(b)
+    if short.all():
+        return pairing.short_pairs(a, b, least)
+    at, rest = np.flatnonzero(short), np.flatnonzero(~short)
+    found = [pairing.short_pairs(a.take(at), b.take(at), least)] if at.size else []
+    found.append(pa.array([[{"old": o, "new": n} for o, n in paired_lines(x, y, least)] for x, y in zip(a.take(rest).to_pylist(), b.take(rest).to_pylist())], _PAIRS))
+    return pa.concat_arrays([x.cast(_PAIRS) for x in found]).take(pa.array(np.argsort(np.r_[at, rest])))
+
+
 def line_pairs(old: Column, new: Column) -> Column:
     @F.arrow_udf("array<struct<old:string,new:string>>")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        item = pa.struct([("old", pa.string()), ("new", pa.string())])
-        return pa.array([[{"old": o, "new": n} for o, n in paired_lines(x.split("\n"), y.split("\n"))] for x, y in _pairs(a, b)], pa.list_(item))
+        return paired_batch(a, b)
 
     return run(old, new)
 

@@ -176,7 +176,8 @@ def inline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed orders as texts of lines, their lines paired."""
-    changed = _order_diff(spark, sf_dir)
-    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_key", F.col(c).alias("v")))), lambda x: x["v"]), "\n")
-    texts = changed.groupBy("change").agg(text("old_content").alias("old"), text("new_content").alias("new"))
+    changed = _order_diff(spark, sf_dir).select("change", F.struct("section_key", "old_content", "new_content").alias("s"))
+    sections = changed.repartition("change").groupBy("change").agg(F.collect_list("s").alias("s"))  # moved as rows, not as lists
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.transform("s", lambda x: F.struct(x["section_key"], x[c].alias("v")))), lambda x: x["v"]), "\n")
+    texts = sections.select("change", text("old_content").alias("old"), text("new_content").alias("new"))
     return texts.select("change", F.explode(D.line_pairs(F.col("old"), F.col("new"))).alias("p")).select("change", F.col("p.old").alias("old_line"), F.col("p.new").alias("new_line"))

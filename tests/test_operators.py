@@ -454,3 +454,46 @@ def test_line_pairs_match_few_lines_and_as_plain_matching_does(monkeypatch):
     monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda self: calls.append(1) or ratio(self))
     old, new = [f"{i:04d}" * 9 for i in range(60)], [f"{i:04d}" * 9 + "!" for i in range(60)]
     assert len(D.paired_lines(old, new)) == 60 and len(calls) < 900  # 1,830 pairs are free to be matched
+
+
+def test_line_pairs_of_short_lines_are_matched_a_batch_at_a_time(monkeypatch):
+    import difflib
+    import random
+
+    import pyarrow as pa
+
+    from palimpsest.operators import text_diff as D
+
+    rng = random.Random(11)
+
+    def texts(alphabet, width, lines, n):
+        text = lambda: None if rng.random() < 0.02 else "\n".join("".join(rng.choice(alphabet) for _ in range(rng.randrange(width))) for _ in range(rng.randrange(lines)))
+        return [(text(), text()) for _ in range(n)]
+
+    cases = texts("ab", 4, 9, 300) + texts("ab 가😀", 9, 9, 300) + texts("abc", 36, 7, 100) + texts("abcd", 65, 4, 60) + texts("ab", 12, 60, 20)
+    order = lambda: "\n".join(f"{rng.randrange(200000)}|{rng.randrange(1, 51)}|{rng.choice('ANR')}" for _ in range(rng.randrange(8)))
+    cases += [(order(), order()) for _ in range(300)] + [("a\nb\na", "b\na\nb"), ("", None), ("\n", "")]
+    long = texts("ab", 90, 4, 40) + texts("ab", 3, 90, 10)
+
+    def plain(least, cases):
+        return [[{"old": o, "new": n} for o, n in D.paired_lines((a or "").split("\n"), (b or "").split("\n"), least)] for a, b in cases]
+
+    want = {least: (plain(least, cases), plain(least, cases[:50] + long + cases[50:99])) for least in (0.0, 0.5, 0.9, 1.0)}
+    sides = lambda cases: [pa.array(x, pa.string()) for x in zip(*cases)]
+    for least, (_, mixed) in want.items():
+        assert D.paired_batch(*sides(cases[:50] + long + cases[50:99]), least).to_pylist() == mixed
+    assert D.paired_batch(*[x[:0] for x in sides(cases)]).to_pylist() == []
+    monkeypatch.setattr(difflib, "SequenceMatcher", None)  # a matcher a pair took 0.2 ms a change
+    for least, (short, _) in want.items():
+        assert D.paired_batch(*sides(cases), least).to_pylist() == short
+    monkeypatch.setattr(D.pairing, "_LINES", 7)
+    assert D.paired_batch(*sides(cases)).to_pylist() == want[0.5][0]
+
+
+def test_line_pairs_column_matches_short_and_long_texts(spark):
+    from palimpsest.operators import text_diff as D
+
+    cases = [(1, "abcd\nxyz", "abce\nq"), (2, None, "b"), (3, "a" * 99, "a" * 98 + "b\nc"), (4, "same", "same")]
+    found = spark.createDataFrame(cases, "id int, old string, new string").select("id", D.line_pairs(F.col("old"), F.col("new")).alias("p")).collect()
+    want = {i: [tuple(x) for x in D.paired_lines((o or "").split("\n"), (n or "").split("\n"))] for i, o, n in cases}
+    assert {r["id"]: [tuple(x) for x in r["p"]] for r in found} == want
